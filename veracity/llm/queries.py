@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from veracity.llm import exact_dedup, minhash
+from veracity.llm import chat_format, exact_dedup, language_id, minhash, packing, sentencepiece_lattice, token_counts, vector_search, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_near_duplicates": minhash.op2_near_duplicates,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_exact_top_k": vector_search.op6_exact_top_k,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
+    "op9_chat_format": chat_format.op9_chat_format,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_exact_top_k": vector_search.ORACLE_SQL,
+    "op9_chat_format": chat_format.ORACLE_SQL,
 }
