@@ -37,7 +37,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         digit = F.substring("rest", 1, width).alias("digit")
         groups = rows.select("id", *keys, digit).groupBy(*keys, "digit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        met = rows.withColumn("digit", digit).join(groups, [*keys, "digit"], "left")
+        # a merge join at every size: a table that is broadcast while small would change the plan as it grows
+        met = rows.withColumn("digit", digit).join(groups.hint("merge"), [*keys, "digit"], "left")
         over = F.col("n").isNull() | (F.col("left") <= width)
         met = materialize(
             met.select("id", "sha", "n", "top", over.alias("over"), F.when(~over, F.col("next")).alias("gid"), F.when(~over, F.col("left") - width).alias("left"), F.when(~over, F.substring("rest", width + 1, 2**31 - 1)).alias("rest")),
