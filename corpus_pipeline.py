@@ -25,7 +25,7 @@ def language(spark, docs, sf_dir):
 def _without(docs, verdicts):
     """Documents not marked as dropped; one with a null id cannot be named and stays."""
     gone = verdicts.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def exact(spark, docs, sf_dir):

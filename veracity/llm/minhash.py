@@ -73,6 +73,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 out.append(len(s) > 0 and 100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out)
 
+    pairs = pairs.hint("merge")  # the same plan at every size
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return met.where(linked("x", "y")).select("a", "b")
 
