@@ -5,11 +5,12 @@ values, the minimum and the maximum, so a signature needs half the evaluations o
 its estimate has lower variance.  A band is ``rows`` values (pairs of minimum and maximum).  With
 32 bands of 6 values, two sets of similarity 0.85 share no band with probability under 1e-6.
 
-Documents with equal sets form a class; only one of each class is banded.  In every bucket each
-member is confirmed against the bucket's least id (a star, linear in the bucket).  Components come
-from the confirmed links; then members of one bucket that are still in different components, and
-whose set sizes allow the similarity, are confirmed with each other, and components are completed.
-So no link that a band proposes and that could join two components goes unconfirmed.
+Documents with equal sets form a class; only one of each class is banded.  A bucket's hub is its
+least id.  Pairs are confirmed in three rounds, each followed by connected components: every member
+with the least of its hubs (one pair a document), with hubs that are still in another component, and
+with members of its buckets that still are and whose set size allows the similarity.  So no link
+that a band proposes and that could join two components goes unconfirmed, while a large group of
+near copies costs a pair a member.
 """
 
 from __future__ import annotations
@@ -78,6 +79,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return met.where(linked("x", "y")).select("a", "b")
 
 
+def _round(pairs: DataFrame, tried: DataFrame | None, so_far: tuple | None, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirm the pairs not tried before; (pairs tried, links, components) with them."""
+    pairs = pairs.distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+    links = materialize(_confirm(pairs, texts, width, percent), "links")
+    if so_far is None:
+        return pairs, links, components(links)
+    if links.isEmpty():
+        return tried.unionByName(pairs), *so_far
+    links = so_far[0].unionByName(links)
+    return tried.unionByName(pairs), links, components(links)
+
+
+def _placed(slots: DataFrame, joined: DataFrame) -> DataFrame:
+    """Bucket members with their component so far."""
+    return slots.join(joined, "id", "left").select("key", "hub", "id", "n", F.coalesce("component", "id").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, seed: int = 7) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -97,21 +116,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need = shared.select("id").distinct()
     texts = materialize(plain.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    stars = materialize(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").groupBy("a", "b").agg(F.first("n").alias("n")).select("a", "b"), "stars")
-    links = materialize(_confirm(stars, texts, width, percent), "links")
-    joined = components(links)
-
-    placed = shared.join(joined, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    # first each member with one hub, the least of all its buckets'
+    first = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("a")).select("a", F.col("id").alias("b"))
+    tried, links, joined = _round(first, None, None, texts, width, percent)
+    # then with the hubs of its buckets that are still in another component
+    placed = _placed(shared, joined)
+    apart = placed.join(joined.select(F.col("id").alias("hub"), F.col("component").alias("hc")), "hub", "left").where(F.col("c") != F.coalesce("hc", "hub"))
+    tried, links, joined = _round(apart.select(F.col("hub").alias("a"), F.col("id").alias("b")), tried, (links, joined), texts, width, percent)
+    # last with every member of its buckets that still is
+    placed = _placed(shared, joined)
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     open_ = materialize(placed.join(mixed, "key", "left_semi"), "mixed")
     x = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     fits = (F.col("ca") < F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    rest = x.join(y, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_confirm(rest, texts, width, percent), "links")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    rest = x.join(y, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried, links, joined = _round(rest, tried, (links, joined), texts, width, percent)
     whole = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = base.join(whole, "class", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
