@@ -23,6 +23,11 @@ COUNTRY_FORMS = {"IN": "India", "INDIA": "India", "US": "United States", "USA":
 THROWAWAY_DOMAINS = ("mailinator.com", "yopmail.com", "tempmail.com", "10minutemail.com", "dispostable.com", "guerrillamail.com", "trashmail.com")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: repeating a large expression would outgrow a compiled method."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value for the key, null where it has none."""
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
@@ -81,8 +86,8 @@ def normalize_numeric(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """The number a cell holds once normalised, null when it holds none."""
-    n = normalize_numeric(c)
-    return F.when(~is_missing(c) & n.rlike(r"^[+-]?([0-9][0-9_]*\.?[0-9_]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.regexp_replace(n, "_", "").try_cast("double"))
+    number = r"^[+-]?([0-9][0-9_]*\.?[0-9_]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    return let(normalize_numeric(F.when(~is_missing(c), c)), lambda n: F.when(n.rlike(number), F.regexp_replace(n, "_", "").try_cast("double")))
 
 
 def email_ok(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import lookup, strip
+from veracity.functions.cells import let, lookup, strip
 
 # Names and codes of countries, and their region.
 COUNTRY_REGION = {
@@ -42,7 +42,14 @@ def phone_digits(c: Column) -> Column:
 
 def national_number(phone: Column, region: Column) -> Column:
     """Digits of the national form (with the trunk prefix where the country writes one), null when invalid."""
-    d, t = phone_digits(phone), strip(phone)
+    return let(F.struct(phone_digits(phone).alias("d"), strip(phone).alias("t"), region.alias("r")), lambda x: _national(x["d"], x["t"], x["r"]))
+
+
+def _written(trunk: str, aside: str):
+    return lambda v: F.when((v != "") & ~v.rlike(aside), F.concat(F.lit(trunk), v))
+
+
+def _national(d: Column, t: Column, region: Column) -> Column:
     abroad = t.startswith("+") | t.startswith("00")
     bare = F.when(t.startswith("00"), F.substring(d, 3, 100)).otherwise(d)
     out = F.when(region.isNotNull() & d.rlike(f"^0?{OTHER}$"), F.regexp_replace(d, "^0", ""))
@@ -50,14 +57,13 @@ def national_number(phone: Column, region: Column) -> Column:
         with_code = F.regexp_extract(bare, f"^{code}({nsn})$", 1)
         at_home = F.regexp_extract(d, f"^{trunk or ('0?' if name == 'IN' else '')}({nsn})$", 1)
         n = F.when(abroad, with_code).when(at_home != "", at_home).otherwise(with_code)
-        out = F.when(region == name, F.when((n != "") & ~n.rlike(SET_ASIDE if name == "GB" else "^$"), F.concat(F.lit(trunk), n))).otherwise(out)
+        out = F.when(region == name, let(n, _written(trunk, SET_ASIDE if name == "GB" else "^$"))).otherwise(out)
     return out
 
 
 def phone_ok(phone: Column, country: Column) -> Column:
     """Valid, or of a country that is not known."""
-    region = country_region(country)
-    return region.isNull() | national_number(phone, region).isNotNull()
+    return let(country_region(country), lambda r: r.isNull() | national_number(phone, r).isNotNull())
 
 
 def clean_phone(phone: Column, country: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import is_missing, strip
+from veracity.functions.cells import is_missing, let, strip
 
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:\.[0-9]+)?)?"
 TIME_ONLY = rf"(?i)^{_CLOCK}\s*(AM|PM)?$"
@@ -30,9 +30,12 @@ def parse_date(c: Column, dayfirst: Column | bool = False) -> Column:
     day and month ``dayfirst`` picks one (also where the year stands first), the other where that is
     no date.  Digits alone need eight of them.  Words that only name a weekday or time have no date.
     """
-    t = F.regexp_replace(strip(c), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    t = F.regexp_replace(strip(F.when(~is_missing(c), c)), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     first = dayfirst if isinstance(dayfirst, Column) else F.lit(dayfirst)
+    return let(F.struct(t.alias("t"), first.alias("first")), lambda x: _parse_date(x["t"], x["first"]))
 
+
+def _parse_date(t: Column, first: Column) -> Column:
     def three(pattern: str, year: int, a: int, b: int) -> Column:
         part = lambda i: F.regexp_extract(t, pattern + _TAIL, i)
         y = _int(part(year))
@@ -50,8 +53,7 @@ def parse_date(c: Column, dayfirst: Column | bool = False) -> Column:
     word_first = r"(?i)^([a-z]{3,9})[- ]+([0-9]{1,2})[-, ]+([0-9]{4})"
     digits = lambda i: _int(F.regexp_extract(t, plain + "$", i))
     return (
-        F.when(is_missing(c), F.lit(None).cast("date"))
-        .when(t.rlike(ymd + _TAIL), three(ymd, 1, 2, 3))
+        F.when(t.rlike(ymd + _TAIL), three(ymd, 1, 2, 3))
         .when(t.rlike(dmy + _TAIL), three(dmy, 3, 1, 2))
         .when(t.rlike(plain + "$"), _date(digits(1), digits(2), digits(3)))
         .when(t.rlike(word + _TAIL), named(word, 3, 2, 1))
@@ -65,8 +67,8 @@ def standardize_date(c: Column, dayfirst: Column | bool = False) -> Column:
 
 def date_warning(c: Column, as_of: str, dayfirst: Column | bool = False) -> Column:
     """``Future date: ...``, ``Date before year 2000: ...`` or null."""
-    d = parse_date(c, dayfirst)
-    return F.when(d > F.lit(as_of).cast("date"), F.concat(F.lit("Future date: "), c)).when(F.year(d) < 2000, F.concat(F.lit("Date before year 2000: "), c))
+    text = lambda d: F.when(d > F.lit(as_of).cast("date"), F.concat(F.lit("Future date: "), c)).when(F.year(d) < 2000, F.concat(F.lit("Date before year 2000: "), c))
+    return let(parse_date(c, dayfirst), text)
 
 
 def _pad(n: Column) -> Column:
@@ -78,7 +80,10 @@ def parse_time(c: Column) -> Column:
 
     A half-day mark needs an hour up to 12; hour 24 of a timestamp is midnight.
     """
-    t = strip(c)
+    return let(strip(F.when(~is_missing(c), c)), _parse_time)
+
+
+def _parse_time(t: Column) -> Column:
     part = lambda i: _int(F.regexp_extract(t, TIME_ONLY, i))
     h, m, s = part(1), part(2), F.coalesce(part(3), F.lit(0))
     half = F.upper(F.regexp_extract(t, TIME_ONLY, 4))
@@ -87,7 +92,7 @@ def parse_time(c: Column) -> Column:
     iso = lambda i: _int(F.regexp_extract(t, ISO, i))
     midnight = (iso(1) == 24) & (iso(2) == 0) & (iso(3) == 0)
     stamp = F.when(F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.when(midnight, "00:00:00").when((iso(1) <= 23) & (iso(2) <= 59) & (iso(3) <= 59), F.concat_ws(":", _pad(iso(1)), _pad(iso(2)), _pad(iso(3)))))
-    return F.when(is_missing(c), F.lit(None).cast("string")).when(t.rlike(TIME_ONLY), plain).when(t.rlike(ISO), stamp)
+    return F.when(t.rlike(TIME_ONLY), plain).when(t.rlike(ISO), stamp)
 
 
 def standardize_time(c: Column) -> Column:
@@ -96,7 +101,10 @@ def standardize_time(c: Column) -> Column:
 
 def date_vote(c: Column) -> Column:
     """Which order a three-part date speaks for: yyyy, dd, mm or ambiguous; null where it casts no vote."""
-    t = strip(c)
+    return let(strip(c), _date_vote)
+
+
+def _date_vote(t: Column) -> Column:
     sep = F.when(t.contains("-"), "-").when(t.contains("/"), "/").when(t.contains("."), ".")
     parts = F.when(sep.isNotNull() & ~(t.rlike("^[0-9]+$") & (F.length(t) < 8)), F.split(F.translate(t, "/.", "--"), "-"))
     ok = (F.size(parts) == 3) & F.forall(parts, lambda p: p.rlike("^[0-9]+$")) & (F.size(F.split(t, F.concat(F.lit("\\"), sep))) == 3)

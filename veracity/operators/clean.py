@@ -99,36 +99,44 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: di
         "currency": C.clean_currency, "payment_mode": C.clean_payment, "email": (lambda c: C.clean_email(c)) if mode == "SMART" else (lambda c: F.when(C.email_ok(c), F.lower(C.strip(c))).otherwise(c)),
     }
     action = {"phone_number": "phone_normalization", "transaction_date": "date_standardization", "email": "email_cleanup", "currency": "currency_mapping", "payment_mode": "payment_mode_mapping", "country": "country_mapping"}
-    for step, (role, header) in enumerate(roles.items()):
+    # a stage of its own for the new cells: entries and errors below only refer to them
+    news: dict[str, Column] = {}
+    for role in roles:
         c, missing = cell(role), C.is_missing(cell(role))
         if role == "transaction_date":
-            new = F.when(missing, "ERROR").when(F.col("_date").isNotNull(), F.date_format("_date", "yyyy-MM-dd")).otherwise(c)
-            errors.append(F.when(missing, F.struct(F.lit(header).alias("column"), F.lit("Missing Date").alias("message"))).when(F.col("_date").isNull(), F.struct(F.lit(header).alias("column"), F.lit("Invalid date").alias("message"))))
-            warnings.append(F.when(F.col("_date").isNotNull() & (F.year("_date") < 2000), F.struct(F.lit(header).alias("column"), F.lit("Date before year 2000").alias("message"))))
+            news[f"_new_{role}"] = F.when(missing, "ERROR").when(F.col("_date").isNotNull(), F.date_format("_date", "yyyy-MM-dd")).otherwise(c)
         elif role == "transaction_time":
             from_date = D.parse_time(cell("transaction_date")) if "transaction_date" in roles else F.lit(None).cast("string")
-            found = F.when(missing, from_date).otherwise(D.parse_time(c))
-            new = F.coalesce(found, F.lit("ERROR"))
-            entries.append(_entry(step * 4, header, F.lit(""), found, "Time Extraction", "INFO", missing & from_date.isNotNull()))
-            errors.append(F.when(found.isNull(), F.struct(F.lit(header).alias("column"), F.when(missing, "Missing Time").otherwise("Invalid Time").alias("message"))))
+            news[f"_new_{role}"] = F.coalesce(F.when(missing, from_date).otherwise(D.parse_time(c)), F.lit("ERROR"))
+        else:
+            news[f"_new_{role}"] = standard[role](given(role))
+            if role == "amount":
+                news["_number"] = C.to_number(given(role))
+            elif role == "phone_number":
+                news["_phone_ok"] = P.phone_ok(given(role), country)
+    t = t.withColumns(news)
+    flaw = lambda header, message: F.struct(F.lit(header).alias("column"), (message if isinstance(message, Column) else F.lit(message)).alias("message"))
+    for step, (role, header) in enumerate(roles.items()):
+        c, missing, new = cell(role), C.is_missing(cell(role)), F.col(f"_new_{role}")
+        if role == "transaction_date":
+            errors.append(F.when(missing, flaw(header, "Missing Date")).when(F.col("_date").isNull(), flaw(header, "Invalid date")))
+            warnings.append(F.when(F.year("_date") < 2000, flaw(header, "Date before year 2000")))
+        elif role == "transaction_time":
+            entries.append(_entry(step * 4, header, F.lit(""), new, "Time Extraction", "INFO", missing & (new != "ERROR")))
+            errors.append(F.when(new == "ERROR", flaw(header, F.when(missing, "Missing Time").otherwise("Invalid Time"))))
         else:
-            fixed = given(role)
-            filled = role in IMPUTED and role in values
-            new = standard[role](fixed)
-            if filled:
+            if role in IMPUTED and role in values:
                 entries.append(_entry(step * 4, header, F.lit(""), F.lit(values[role]), "missing_imputation", "INFO", missing))
             else:
-                gap = F.struct(F.lit(header).alias("column"), F.lit(f"Missing mandatory field: {header}" if role in must else f"Missing optional: {header}").alias("message"))
-                (errors if role in must else warnings).append(F.when(missing, gap))
+                (errors if role in must else warnings).append(F.when(missing, flaw(header, f"Missing mandatory field: {header}" if role in must else f"Missing optional: {header}")))
             bad = {
-                "phone_number": ("Invalid phone format", lambda x: ~P.phone_ok(x, country)), "email": ("Invalid email format", lambda x: ~C.email_ok(x)),
+                "phone_number": ("Invalid phone format", lambda x: ~F.col("_phone_ok")), "email": ("Invalid email format", lambda x: ~C.email_ok(x)),
                 "currency": ("Unsupported currency code", lambda x: ~C.currency_ok(x)), "payment_mode": ("Unsupported payment mode", lambda x: ~C.payment_ok(x)),
             }.get(role)
             if bad:
-                errors.append(F.when(~C.is_missing(new) & bad[1](new), F.struct(F.lit(header).alias("column"), F.lit(bad[0]).alias("message"))))
+                errors.append(F.when(~C.is_missing(new) & bad[1](new), flaw(header, bad[0])))
             if role == "amount" and kind != "Customer Dataset":
-                n = C.to_number(fixed)
-                errors.append(F.when(~C.is_missing(fixed), F.when(n.isNull(), F.struct(F.lit(header).alias("column"), F.lit("Invalid numeric amount").alias("message"))).when(n < 0, F.struct(F.lit(header).alias("column"), F.lit("Negative amount").alias("message")))))
+                errors.append(F.when(~C.is_missing(new), F.when(F.col("_number").isNull(), flaw(header, "Invalid numeric amount")).when(F.col("_number") < 0, flaw(header, "Negative amount"))))
         what = "Time Standardization" if role == "transaction_time" else action.get(role, "whitespace_trim")
         entries.append(_entry(step * 4 + 1, header, c, new, what, "INFO", ~missing & (new != c) & (new != "ERROR")))
         out[header] = F.when(F.col("_dup"), c).otherwise(new)
@@ -139,11 +147,10 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: di
     bad, warned = F.size("_errors") > 0, F.size("_warnings") > 0
     status = F.when(F.col("_dup"), "CRITICAL").when(bad, "ERROR").when(warned, "WARNING").otherwise("VALID")
     route = F.when(F.col("_dup"), "duplicates").when(bad, "errors").when(warned, "warnings" if mode == "STRICT" else "cleaned").otherwise("cleaned")
-    rest = [F.col(f"`{h}`") for h in headers if h not in out]
     return t.select(
         ROW, *[out[h].alias(h) if h in out else F.col(f"`{h}`") for h in headers], status.alias("row_status"), (F.lit("cleaned") if mode == "SOFT" else route).alias("route"),
         (F.size("_warnings") > 0).alias("has_warning"), F.size("_done").alias("corrections"), F.when(F.col("_dup"), only).otherwise(F.concat(F.col("_done").cast(f"array<{ENTRY}>"), failed.cast(f"array<{ENTRY}>"))).alias("audit"),
-    ) if rest is not None else t
+    )
 
 
 def audit_trail(rows: DataFrame) -> DataFrame:

@@ -381,13 +381,6 @@ def _cleaned(mode: str, spark, sf_dir):
     return clean.clean(nullified(spark, sf_dir), mode)
 
 
-for _mode in ("STRICT", "SMART", "SOFT"):
-    QUERIES[f"clean_{_mode.lower()}"] = lambda spark, sf_dir, m=_mode: clean.clean_table(nullified(spark, sf_dir), m).cleaned
-QUERIES["cleaning_stats"] = lambda spark, sf_dir: clean.cleaning_stats(_cleaned("SMART", spark, sf_dir))
-QUERIES["audit_trail"] = lambda spark, sf_dir: clean.audit_trail(_cleaned("SMART", spark, sf_dir))
-QUERIES["audit_by_action"] = lambda spark, sf_dir: clean.audit_trail(_cleaned("SMART", spark, sf_dir)).groupBy("action", "severity").agg(F.count(F.lit(1)).alias("n"))
-QUERIES["quarantine_counts"] = lambda spark, sf_dir: _cleaned("STRICT", spark, sf_dir).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
-
 _CHUNKS = "SELECT floor(k / 1000)::BIGINT + 1 AS chunk_id, count(*) AS n, min(k) AS first_row, max(k) AS last_row FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1"
 
 
