@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veracity.llm import chat_format, exact_dedup, language_id, minhash, packing, sentencepiece_lattice, token_counts, vector_search, warc
+from veracity.llm import chat_format, exact_dedup, katz, language_id, minhash, packing, sentencepiece_lattice, token_counts, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_near_duplicates": minhash.op2_near_duplicates,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_katz_score": katz.op5_katz_score,
     "op6_exact_top_k": vector_search.op6_exact_top_k,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
