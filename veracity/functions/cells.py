@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # These must equal the established rules for the same results.
@@ -28,6 +28,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that later steps refer to by name.
+
+    A generator of one row keeps the optimiser from copying their expressions into every later use
+    and into filters pushed below, which would grow the plan with each stage.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The table's value for the key, null where it has none."""
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)

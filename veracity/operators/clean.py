@@ -23,6 +23,9 @@ IMPUTED = ("customer_name", "country", "amount", "currency", "payment_mode")
 ENTRY = "struct<step:int,column:string,original:string,cleaned:string,action:string,severity:string>"
 
 
+FLAW = "struct<column:string,message:string>"
+
+
 @dataclass(frozen=True)
 class CleanResult:
     rows: DataFrame
@@ -52,6 +55,10 @@ def _entry(step: int, column: str, original: Column, cleaned: Column, action: Co
     return F.when(when, F.struct(F.lit(step).alias("step"), F.lit(column).alias("column"), original.alias("original"), cleaned.alias("cleaned"), (action if isinstance(action, Column) else F.lit(action)).alias("action"), F.lit(severity).alias("severity")))
 
 
+def _listed(items: list[Column], kind: str) -> Column:
+    return F.array_compact(F.array(*items).cast(f"array<{kind}>"))
+
+
 def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: dict[str, str] | None = None) -> DataFrame:
     """``df`` (nullified, with row ids) cleaned, plus row_status, route and audit entries.
 
@@ -89,11 +96,11 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: di
 
     country = C.clean_country(given("country")) if "country" in roles else F.lit(None).cast("string")
     if "country" in roles:
-        t = t.withColumn("_country", country)
+        t = C.stage(t, {"_country": country})
         country = F.col("_country")
     day = F.when(P.country_region(country) == "US", F.lit(False)).otherwise(F.lit(dayfirst))
     if "transaction_date" in roles:
-        t = t.withColumn("_date", D.parse_date(cell("transaction_date"), day))
+        t = C.stage(t, {"_date": D.parse_date(cell("transaction_date"), day)})
     standard = {
         "transaction_id": C.clean_text, "customer_id": C.clean_text, "customer_name": C.clean_name, "country": lambda c: country, "phone_number": lambda c: P.clean_phone(c, country), "amount": lambda c: c,
         "currency": C.clean_currency, "payment_mode": C.clean_payment, "email": (lambda c: C.clean_email(c)) if mode == "SMART" else (lambda c: F.when(C.email_ok(c), F.lower(C.strip(c))).otherwise(c)),
@@ -114,7 +121,8 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: di
                 news["_number"] = C.to_number(given(role))
             elif role == "phone_number":
                 news["_phone_ok"] = P.phone_ok(given(role), country)
-    t = t.withColumns(news)
+    if news:
+        t = C.stage(t, news)
     flaw = lambda header, message: F.struct(F.lit(header).alias("column"), (message if isinstance(message, Column) else F.lit(message)).alias("message"))
     for step, (role, header) in enumerate(roles.items()):
         c, missing, new = cell(role), C.is_missing(cell(role)), F.col(f"_new_{role}")
@@ -140,7 +148,7 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: di
         what = "Time Standardization" if role == "transaction_time" else action.get(role, "whitespace_trim")
         entries.append(_entry(step * 4 + 1, header, c, new, what, "INFO", ~missing & (new != c) & (new != "ERROR")))
         out[header] = F.when(F.col("_dup"), c).otherwise(new)
-    t = t.withColumns({"_errors": F.array_compact(F.array(*errors)), "_warnings": F.array_compact(F.array(*warnings)), "_done": F.array_compact(F.array(*entries))})
+    t = C.stage(t, {"_errors": _listed(errors, FLAW), "_warnings": _listed(warnings, FLAW), "_done": _listed(entries, ENTRY)})
     last = F.lit(len(roles) * 4 + 1)
     failed = F.transform("_errors", lambda e: F.struct(last.alias("step"), e["column"].alias("column"), F.lit(None).cast("string").alias("original"), F.lit("ERROR").alias("cleaned"), e["message"].alias("action"), F.lit("ERROR").alias("severity")))
     only = F.array(F.struct(F.lit(0).alias("step"), F.lit(roles.get(id_role, "")).alias("column"), cell(id_role) if id_role in roles else F.lit(None).cast("string"), F.lit("REMOVED").alias("cleaned"), F.lit("duplicate_removal").alias("action"), F.lit("ERROR").alias("severity"))).cast(f"array<{ENTRY}>")
