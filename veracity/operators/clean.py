@@ -185,3 +185,24 @@ def clean_table(df: DataFrame, mode: str = "SMART", dayfirst: bool = False) -> C
     pick = lambda route: rows.where(F.col("route") == route).select(ROW, *headers)
     warned = rows.where("has_warning and row_status <> 'ERROR' and row_status <> 'CRITICAL'").select(ROW, *headers)
     return CleanResult(rows, kept.select(ROW, *headers, *status), pick("errors"), warned, pick("duplicates"), audit_trail(rows))
+
+
+#: actions that count as repairs in the resolution rate
+REPAIRS = ("duplicate_removal", "phone_normalization", "date_standardization", "email_cleanup", "currency_mapping", "missing_imputation")
+
+
+def cleaning_rates(rows: DataFrame) -> DataFrame:
+    """Retention and correction rates of all rows and the share of repairs among repairs and removals (percent, one decimal)."""
+    t = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("route") == "cleaned").alias("kept"), F.count_if((F.col("corrections") > 0) & (F.col("row_status") != "CRITICAL")).alias("corrected"),
+        F.coalesce(F.sum(F.size(F.filter("audit", lambda a: a["action"].isin(*REPAIRS)))), F.lit(0)).alias("repairs"),
+    )
+    rate = lambda part, whole: F.bround(F.when(whole == 0, 0.0).otherwise(part * 100.0 / whole), 1)
+    return t.select(rate(F.col("kept"), F.col("n")).alias("retention_rate"), rate(F.col("corrected"), F.col("n")).alias("correction_rate"), rate(F.col("repairs"), F.col("repairs") + F.col("n") - F.col("kept")).alias("resolution_rate"))
+
+
+def audit_search(trail: DataFrame, text: str = "", severity: str | None = None, action: str | None = None) -> DataFrame:
+    """Entries of one severity and action whose fields hold ``text`` in any case."""
+    t = trail if severity is None else trail.where(F.col("severity") == severity)
+    t = t if action is None else t.where(F.col("action") == action)
+    return t.where(F.lower(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in trail.columns])).contains(text.lower())) if text else t

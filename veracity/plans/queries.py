@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
-from veracity.operators import chunk, clean, dedupe, profile, schema, validate
+from veracity.operators import chunk, dedupe, profile, schema, validate
 from veracity.plans.dirty import HEADERS, SQL, dirty_orders
 from veracity.sources.tables import ROW
 
@@ -377,10 +377,6 @@ def issue_summary(spark, sf_dir):
     return t.withColumn("recoverability", validate.recoverability(F.col("rule"), F.col("column_name")))
 
 
-def _cleaned(mode: str, spark, sf_dir):
-    return clean.clean(nullified(spark, sf_dir), mode)
-
-
 _CHUNKS = "SELECT floor(k / 1000)::BIGINT + 1 AS chunk_id, count(*) AS n, min(k) AS first_row, max(k) AS last_row FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1"
 
 
