@@ -15,31 +15,50 @@ mass gives up one count.  Words are told apart by 64-bit fingerprints.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veracity.llm.storage import materialize
-from veracity.llm.words import word_hashes, words
+from veracity.llm.words import mix, word_hashes, words
 
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" start", b" end"))
+#: bigrams that a task gathers, from as many texts as it takes, before it hands them on
+FLUSH = 1 << 17
 
 
 def document_bigrams(docs: DataFrame) -> DataFrame:
     """docs: (id, held, text) -> (row, id, held, h, w, n): the distinct bigrams of each text and their number."""
 
     def cut(batches):
-        for pdf in batches:
-            for row, i, held, text in zip(pdf["row"], pdf["id"], pdf["held"], pdf["text"]):
+        taken: list[tuple] = []
+        size = 0
+
+        def flush():
+            rows, ids, held, hs, ws, ns = zip(*taken)
+            sizes = [len(h) for h in hs]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()).take(pa.array(of)), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(held, pa.bool_()).take(pa.array(of)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ws).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int32))],
+                names=["row", "id", "held", "h", "w", "n"],
+            )
+
+        for batch in batches:
+            for row, i, held, text in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "held", "text"))):
                 w = np.append(word_hashes(words(text)), END)
                 h = np.append(START, w[:-1])
-                order = np.lexsort((w, h))
-                h, w = h[order], w[order]
-                at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-                yield pd.DataFrame({"row": row, "id": i, "held": held, "h": h[at].view(np.int64), "w": w[at].view(np.int64), "n": np.diff(np.append(at, len(h)))})
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text").mapInPandas(cut, "row long, id long, held boolean, h long, w long, n int")
+                _, at, n = np.unique(mix(h) + w, return_index=True, return_counts=True)
+                taken.append((row, i, held, h[at], w[at], n))
+                size += len(at)
+                if size >= FLUSH:
+                    yield flush()
+                    taken.clear()
+                    size = 0
+        if taken:
+            yield flush()
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text").mapInArrow(cut, "row long, id long, held boolean, h long, w long, n int")
 
 
 def discounts(of: dict[int, int], k: int) -> dict[int, float]:
