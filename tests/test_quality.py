@@ -1,6 +1,8 @@
 """Scalar tables and whole runs of the data-quality operators."""
 
+import io
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
 from veracity.operators import schema
+from veracity.operators.chunk import chunk_archives
 from veracity.plans import queries as Q
 from veracity.sources.tables import ROW, with_row_ids
 
@@ -19,7 +22,7 @@ def one(spark, value, f, *more):
     return df.select(f(*[F.col(c) for c in df.columns])).first()[0]
 
 
-@pytest.mark.parametrize("name", ["preprocess_nullify", "date_standardize", "phone_standardize", "parse_time", "clean_name", "business_duplicates_later", "impute_mode", "rule_summary", "chunk_sizes"])
+@pytest.mark.parametrize("name", ["preprocess_nullify", "date_standardize", "phone_standardize", "parse_time", "clean_name", "business_duplicates_later", "impute_mode", "rule_summary", "issue_summary", "failed_rows_sample", "chunk_sizes"])
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in os.listdir(sf_dir):
@@ -63,6 +66,17 @@ def test_row_ids(spark):
     assert got == list(range(1000))
 
 
+def test_chunk_archives(spark):
+    rows = spark.createDataFrame([(i, f"v{i}" if i else None) for i in range(7)], f"{ROW} long, v string")
+    got = {r.chunk_id: r for r in chunk_archives(rows, 3).collect()}
+    assert {i: (r.name, r.n) for i, r in got.items()} == {1: ("chunk_001.csv", 3), 2: ("chunk_002.csv", 3), 3: ("chunk_003.csv", 1)}
+    with zipfile.ZipFile(io.BytesIO(got[2].archive)) as z:
+        assert z.namelist() == ["chunk_002.csv"] and z.read("chunk_002.csv").decode().split() == ["v", "v3", "v4", "v5"]
+    assert chunk_archives(rows.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        chunk_archives(rows, 0)
+
+
 def test_date_votes():
     assert D.decide_date_format({"dd": 2})[0] is True and D.decide_date_format({"mm": 1, "dd": 1})[:2] == (None, "Mixed Formats")
 

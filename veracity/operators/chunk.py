@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +21,19 @@ def assign_chunks(df: DataFrame, size: int = 1000) -> DataFrame:
 def write_chunks(df: DataFrame, path: str, size: int = 1000) -> None:
     """One folder a chunk, ``chunk_id=N``, each with its header, in row order."""
     assign_chunks(df, size).repartition("chunk_id").sortWithinPartitions("chunk_id", ROW).drop(ROW).write.mode("overwrite").partitionBy("chunk_id").option("header", True).csv(path)
+
+
+def chunk_archives(df: DataFrame, size: int = 1000) -> DataFrame:
+    """(chunk_id, name, n, archive): each chunk as a ZIP of one CSV file with header, rows in order.
+
+    A group holds at most ``size`` rows.  Missing cells are empty, as in the CSV sink; an empty table has no chunks.
+    """
+
+    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+        name, out = f"chunk_{key[0]:03d}.csv", io.BytesIO()
+        text = rows.sort_values(ROW).drop(columns=[ROW, "chunk_id"]).to_csv(index=False)
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"chunk_id": [key[0]], "name": [name], "n": [len(rows)], "archive": [out.getvalue()]})
+
+    return assign_chunks(df, size).groupBy("chunk_id").applyInPandas(pack, "chunk_id long, name string, n long, archive binary")

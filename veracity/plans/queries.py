@@ -366,12 +366,26 @@ def row_classification(spark, sf_dir):
     return validate.row_classification(checked(spark, sf_dir))
 
 
-@query("failed_rows_sample", None)
+# rules in the order in which a row lists its issues
+_PLACE = f"""(CASE WHEN rule = 'mandatory' THEN 0 WHEN message LIKE 'Missing value%' THEN 1 WHEN rule = 'duplicates' THEN CASE WHEN role = 'transaction_id' THEN 2 ELSE 3 END
+  ELSE 4 + list_position(['email', 'country', 'phone_number', 'transaction_date', 'transaction_time', 'amount', 'currency', 'payment_mode', 'customer_name'], role) END) * 100 + coalesce(list_position([{_list(_MUST)}], role), 50 + list_position([{_list(list(schema.ALIASES))}], role), 0)"""
+
+
+@query("failed_rows_sample", f"{_LOG} SELECT row_no, first(message ORDER BY {_PLACE}) AS reason FROM log WHERE severity IN ('ERROR', 'CRITICAL') GROUP BY 1 ORDER BY row_no LIMIT 10")
 def failed_rows_sample(spark, sf_dir):
     return validate.failed_rows(checked(spark, sf_dir))
 
 
-@query("issue_summary", None)
+_FRIENDLY = """CASE WHEN contains(message, 'Missing') THEN 'Missing ' || role WHEN role = 'email' THEN 'Invalid Email' WHEN role = 'phone_number' THEN 'Invalid Phone' WHEN role = 'duplicate_record' THEN 'Duplicate Business Record'
+  WHEN role = 'currency' THEN 'Invalid Currency Code' WHEN role = 'payment_mode' THEN 'Invalid Payment Mode' WHEN role = 'country' THEN 'Unknown Country'
+  WHEN role = 'transaction_date' THEN CASE WHEN contains(message, 'Future') THEN 'Future Date' WHEN contains(message, 'before year 2000') THEN 'Ancient Date' ELSE 'Invalid Date' END
+  WHEN role = 'transaction_time' THEN 'Invalid Time' WHEN role = 'transaction_id' AND contains(message, 'Duplicate') THEN 'Duplicate Transaction'
+  WHEN role = 'amount' THEN CASE WHEN contains(message, 'Negative') THEN 'Negative Amount' ELSE 'Invalid Amount' END WHEN role = 'customer_name' AND contains(message, 'Corrupted') THEN 'Corrupted Text' ELSE 'General Validation Issue' END"""
+_SUMMARY = f"""{_LOG}, s AS (SELECT {_FRIENDLY} AS rule, column_name, count(*) AS n, min(row_no) AS first_row, first(severity ORDER BY row_no) AS severity, first(split_part(message, ': ', 1) ORDER BY row_no) AS message FROM log GROUP BY 1, 2)
+SELECT *, CASE WHEN contains(lower(rule), 'country') OR contains(lower(rule), 'payment') THEN 'Manual Review' WHEN contains(lower(rule), 'missing') THEN 'Imputation' WHEN contains(lower(rule), 'duplicate') THEN 'Deduplicate' ELSE 'Standardize' END AS recoverability FROM s"""
+
+
+@query("issue_summary", _SUMMARY)
 def issue_summary(spark, sf_dir):
     t = validate.issue_summary(validate.issue_log(checked(spark, sf_dir)))
     return t.withColumn("recoverability", validate.recoverability(F.col("rule"), F.col("column_name")))
