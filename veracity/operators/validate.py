@@ -89,7 +89,7 @@ def with_issues(df: DataFrame, as_of: str, extra: tuple[Rule, ...] = ()) -> Data
             message = rule.message(v)
             severity = F.when(message.startswith("Future"), "INFO").otherwise("WARNING") if rule.severity == "INFO" else rule.severity
             found.append(issue(rule.set_, rule.role, severity, message))
-    return t.withColumn("issues", F.array_compact(F.array(*found))).select(*df.columns, "issues")
+    return C.stage(t, {"issues": F.array_compact(F.array(*found))}).select(*df.columns, "issues")
 
 
 def issue_log(checked: DataFrame) -> DataFrame:
