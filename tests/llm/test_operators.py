@@ -1,5 +1,7 @@
 """Brute-force comparisons and edge rows of the corpus operators."""
 
+import functools
+import itertools
 import zlib
 from collections import Counter
 
@@ -179,6 +181,33 @@ def test_packing(spark):
     assert all((r.bin_id is None) == (r.n_tokens == 0) for r in got)
 
 
+def least_cost(counts, lengths):
+    """Least cost of bins for so many pieces of each length, by trying every content of every bin."""
+
+    @functools.cache
+    def best(left):
+        if not any(left):
+            return 0.0
+        some = itertools.product(*[range(k + 1) for k in left])
+        sums = [(c, sum(k * n for k, n in zip(c, lengths))) for c in some if any(c)]
+        lead = next(i for i, k in enumerate(left) if k)
+        return min(packing.cost(next(s for s in packing.SIZES if s >= u)) + best(tuple(a - b for a, b in zip(left, c))) for c, u in sums if c[lead] and u <= packing.SIZES[-1])
+
+    return best(counts)
+
+
+@pytest.mark.parametrize("counts, lengths", [((14,), (520,)), ((8,), (600,)), ((4, 9), (600, 520)), ((5, 5), (600, 520)), ((2, 3, 6), (2100, 600, 520))])
+def test_packing_costs_least(counts, lengths):
+    pieces = [n for k, n in zip(counts, lengths) for _ in range(k)]
+    bins, offsets, final = packing.pack(pieces)
+    assert sum(map(packing.cost, final.values())) == least_cost(counts, lengths)
+    ends = Counter()
+    for n, b, at in sorted(zip(pieces, bins, offsets), key=lambda x: x[2]):
+        assert ends[b] == at
+        ends[b] += n
+    assert all(n <= final[b] for b, n in ends.items())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -1,10 +1,10 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Documents are dealt to shards of bounded size by a hash of their id; only ids and lengths travel.
-In a shard, pieces are placed longest first into the open bin they fill best.  A piece that fits
-nowhere opens a bin of the size that costs least per token it can be expected to hold, given all
-permitted sizes and the lengths still to come.  At the end every bin shrinks to the smallest
-permitted size that holds its contents.
+In a shard, bins are filled one after the other: the longest piece left opens a bin, every permitted
+size is filled best-fit from the lengths still to come, and the size and contents that cost least per
+token placed are taken.  Plain best fit is worked out beside it, and the cheaper packing of the two
+is kept.  Every bin has the smallest permitted size that holds its contents.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (512, 1024, 2048, 4096, 8192)
+#: numbers of longest pieces tried for one bin, from the most that fit downwards
+TRIES = 6
 
 
 def cost(size: int) -> float:
@@ -22,16 +24,16 @@ def cost(size: int) -> float:
     return size * (1 + size / 32768)
 
 
-def pack(lengths: list[int], sizes: tuple = SIZES, cost=cost) -> tuple[list[int], list[int], dict[int, int]]:
-    """(bin, offset) of each piece, and the size of each bin; lengths are sorted downwards, none over the largest size."""
-    sizes = sorted(sizes)
-    most = sizes[-1]
-    free: list[list[int]] = [[] for _ in range(most + 1)]
+def _total(final: dict[int, int], cost) -> float:
+    return sum(cost(s) for s in final.values())
+
+
+def best_fit(lengths: list[int], sizes: list[int]) -> tuple[list[int], list[int], dict[int, int]]:
+    """Each piece into the open bin it fills best; one that fits nowhere opens a bin of the smallest size that holds it."""
+    free: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]
     open_ = 0  # bit r: some bin has r tokens free
-    left = float(sum(lengths))
-    used, capacity, bins, offsets = [], [], [], []
+    used, bins, offsets = [], [], []
     for n in lengths:
-        left -= n
         fits = open_ >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -39,21 +41,72 @@ def pack(lengths: list[int], sizes: tuple = SIZES, cost=cost) -> tuple[list[int]
             if not free[room]:
                 open_ ^= 1 << room
         else:
-            # what a bin of size s can hold of what is still to come, at best
             b = len(used)
-            capacity.append(min((s for s in sizes if s >= n), key=lambda s: (cost(s) / max(1, min(s, n + left)), s)))
             used.append(0)
-            room = capacity[b]
+            room = next(s for s in sizes if s >= n)
         bins.append(b)
         offsets.append(used[b])
         used[b] += n
         if room > n:
             free[room - n].append(b)
             open_ |= 1 << (room - n)
-    final = {b: next(s for s in sizes if s >= u) for b, u in enumerate(used)}
+    return bins, offsets, {b: next(s for s in sizes if s >= u) for b, u in enumerate(used)}
+
+
+def fill_bins(lengths: list[int], sizes: list[int], cost) -> tuple[list[int], list[int], dict[int, int]]:
+    """Bin after bin from the longest piece left, in the size and with the pieces that cost least per token placed."""
+    where: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        where.setdefault(lengths[i], []).append(i)
+    there = sum(1 << n for n in where)  # bit n: a piece of n tokens is left
+
+    def filled(size: int, n: int, k: int) -> tuple[int, list[tuple[int, int]]]:
+        """Tokens and (length, number): k pieces of n, then always the longest shorter one that fits."""
+        room, chosen, left = size - n * k, [(n, k)], there & ((1 << n) - 1)
+        while room and (left := left & ((1 << (room + 1)) - 1)):
+            m = left.bit_length() - 1
+            j = min(len(where[m]), room // m)
+            chosen.append((m, j))
+            room -= m * j
+            left ^= 1 << m
+        return size - room, chosen
+
+    bins, offsets, final = [0] * len(lengths), [0] * len(lengths), {}
+    while there:
+        n = there.bit_length() - 1
+        best = None
+        for size in sizes:
+            if size < n:
+                continue
+            most = min(len(where[n]), size // n)
+            for k in range(most, max(0, most - TRIES), -1):
+                used, chosen = filled(size, n, k)
+                least = next(s for s in sizes if s >= used)
+                if best is None or cost(least) * best[1] < cost(best[0]) * used:
+                    best = least, used, chosen
+                if used == size:
+                    break
+        b, at = len(final), 0
+        final[b] = best[0]
+        for m, k in best[2]:
+            for _ in range(k):
+                i = where[m].pop()
+                bins[i], offsets[i] = b, at
+                at += m
+            if not where[m]:
+                there ^= 1 << m
     return bins, offsets, final
 
 
+def pack(lengths: list[int], sizes: tuple = SIZES, cost=cost) -> tuple[list[int], list[int], dict[int, int]]:
+    """(bin, offset) of each piece, and the size of each bin; lengths are sorted downwards, none over the largest size.
+
+    The cheaper of two packings: bins filled jointly over all sizes, and best fit with the smallest size for each first piece.
+    """
+    sizes = sorted(sizes)
+    return min((fill_bins(lengths, sizes, cost), best_fit(lengths, sizes)), key=lambda x: _total(x[2], cost))
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", sizes: tuple = SIZES, shard_rows: int = 50_000) -> DataFrame:
     """One row per piece: id, piece, piece_start, n_tokens, bin_id, bin_size, bin_offset.
 
