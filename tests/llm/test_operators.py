@@ -2,6 +2,7 @@
 
 import functools
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -112,6 +113,26 @@ def test_sentencepiece_round_trip_and_best_sum(spark):
     assert {r.doc_id for r in sentencepiece_lattice.encode(df, model).collect()} == {1}
 
 
+def test_sentencepiece_documents(spark, tmp_path):
+    import hashlib
+
+    import public_tokenizers
+
+    texts = [(1, "the tokens of a text\n and 世\U0001f600x"), (1, "the tokens  the the "), (2, None), (3, ""), (4, " a"), (5, "the " * 300), (6, "a▁b"), (None, "of a text"), (None, "of a text")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    model = sentencepiece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {r.word: list(r.ids) for r in sentencepiece_lattice.encode_words(sentencepiece_lattice.distinct_words(df), model).collect()}
+    want = Counter()
+    for i, t in texts:
+        coded = [x for w in re.split(sentencepiece_lattice.WORD, "▁" + t.replace(" ", "▁")) for x in ids[w]] if t else []
+        want[i, len(coded), hashlib.sha256(" ".join(map(str, coded)).encode()).hexdigest(), None if t is None else "▁" not in t] += 1
+    assert Counter(tuple(r) for r in sentencepiece_lattice.op8_sentencepiece(spark, str(tmp_path)).collect()) == want
+    for hot in (1, 3):
+        rows = sentencepiece_lattice.encode(df.where("doc_id = 5"), model, hot_words=hot).orderBy("word_no").collect()
+        assert [list(r.ids) for r in rows] == [ids[w] for w in re.split(sentencepiece_lattice.WORD, "▁" + texts[5][1].replace(" ", "▁"))]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.op10_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

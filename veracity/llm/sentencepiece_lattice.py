@@ -101,15 +101,42 @@ def encode_words(words: DataFrame, model: tuple) -> DataFrame:
     return path.select("word", "n", F.when(F.exists("path", lambda x: x["id"] < 0), whole).otherwise(plain).alias("ids"))
 
 
-def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 4096) -> DataFrame:
     """(id, word_no, ids): the piece ids of every word of every text, in order of word_no.
 
     A text's encoding is its words' ids one after the other.  Null and empty texts have no rows;
-    texts that repeat an id have rows each; other columns are not read.
+    texts that repeat an id have rows each; other columns are not read.  The ``hot_words`` most
+    frequent words are joined by broadcast, so that none of them gathers its occurrences in a task.
     """
     marked = F.concat(F.lit(MARK), F.replace(F.col(text_col), F.lit(" "), F.lit(MARK)))
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.posexplode(F.split(marked, WORD)).alias("word_no", "word"))
-    return rows.join(encode_words(distinct_words(docs, text_col), model).select("word", "ids"), "word").select(id_col, "word_no", "ids")
+    words = distinct_words(docs, text_col)
+    hot = words.orderBy(F.desc("n"), "word").limit(hot_words)
+    rare = encode_words(words.join(F.broadcast(hot.select("word")), "word", "left_anti"), model).select("word", "ids")
+    tried = rows.join(F.broadcast(encode_words(hot, model).select("word", F.col("ids").alias("_hot"))), "word", "left")
+    found = tried.where("_hot is not null").select(id_col, "word_no", F.col("_hot").alias("ids"))
+    return found.unionByName(tried.where("_hot is null").join(rare.hint("merge"), "word").select(id_col, "word_no", "ids"))
+
+
+def encode_documents(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_sha256, ids): one row per row of ``docs``, with the piece ids of its text in order.
+
+    A null or empty text has no ids; texts that repeat an id stay apart.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_text"), F.col(id_col), F.col(text_col))
+    coded = encode(rows, model, "_text", text_col).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("word_no", "ids"))).alias("_words"))
+    coded = coded.select("_text", F.flatten(F.transform("_words", lambda w: w["ids"])).alias("ids"))
+    texts = rows.select("_text", id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("text_sha256"))
+    none = F.array().cast("array<int>")
+    return texts.join(coded.hint("merge"), "_text", "left").select(id_col, "text_sha256", F.coalesce("ids", none).alias("ids"))
+
+
+def decode(coded: DataFrame, model: tuple) -> DataFrame:
+    """``coded`` with decoded: the bytes of each row's ids put together, without the mark before the first word."""
+    by_id = {r["id"]: bytes(r["bytes"]).hex() for r in model[0].select("id", "bytes").collect()}
+    table = F.split(F.lit(",".join(by_id.get(i, "") for i in range(max(by_id) + 1))), ",")
+    whole = F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(table, i + 1)), "")).cast("string")
+    return coded.withColumn("decoded", F.substr(whole, F.lit(2)))
 
 
 def decode_words(coded: DataFrame, model: tuple) -> DataFrame:
@@ -121,10 +148,11 @@ def decode_words(coded: DataFrame, model: tuple) -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir):
-    """Every distinct word of all documents: its occurrences, piece ids, and the text they decode to."""
+    """Every document: the number of its pieces, a digest of their ids in order, and whether they decode to its text (null for a null text)."""
     import public_tokenizers
 
     model = piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    coded = encode_words(distinct_words(spark.read.parquet(f"{sf_dir}/documents.parquet")), model)
-    decoded = decode_words(coded, model)
-    return decoded.select("word", F.col("n").alias("occurrences"), F.size("ids").cast("long").alias("n_pieces"), F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("piece_ids"), "decoded")
+    coded = decode(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
+    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("decoded_equal"))
