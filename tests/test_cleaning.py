@@ -43,6 +43,28 @@ def test_business_copies_keep_the_first(spark):
     assert [(r.Test_ID, r.Phone_Number, r.Transaction_Time) for r in out.cleaned.orderBy(ROW).collect()] == [("1", "9876543210", "14:05:09"), ("3", "81234567", "14:30:00")]
 
 
+@pytest.mark.parametrize("dates, want, form", [
+    (["16/06/2026", "05/12/2026"], ["2026-06-16", "2026-12-05"], ("DD/MM/YYYY", 99.0)),
+    (["06/16/2026", "05/12/2026"], ["2026-06-16", "2026-05-12"], ("MM/DD/YYYY", 99.0)),
+    (["16.06.2026", "06.16.2026", "05.12.2026"], ["2026-06-16", "2026-06-16", "2026-05-12"], ("Mixed Formats", 50.0)),
+    (["16/06/2026", "17/06/2026", "06/16/2026", "05/12/2026"], ["2026-06-16", "2026-06-17", "2026-06-16", "2026-12-05"], ("Dominant Format: DD/MM/YYYY", 66.7)),
+    ([None, None], ["ERROR", "ERROR"], ("unknown", 0.0)),
+])
+def test_date_order_is_inferred(spark, dates, want, form):
+    rows = [(str(i), "India", f"98765432{i:02}", d, "14:05:09") for i, d in enumerate(dates)] + [("us", "USA", "3125550100", "05/12/2026", "14:05:09")]
+    out = clean.clean_table(table(spark, CALLS, rows), "SOFT")
+    assert [r.Transaction_Date for r in out.rows.orderBy(ROW).collect()] == [*want, "2026-05-12"]
+    if any(dates):
+        assert (out.date_format, out.date_confidence) == form
+        entries = out.audit.where("action = 'date_standardization'").collect()
+        assert {(r.row_no, r.cleaned) for r in entries} == {(i + 1, d) for i, d in enumerate([*want, "2026-05-12"])}
+
+
+def test_given_date_order_is_kept(spark):
+    rows = [("1", "India", "9876543210", "16/06/2026", "14:05:09"), ("2", "India", "9876543211", "05/12/2026", "14:05:09")]
+    assert [r.Transaction_Date for r in clean.clean(table(spark, CALLS, rows), "SOFT", dayfirst=False).orderBy(ROW).collect()] == ["2026-06-16", "2026-05-12"]
+
+
 def test_modes(spark):
     rows = [("T1", "usd currency", "A b@X.com", "+91 98765 43210", "India", "2024-01-05", "card", "5", "$"), ("T2", None, "a@x.com", "9876543210", "IN", "1999-01-05", None, "7", "rs"), ("T3", "n", "bad", "12", "IN", "nope", "cash", "-1", "XYZ")]
     got = {m: {r.transaction_id: r for r in clean.clean(table(spark, PAID, rows), m).collect()} for m in ("STRICT", "SMART", "SOFT")}

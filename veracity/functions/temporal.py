@@ -99,6 +99,20 @@ def standardize_time(c: Column) -> Column:
     return F.coalesce(parse_time(c), F.lit("ERROR"))
 
 
+#: in the order in which they are looked for
+SEPARATORS = ("-", "/", ".")
+
+
+def date_separator(c: Column) -> Column:
+    """What parts a cell in three, null where nothing does."""
+
+    def found(t: Column) -> Column:
+        first = F.when(t.contains("-"), "-").when(t.contains("/"), "/").when(t.contains("."), ".")
+        return F.when(F.length(t) - F.length(F.replace(t, first, F.lit(""))) == 2, first)
+
+    return let(strip(c), found)
+
+
 def date_vote(c: Column) -> Column:
     """Which order a three-part date speaks for: yyyy, dd, mm or ambiguous; null where it casts no vote."""
     return let(strip(c), _date_vote)

@@ -15,7 +15,7 @@ from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
 from veracity.operators.dedupe import business_columns, keep_first
-from veracity.operators.profile import mode_values
+from veracity.operators.profile import date_order, mode_values
 from veracity.operators.schema import classify, mandatory, resolve_roles
 from veracity.sources.tables import ROW
 
@@ -34,6 +34,14 @@ class CleanResult:
     warnings: DataFrame
     duplicates: DataFrame
     audit: DataFrame
+    date_format: str = "unknown"
+    date_confidence: float = 0.0
+
+
+def infer_date_order(df: DataFrame) -> tuple[bool | None, str, float]:
+    """(dayfirst, format, confidence) of the table's date column; undecided without one."""
+    roles = resolve_roles([c for c in df.columns if c != ROW])
+    return date_order(df, roles["transaction_date"]) if "transaction_date" in roles else (None, "unknown", 0.0)
 
 
 def imputation_values(df: DataFrame, mode: str) -> dict[str, str]:
@@ -59,17 +67,19 @@ def _listed(items: list[Column], kind: str) -> Column:
     return F.array_compact(F.array(*items).cast(f"array<{kind}>"))
 
 
-def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool = False, values: dict[str, str] | None = None) -> DataFrame:
+def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, values: dict[str, str] | None = None) -> DataFrame:
     """``df`` (nullified, with row ids) cleaned, plus row_status, route and audit entries.
 
     A row whose id (the customer's in a customer dataset) stands in several rows is a duplicate: it is
     not cleaned further.  Errors go to ``errors``, else warnings to ``warnings`` where the mode drops
-    them, the rest is ``cleaned``; SOFT keeps every row.
+    them, the rest is ``cleaned``; SOFT keeps every row.  The order of day and month is inferred from the
+    whole date column unless ``dayfirst`` is given; undecided columns and rows of the US have the month first.
     """
     headers = [c for c in df.columns if c != ROW]
     roles, kind = resolve_roles(headers), classify(headers)
     must = mandatory(kind)
     values = imputation_values(df, mode) if values is None else values
+    dayfirst = bool(infer_date_order(df)[0]) if dayfirst is None else dayfirst
     id_role = "customer_id" if kind == "Customer Dataset" else "transaction_id"
     t = df
     if id_role in roles:
@@ -175,16 +185,17 @@ def cleaning_stats(rows: DataFrame) -> DataFrame:
     return t.withColumn("success_rate", F.bround(F.col("rows_retained") * 100.0 / F.greatest("total_processed", F.lit(1)), 1))
 
 
-def clean_table(df: DataFrame, mode: str = "SMART", dayfirst: bool = False) -> CleanResult:
+def clean_table(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None) -> CleanResult:
     """All outputs of a cleaning run; business duplicates are removed from the cleaned rows, keeping the first."""
-    rows = clean(df, mode, dayfirst)
+    inferred, date_format, confidence = infer_date_order(df)
+    rows = clean(df, mode, bool(inferred) if dayfirst is None else dayfirst)
     headers = [c for c in df.columns if c != ROW]
     keys = business_columns(headers)
     status = ["row_status"] if mode == "SOFT" else []
     kept = keep_first(rows.where("route = 'cleaned'"), [*keys, *status])
     pick = lambda route: rows.where(F.col("route") == route).select(ROW, *headers)
     warned = rows.where("has_warning and row_status <> 'ERROR' and row_status <> 'CRITICAL'").select(ROW, *headers)
-    return CleanResult(rows, kept.select(ROW, *headers, *status), pick("errors"), warned, pick("duplicates"), audit_trail(rows))
+    return CleanResult(rows, kept.select(ROW, *headers, *status), pick("errors"), warned, pick("duplicates"), audit_trail(rows), date_format, confidence)
 
 
 #: actions that count as repairs in the resolution rate

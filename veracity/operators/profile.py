@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions.cells import EMPTY_WORDS, email_ok, is_missing, nullify, strip
-from veracity.functions.temporal import date_vote, parse_date, parse_time
+from veracity.functions.temporal import SEPARATORS, date_separator, date_vote, decide_date_format, parse_date, parse_time
 from veracity.sources.tables import ROW
 
 
@@ -82,6 +82,16 @@ def date_votes(df: DataFrame, col: str) -> DataFrame:
     return df.select(date_vote(F.col(col)).alias("vote")).where("vote is not null").groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
 
 
+def date_order(df: DataFrame, col: str) -> tuple[bool | None, str, float]:
+    """(dayfirst, format, confidence) of a date column, from the votes of all its cells in one aggregation; dayfirst is null where they are undecided."""
+    v = F.col(f"`{col}`")
+    counts = df.agg(*[F.count_if(date_vote(v) == k).alias(k) for k in ("yyyy", "dd", "mm", "ambiguous")], *[F.count_if(date_separator(v) == x).alias(x) for x in SEPARATORS]).first().asDict()
+    used = {x: counts.pop(x) for x in SEPARATORS}
+    if any(used.values()) and not any(counts.values()):
+        counts["ambiguous"] = 1  # three parts, none of them of digits only: undecided rather than unknown
+    return decide_date_format(counts, max(used, key=used.get))
+
+
 def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, value): most frequent value of each column, the smallest of equally frequent ones."""
     counts = unpivot(df, cols).where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
