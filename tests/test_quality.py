@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
-from veracity.operators import schema
+from veracity.operators import profile, schema
 from veracity.operators.chunk import chunk_archives
 from veracity.plans import queries as Q
 from veracity.sources.tables import ROW, with_row_ids
@@ -77,6 +77,18 @@ def test_chunk_archives(spark):
         chunk_archives(rows, 0)
 
 
+def test_column_types_match_sql(spark, sf_dir):
+    test_matches_sql(spark, sf_dir, "column_types")
+
+
+def test_column_types_read_all_rows(spark):
+    rows = [(i, None if i < 150 else "word", "5" if i < 100 else "text", "2024-01-05") for i in range(1000)]
+    df = spark.createDataFrame(rows, f"{ROW} long, late string, turned string, day string")
+    assert {tuple(r) for r in profile.column_types(df, ["late", "turned", "day"]).collect()} == {("late", "Text/String"), ("turned", "Text/String"), ("day", "Date")}
+    apart = df.withColumn(ROW, F.col(ROW) * 7 + 1000)
+    assert {tuple(r) for r in profile.column_types(apart, ["late", "turned", "day"], first_rows=100).collect()} == {("late", "Email"), ("turned", "Numeric"), ("day", "Date")}
+
+
 def test_date_votes():
     assert D.decide_date_format({"dd": 2})[0] is True and D.decide_date_format({"mm": 1, "dd": 1})[:2] == (None, "Mixed Formats")
 

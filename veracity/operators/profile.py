@@ -37,9 +37,13 @@ def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
     return t.select("column_name", "non_empty", (F.col("n") - F.col("non_empty")).alias("empty"), F.bround(F.col("non_empty") * 100.0 / F.col("n"), 1).alias("completeness"))
 
 
-def column_types(df: DataFrame, cols: list[str], sample: int = 100) -> DataFrame:
-    """column_name, column_type from the first ``sample`` rows; a column of blanks counts as Email."""
-    head = df.where(F.col(ROW) < sample)
+def column_types(df: DataFrame, cols: list[str], first_rows: int | None = None) -> DataFrame:
+    """column_name, column_type from all rows; a column of blanks counts as Email.
+
+    ``first_rows`` is there for compatibility with the reference, which looks at 100 cells: only so many
+    rows, the first by row id, are read then.
+    """
+    head = df if first_rows is None else df.orderBy(ROW).limit(first_rows)
     v = F.coalesce("value", F.lit(""))
     filled = strip(v) != ""
     digits = F.regexp_replace(v, r"[^0-9.\-]", "")

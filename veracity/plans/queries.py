@@ -209,7 +209,17 @@ def empty_columns(spark, sf_dir):
     return profile.empty_columns(df, [*HEADERS, "notes"])
 
 
-@query("column_types", None)
+_DIGITS = r"regexp_replace(v, '[^0-9.\-]', '', 'g')"
+_FILLED = {
+    "no_email": f"NOT {s_email_ok('v')}", "times": f"({s_time('v')}) IS NOT NULL", "dates": f"({s_date('v')}) IS NOT NULL", "numbers": f"TRY_CAST({_DIGITS} AS DOUBLE) IS NOT NULL",
+    "phones": "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 7 AND 15", "no_boolean": f"lower({s_strip('v')}) NOT IN ('true', 'false', 'yes', 'no', '0', '1', 't', 'f', 'y', 'n')",
+}
+_TYPES = f"""{_CTE}, c AS (SELECT column_name, coalesce(value, '') AS v FROM ({_LONG})),
+t AS (SELECT column_name, count(*) AS n, {", ".join(f"count_if({s_strip('v')} <> '' AND {x}) AS {k}" for k, x in _FILLED.items())} FROM c GROUP BY 1)
+SELECT column_name, CASE WHEN no_email = 0 THEN 'Email' WHEN times > 0.7 * n THEN 'Time' WHEN dates > 0.7 * n THEN 'Date' WHEN numbers > 0.8 * n THEN 'Numeric' WHEN phones > 0.7 * n THEN 'Phone' WHEN no_boolean = 0 THEN 'Boolean' ELSE 'Text/String' END AS column_type FROM t"""
+
+
+@query("column_types", _TYPES)
 def column_types(spark, sf_dir):
     return profile.column_types(nullified(spark, sf_dir), HEADERS)
 
