@@ -229,6 +229,26 @@ def test_packing_costs_least(counts, lengths):
     assert all(n <= final[b] for b, n in ends.items())
 
 
+def test_bands_keep_the_miss_rate():
+    for percent in (80, 85, 90):
+        bands = minhash.bands_for(percent, 6)
+        for u in range(2, 200):
+            k = -(-percent * u // 100)
+            assert (1 - (k * (k - 1) / (u * (u - 1))) ** 3) ** bands < 1e-6
+    assert minhash.bands_for(85, 6) == 32
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(5, "x"), (5, "a unique text"), (9, "x"), (7, "again"), (7, "again"), (None, "lost"), (None, "lost"), (None, "x")], "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in corpus_pipeline.exact(spark, docs, None).collect()) == Counter([(5, "a unique text"), (9, "x"), (7, "again"), (None, "lost")])
+    words = [f"w{i}" for i in range(100)]
+    copy, other = " ".join(words), " ".join(f"v{i}" for i in range(100))
+    docs = spark.createDataFrame([(5, copy + " end"), (5, other), (3, copy), (None, copy + " last")], "doc_id long, text string")
+    assert Counter(tuple(r) for r in corpus_pipeline.near(spark, docs, None).collect()) == Counter([(3, copy), (5, other)])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

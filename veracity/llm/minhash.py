@@ -2,8 +2,9 @@
 
 Each of ``bands * rows / 2`` hash functions is evaluated once per shingle and gives two signature
 values, the minimum and the maximum, so a signature needs half the evaluations of plain MinHash and
-its estimate has lower variance.  A band is ``rows`` values (pairs of minimum and maximum).  With
-32 bands of 6 values, two sets of similarity 0.85 share no band with probability under 1e-6.
+its estimate has lower variance.  A band is ``rows`` values (pairs of minimum and maximum).  There are
+as many bands as keep the probability that two sets of the least similarity share none under 1e-6,
+short sets included: 32 bands of 6 values at 0.85, 57 at 0.8.
 
 Documents with equal sets form a class; only one of each class is banded.  A bucket's hub is its
 least id.  Pairs are confirmed in three rounds, each followed by connected components: every member
@@ -16,6 +17,7 @@ near copies costs a pair a member.
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -28,6 +30,13 @@ from veracity.llm.storage import materialize
 from veracity.llm.words import mix, shingle_sets
 
 
+def bands_for(percent: int, rows: int, miss: float = 1e-6, least: int = 32) -> int:
+    """Bands with which a pair of at least the similarity, whatever its sizes, shares none with probability under ``miss``."""
+    # minimum and maximum of a union of u agree if both are among the k shingles shared
+    agree = min(k * (k - 1) / (u * (u - 1)) for u in range(2, 2001) for k in [-(-percent * u // 100)] if k > 1)
+    return max(least, math.ceil(math.log(miss) / math.log1p(-(agree ** (rows // 2)))) if agree < 1 else 1)
+
+
 def _sketcher(width: int, bands: int, rows: int, seed: int):
     per_band = rows // 2
     rng = np.random.default_rng(seed)
@@ -121,7 +130,7 @@ def _placed(slots: DataFrame, joined: DataFrame) -> DataFrame:
     return slots.join(joined, "id", "left").select("key", "hub", "id", "n", F.coalesce("component", "id").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int = 32, rows: int = 6, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, bands: int | None = None, rows: int = 6, seed: int = 7) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     * texts without words (null and empty ones too) have no shingles, ``component_id`` is their own id;
@@ -129,6 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * an id stands for one text: rows that repeat an id with its text get equal rows;
     * shingles are told apart by 64-bit fingerprints, classes by 128-bit ones; other columns are not read.
     """
+    bands = bands_for(percent, rows) if bands is None else bands
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = materialize(plain.mapInPandas(_sketcher(width, bands, rows, seed), "id long, n long, class binary, keys array<long>, low array<long>"), "sketch")
     sets = base.where("id is not null and n > 0")
