@@ -22,20 +22,27 @@ def language(spark, docs, sf_dir):
     return identify(docs, models).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def _without(docs, verdicts):
-    """Documents not marked as dropped; one with a null id cannot be named and stays."""
-    gone = verdicts.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def exact(spark, docs, sf_dir):
-    """One document of each group of equal texts."""
-    return _without(docs, exact_groups(docs))
+    """One document of each group of equal texts; of rows that repeat an id with its text, a null one too, one stays."""
+    # a null id is left out of the key, so that it names its row by the text alone
+    key = lambda sha: F.concat_ws(" ", F.col("doc_id").cast("string"), sha).alias("_key")
+    gone = exact_groups(docs).where("not kept").select(key(F.col("text_sha256"))).distinct()
+    rows = docs.select("*", key(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return rows.join(gone.hint("merge"), "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def near(spark, docs, sf_dir):
-    """One document of each component of near-duplicates (five words, similarity 0.8 or more)."""
-    return _without(docs, near_duplicates(docs, percent=80))
+    """One document of each component of near-duplicates (five words, similarity 0.8 or more), the least id, null last.
+
+    Rows are told apart by their place, as an id may stand at two texts or be null.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates(rows, "_row", percent=80).select("_row", "component_id")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    alike = found.join(many.hint("merge"), "component_id").join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    first = alike.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = alike.select("_row").join(first.select("_row").hint("merge"), "_row", "left_anti")
+    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def packing(spark, docs, sf_dir):
