@@ -166,6 +166,37 @@ def test_warc_rejects_magic_in_payloads(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_magic_in_headers(spark, compression):
+    rows = [(i, f"https://host/{'specs/WARC/1.1/' * (i % 4)}{i}", "x" * (i % 53) + "WARC/1.0\r\nA: b" * (i % 2)) for i in range(120)]
+    rows += [(200, "WARC/1.", "WARC/1."), (201, "WARC/1.0", None), (202, "a WARC/1.0 WARC/1.1\r\nX: WARC/1.", "y" * 3000), (202, "u", "z"), (None, "WARC/1.", "q"), (203, "WARC/1.", "y" * 3000)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_bytes", F.lit("x"))
+        path, plain = new_path(spark, "warc"), new_path(spark, "pages")
+        df.write.parquet(plain)
+        warc.write_warc(df.coalesce(2), path, compression=compression)
+        records = warc.read_warc(spark, path, lambda p: F.struct(F.octet_length(p).cast("long").alias("bytes"), F.sha1(p).alias("sha1")))
+        oracle(warc.page_records(records), warc.ORACLE_SQL, pages=f"{plain}/*.parquet")
+        urls = Counter(r.u for r in records.select(F.regexp_extract("head", "WARC-Target-URI: ([^\r]*)", 1).alias("u")).collect())
+        assert urls == Counter(re.sub("[\r\n]", "%20", u) for _, u, _ in rows)
+        warc.write_warc(df.limit(0), empty := new_path(spark, "warc"))
+        assert warc.page_records(warc.read_warc(spark, empty, lambda p: F.struct(F.octet_length(p).cast("long").alias("bytes"), F.sha1(p).alias("sha1")))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_broken_chain_is_an_error(spark):
+    good = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for text in (good + "stray" + good, good + good.replace(": 2", ": 5"), good.replace(": 2", ": x") + good):
+        path = new_path(spark, "warc")
+        spark.createDataFrame([(text[:-4],)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+        with pytest.raises(ValueError, match="breaks off"):
+            warc.read_warc(spark, path)
+
+
 def test_top_k_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, []), (7, [1.0]), (8, [-1.0, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))

@@ -6,12 +6,14 @@ file yields candidates with their byte offset and the offset of the successor th
 announces.  The magic may stand inside a payload too; so the chain of successors is followed from
 each file's start by pointer jumping, and only candidates on it are records.  Candidates that follow
 each other without a gap form a run, which one pointer crosses; the number of rounds is the
-logarithm of the number of runs.  Texts that the magic cut in two are put together again.
+logarithm of the number of runs.  Texts that the magic cut in two are put together again, headers
+(a URL may hold the magic) before the chain is followed, payloads after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from veracity.llm.storage import materialize, new_path
 
 MAGIC, END, BLANK = "WARC/1.", "\r\n\r\n", "\r\n\r\n"
-EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+#: a header is no longer than this, and the magic stands in it no oftener than ``INNER`` times
+MOST_HEADER, INNER = 1 << 16, 30
 
 
 def _safe(c: Column) -> Column:
@@ -55,13 +58,37 @@ def _header(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, f"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
 
 
+def _mended_headers(placed: DataFrame) -> DataFrame | None:
+    """file, split, at, head, start, length of the records whose header holds the magic; None if there are none.
+
+    An open header, which ends inside a value, is joined to the chunk that begins where it stops, and so
+    on until one holds the blank line.
+    """
+    n = len(MAGIC)
+    parts = placed.where("part is not null").select("file", "offset", (F.col("offset") + n + F.col("size")).alias("next"), "part", "closes")
+    left = placed.where(F.col("part").rlike("^[01]\r\n") & ~F.col("closes")).select("file", "split", "at", (F.col("offset") + n + F.col("size")).alias("next"), F.col("part").alias("text"))
+    done = []
+    for _ in range(INNER):
+        if left.isEmpty():
+            break
+        met = left.join(parts.withColumnsRenamed({"offset": "o", "next": "after"}), [left["file"] == parts["file"], left["next"] == F.col("o")])
+        met = materialize(met.select(left["file"], "split", "at", F.col("after").alias("next"), F.concat("text", F.lit(MAGIC), "part").alias("text"), "closes").where(F.octet_length("text") <= MOST_HEADER), "warc-headers")
+        done.append(met.where("closes"))
+        left = met.where("not closes").drop("closes")
+    if not done:
+        return None
+    whole = reduce(DataFrame.unionByName, done)
+    return materialize(whole.select("file", "split", "at", F.col("text").alias("head"), (F.octet_length("text") + len(BLANK)).cast("long").alias("start"), _header(F.col("text"), "Content-Length").try_cast("long").alias("length")), "warc-headers")
+
+
 def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column] = lambda p: p, max_rounds: int = 40) -> DataFrame:
     """file, offset, head (the header lines), content_length and payload of every record.
 
     ``payload`` is applied to the payload (binary) where it is read, so that with a digest or a length
-    for instance only that travels.  Candidates off the chain are no records.  Where the chain of a
-    file breaks (an offset with no record) its records up to there are returned.  Offsets are those
-    of the decompressed file.  An empty folder gives no rows.
+    for instance only that travels.  Candidates off the chain are no records.  A file whose chain
+    breaks off before its end (bytes between records, a record cut short, a wrong length) raises a
+    ``ValueError`` that names it: no record is left out silently.  Offsets are those of the
+    decompressed file.  An empty folder gives no rows; records that stand twice are returned twice.
     """
     lines = spark.read.option("lineSep", MAGIC).text(path)
     raw = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bin"))
@@ -74,15 +101,25 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     start = F.octet_length("head").cast("long") + len(BLANK)
     body = F.substring("bin", (start + 1).cast("int"), length.cast("int"))
     whole = start + length <= F.col("size")
-    slim = materialize(chunks.select("file", "split", "at", "size", "head", start.alias("start"), length.alias("length"), whole.alias("whole"), F.when(whole, payload(body)).alias("payload")), "warc-chunks")
+    # a chunk of header lines behind the rest of a line may belong to a header that holds the magic
+    closes = F.instr(text, BLANK) > 0
+    rest = F.when(closes, F.substring_index(text, BLANK, 1)).when(F.col("size") <= MOST_HEADER, text)
+    fields = F.forall(F.slice(F.split(rest, "\r\n"), 2, 1 << 20), lambda x: x.rlike("^[A-Za-z0-9-]+:"))
+    part = F.coalesce("head", F.when(fields, rest))
+    slim = chunks.select("file", "split", "at", "size", "head", start.alias("start"), length.alias("length"), F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, payload(body)).alias("payload"), part.alias("part"), closes.alias("closes"))
+    slim = materialize(slim, "warc-chunks")
 
     # byte offsets: prefix sums inside each split, then over the splits of a file
     inside = Window.partitionBy("file", "split").orderBy("at")
     n = len(MAGIC)
     sums = slim.groupBy("file", "split").agg(F.sum(F.col("size") + n).alias("total"))
     before = sums.select("file", "split", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = slim.select("file", "split", "at", "start", "length", F.coalesce(F.sum(F.col("size") + n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("local"))
+    local = slim.select("file", "split", "at", "size", "start", "length", "part", "closes", F.coalesce(F.sum(F.col("size") + n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("local"))
     placed = local.join(before, ["file", "split"]).withColumn("offset", F.col("base") + F.col("local") - n)
+    mended_heads = _mended_headers(placed)
+    placed = placed.drop("part", "closes")
+    if mended_heads is not None:
+        slim, placed = (df.join(mended_heads.withColumnsRenamed({c: f"_{c}" for c in ("head", "start", "length")}), ["file", "split", "at"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("head", "start", "length") if c in df.columns}).select(df.columns) for df in (slim, placed))
     cand = placed.where("length is not null and length >= 0 and offset >= 0").select("file", "split", "at", "offset", (F.col("offset") + n + F.col("start") + F.col("length") + len(END)).alias("next"))
     # runs of candidates that follow each other: one pointer from each member to the offset behind the run
     new_run = F.coalesce(F.lag("next").over(inside) != F.col("offset"), F.lit(True)).cast("int")
@@ -96,7 +133,9 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     jump = materialize(jump.join(entries.select("file", F.col("to").alias("offset")).unionByName(reached).distinct(), ["file", "offset"], "left_semi"), "warc-jumps")
     reached = materialize(reached, "warc-reached")
     count = reached.count()
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
+        if turn == max_rounds:
+            raise RuntimeError(f"the chains did not end in {max_rounds} rounds")
         ahead = reached.join(jump, ["file", "offset"]).select("file", F.col("to").alias("offset")).join(jump.select("file", "offset"), ["file", "offset"], "left_semi")
         reached = materialize(reached.unionByName(ahead).distinct(), "warc-reached")
         now = reached.count()
@@ -108,6 +147,11 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     # a run is entered at most at one place that matters: its first reached member
     enter = reached.join(cand, ["file", "offset"]).groupBy("file", "split", "run").agg(F.min("offset").alias("enter"))
     true = cand.join(enter, ["file", "split", "run"]).where("offset >= enter").select("file", "split", "at", "offset", "next")
+    ends = sums.groupBy("file").agg((F.sum("total") - n).alias("end")).join(true.groupBy("file").agg(F.max("next").alias("last")), "file", "left")
+    # the last record may lack its terminator
+    short = [r["file"] for r in ends.where(F.col("end") > 0).where(~F.coalesce((F.col("last") - F.col("end")).isin(0, len(END)), F.lit(False))).select("file").limit(5).collect()]
+    if short:
+        raise ValueError(f"the chain of records breaks off before the end of {', '.join(short)}")
     records = slim.join(true, ["file", "split", "at"])
     ready = records.where("whole").select("file", "offset", "head", F.col("length").alias("content_length"), "payload")
 
@@ -129,7 +173,7 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
 def page_records(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of records read with length and SHA-1.
 
-    A revisit takes length and digest from the response it refers to.
+    A revisit takes length and digest from the response it refers to; where that is missing they are null.
     """
     urn = lambda name: F.nullif(F.regexp_extract(_header(F.concat(F.lit("\r\n"), "head"), name), "^<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
     r = records.select(urn("WARC-Record-ID").alias("page_id"), _header("head", "WARC-Type").alias("record_type"), urn("WARC-Refers-To").alias("refers_to"), "payload")
@@ -137,7 +181,7 @@ def page_records(records: DataFrame) -> DataFrame:
     again = r.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
     wanted = again.select(F.col("refers_to").alias("page_id")).distinct()
     full = own.join(wanted, "page_id", "left_semi").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    return own.unionByName(again.join(full, "refers_to").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    return own.unionByName(again.join(full, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 ORACLE_SQL = """
