@@ -2,6 +2,7 @@
 
 import functools
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -89,10 +90,41 @@ def test_token_counts(spark, sf_dir):
     lib = sentencepiece.SentencePieceProcessor(model_file=model)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert {r.doc_id: r.n_tokens for r in token_counts.op7_token_counts(spark, sf_dir).collect()} == {r.doc_id: len(lib.encode(r.text)) for r in docs.collect()}
-    odd = ["", " a  b", "xx▁y zz " * 30, "n" * 100, "  " * 30, "\n a <s> </s> " * 9, "<0x41> \x00", None]
-    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
-    for chunk in (1, 3, 1 << 16):
-        assert [r.n_tokens for r in token_counts.count_tokens(df, model, chunk=chunk).orderBy("doc_id").collect()] == [len(lib.encode(t or "")) for t in odd]
+    rng = random.Random(3)
+    odd = ["", " a  b", "xx▁y zz " * 30, "n" * 100, "  " * 30, "\n a <s> </s> " * 9, "<0x41> \x00", None, "".join(rng.choice("aeinorst世") for _ in range(4000)), " a  b"]
+    df = spark.createDataFrame([*enumerate(odd), (0, "the same id")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n_tokens", "row", "rest", "_")})
+    want = Counter((i, len(lib.encode(t or "")), "x") for i, t in [*enumerate(odd), (0, "the same id")])
+    for chunk in (1, 3, 50, 1 << 16):
+        assert Counter((r.doc_id, r.n_tokens, r.row) for r in token_counts.count_tokens(df, model, chunk=chunk).collect()) == want
+    assert token_counts.count_tokens(df.limit(0), model).count() == 0
+    big = df.where("doc_id = 8").withColumn("text", F.repeat("text", 300))
+    assert token_counts.count_tokens(big, model).first().n_tokens == len(lib.encode(odd[8] * 300))
+
+
+def test_transducer_equals_merging(spark):
+    """The automaton against plain merging, on a made-up vocabulary with overlapping tokens."""
+
+    def merged(ranks, text):
+        parts = list(text)
+        while True:
+            r, i = min(((ranks.get(a + b, 999), i) for i, (a, b) in enumerate(itertools.pairwise(parts))), default=(999, 0))
+            if r == 999:
+                return sum(1 if x in ranks else len(x.encode()) for x in parts)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rng = random.Random(5)
+    for _ in range(20):
+        tokens, names = list("abc▁"), set("abc▁")
+        while len(tokens) < 40:
+            new = rng.choice(tokens) + rng.choice(tokens)
+            if new not in names and len(new) < 9:
+                tokens.append(new)
+                names.add(new)
+        ranks = {t: r for r, t in enumerate(tokens)}
+        t = token_counts.Transducer(ranks)
+        for _ in range(200):
+            text = "".join(rng.choice("aabbc ▁é") for _ in range(rng.randint(1, 40)))
+            assert t.count(text) == merged(ranks, "▁" + text.replace(" ", "▁"))
 
 
 def test_sentencepiece_round_trip_and_best_sum(spark):

@@ -1,16 +1,22 @@
-"""Token counts from a tokenizer compiled to a deterministic transducer.
-
-The vocabulary's word mark stands only at the front of a piece, so no merge crosses the point where
-a run of other characters ends and a space begins: there the transducer is back in its start state.
-Between two such points lies a segment, and the transducer's path over one segment always emits the
-same number of tokens.  Paths are compiled when first met: the segment becomes one transition
-(path-compressed), annotated with its emitted-token count.
-
-A chunk of text is then a map from the state it is entered in to the state it is left in and the
-tokens emitted on the way.  As the state is the open segment, the map is ``(head, inner, tail)``:
-text up to the first reset, tokens between the first and the last reset, text after the last; or
-only a head, when the chunk has no reset.  Maps compose associatively, so long texts are cut into
-chunks that are mapped by different tasks and composed as a prefix scan over the chunk number.
+"""Token counts from a byte-pair tokenizer compiled to a deterministic transducer.
+
+The greedy merges of byte-pair encoding have a finite-state form: two tokens stand beside each other
+in an encoding just if no merge across their border would come before the merges that build them, and
+every prefix of a text has exactly one encoding whose neighbours all fit.  So the encoding of a prefix
+is its last token behind the encoding of what precedes that token, and only so much of the past counts
+as a token can still reach back over.
+
+A state is the longest end of the text read that a token may still grow from, and for it and each
+shorter such end the last token of the encoding before it and its number of tokens relative to the
+end.  A character leads to the next state and emits tokens (less than none where it lets tokens merge).
+States and transitions are made when first met and kept, each transition with its emitted tokens.  A character that no token holds becomes its UTF-8 bytes, and nothing merges across it.
+
+Texts are cut into chunks, and a chunk's map takes the state at its start to the state at its end and
+the tokens emitted.  A chunk that begins where a run of word marks begins starts in the start state if
+no token holds a mark behind other characters.  Any other chunk is first mapped from the state that the
+``AHEAD`` characters before it lead to; a parallel scan then compares each chunk's first state with the
+last state of the chunk before, chunks where they differ are mapped again from the right one, and so on
+until all agree: as a rule at once, and the result is that of one pass over the text in any case.
 """
 
 from __future__ import annotations
@@ -19,96 +25,245 @@ import re
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 16
-MARK = "\u2581"
+from veracity.llm.storage import materialize
+
+CHUNK, AHEAD = 1 << 16, 64
+MARK = "▁"
 
 
 class Transducer:
-    """Compiled paths of one model: segment -> emitted tokens."""
+    """Deterministic transducer of one byte-pair model: ranks are the model's merge order, the best first."""
+
+    #: a word begins at a mark behind another character
+    WORD = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
-    #: a reset consumes the space (or the mark itself) that opens the next segment
-    RESET = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
+    def __init__(self, ranks: dict[str, int], most: int = 1 << 20):
+        self.rank, self.most = ranks, most
+        self.resets = not any(MARK in p.lstrip(MARK) for p in ranks)
+        #: begins of tokens, each with the longest shorter end of it that is one too, and the tokens that end it
+        begins = {p[:i] for p in ranks for i in range(1, len(p) + 1)}
+        grows = {x[:-1] for x in begins}
+        self.fail, self.ends = {"": ""}, {"": ()}
+        #: the longest end of each that grows on, and the lengths of all its ends that do
+        self.live, self.places = {"": ""}, {"": (0,)}
+        for node in sorted(begins, key=len):
+            fail = next(node[i:] for i in range(1, len(node) + 1) if i == len(node) or node[i:] in begins)
+            self.fail[node] = fail
+            self.ends[node] = ((node,) if node in ranks else ()) + self.ends[fail]
+            self.live[node] = node if node in grows else self.live[fail]
+            self.places[node] = (len(node), *self.places[fail]) if node in grows else self.places[fail]
+        self.letters = {c for p in ranks for c in p}
+        self.edges: dict[str, tuple] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.arcs: dict[str, tuple] = {}
+        self.clear()
 
-    def __init__(self, model_file: str, most: int = 1 << 20):
+    @classmethod
+    def from_sentencepiece(cls, model_file: str, most: int = 1 << 20) -> "Transducer":
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        if any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in range(self.model.get_piece_size())):
-            raise ValueError("a piece holds a word mark behind other characters: segments are not independent")
+        m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        plain = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        best = sorted(plain, key=lambda i: -m.get_score(i))
+        return cls({m.id_to_piece(i): r for r, i in enumerate(best)}, most)
+
+    def clear(self) -> None:
+        """Forget states, transitions and words met."""
+        self.states: dict[tuple, dict] = {}
+        self.start = self._state("", {0: (None, 0)})
         self.paths: dict[str, int] = {}
-        self.most = most
 
-    def compile(self, segments: set[str]) -> None:
-        """Annotate the paths not met before (all are dropped once there are ``most``).
+    def _state(self, node: str, at: dict) -> dict:
+        """The transitions known from a state, by character, and under None the state itself."""
+        key = (node, *at.values())
+        s = self.states.get(key)
+        if s is None:
+            s = self.states[key] = {None: (node, at)}
+        return s
 
-        The model itself puts the mark in front of a segment; an empty segment is the mark alone.
+    def _edge(self, token: str) -> tuple:
+        """(left, right): the tokens at either edge of ``token`` as it is built, with the rank of each but the first."""
+        found = self.edges.get(token)
+        if found is None:
+            parts, left, right = list(token), [(token[0], -1)], [(token[-1], -1)]
+            while len(parts) > 1:
+                r, i = min((self.rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if r == 1 << 60:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if i == 0:
+                    left.append((parts[0], r))
+                if i == len(parts) - 1:
+                    right.append((parts[-1], r))
+            found = self.edges[token] = (left, right) if len(parts) == 1 else ()
+        return found
+
+    def _fit(self, first: str, second: str) -> bool:
+        """Whether both tokens stay as they are beside each other."""
+        key = (first, second)
+        ok = self.fits.get(key)
+        if ok is None:
+            if len(self.fits) > 4 * self.most:
+                self.fits.clear()
+            ok = self.fits[key] = self._grow(self._edge(first)[1], self._edge(second)[0])
+        return ok
+
+    def _grow(self, a: list, b: list) -> bool:
+        """Whether the right edge ``a`` and the left edge ``b`` grow to their ends before a merge joins them.
+
+        The best merge comes first, of equal ones the leftmost; a token's parts come before it.
         """
+        i = j = 0
+        while True:
+            cross = self.rank.get(a[i][0] + b[j][0], 1 << 60)
+            left = a[i + 1][1] if i + 1 < len(a) else 1 << 61
+            right = b[j + 1][1] if j + 1 < len(b) else 1 << 61
+            if cross < left and cross <= right and cross < 1 << 60:
+                return False
+            if left == right == 1 << 61:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
+
+    def _arc(self, node: str, c: str) -> tuple:
+        """(tokens that may end at c, each with its length less one; places behind c; the end that grows on)."""
+        key = node + c
+        while node + c not in self.fail:
+            node = self.fail[node]
+        longer = node + c
+        found = self.arcs[key] = [(t, len(t) - 1) for t in self.ends[longer] if self._edge(t)], self.places[longer], self.live[longer]
+        return found
+
+    def step(self, state: dict, c: str) -> tuple[dict, int]:
+        """(next state, tokens emitted) on the character ``c``."""
+        node, at = state[None]
+        if c not in self.letters:
+            found = state[c] = self.start, len(c.encode("utf-8", "surrogatepass"))
+            return found
+        tokens, places, live = self.arcs.get(node + c) or self._arc(node, c)
+        for token, back in tokens:
+            last, n = at[back]
+            if last is None or self._fit(last, token):
+                break
+        else:
+            raise AssertionError(f"no token ends {node + c!r}")
+        emitted = n + 1
+        kept = {k: (at[k - 1][0], at[k - 1][1] - emitted) if k else (token, 0) for k in places}
+        found = state[c] = self._state(live, kept), emitted
+        return found
+
+    def run(self, state: dict, text: str) -> tuple[dict, int]:
+        """(state, tokens) behind ``text`` entered in ``state``."""
+        total = 0
+        for c in text:
+            found = state.get(c) or self.step(state, c)
+            state = found[0]
+            total += found[1]
+        return state, total
+
+    def portable(self, state: dict) -> tuple[str, list, list]:
+        """The state as its end of text, and the last token and relative number of each place."""
+        node, at = state[None]
+        return node, [t for t, _ in at.values()], [n for _, n in at.values()]
+
+    def entered(self, node: str, tokens: list, numbers: list) -> dict:
+        return self._state(node, dict(zip(self.places[node], zip(tokens, map(int, numbers)))))
+
+    def _tidy(self) -> None:
+        if len(self.states) > self.most:
+            self.clear()
         if len(self.paths) > self.most:
             self.paths.clear()
-        new = [s for s in segments if s not in self.paths]
-        self.paths.update(zip(new, (len(ids) or 1 for ids in self.model.encode(new, num_threads=1))))
-
-    def count(self, texts: list) -> list[int]:
-        """Tokens of texts entered in the start state; null and empty texts emit none."""
-        cut = [self.RESET.split(t) if t else [] for t in texts]
-        self.compile({s for parts in cut for s in parts})
-        return [sum(map(self.paths.__getitem__, parts)) for parts in cut]
-
-    def maps(self, chunks: list[str]) -> list[tuple[str, int, str | None]]:
-        """(head, inner, tail) of each chunk; tail is None where the chunk has no reset."""
-        cut = [self.RESET.split(c) for c in chunks]
-        self.compile({s for parts in cut for s in parts[1:-1]})
-        return [(p[0], sum(map(self.paths.__getitem__, p[1:-1])), p[-1] if len(p) > 1 else None) for p in cut]
-
-    def compose(self, maps: list) -> int:
-        """Tokens of the text whose chunk maps, in order, are ``maps``."""
-        open_, total = "", 0
-        for head, inner, tail in maps:
-            open_ += head
-            if tail is not None:
-                total += (sum(self.count([open_])) if open_ else 1) + inner
-                open_ = tail
-        return total + (sum(self.count([open_])) if open_ else 1)
+
+    def words(self, text: str) -> int:
+        """Tokens of a text that begins and ends with a word's border, each word from the start state."""
+        paths, total = self.paths, 0
+        for word in self.WORD.split(text):
+            n = paths.get(word)
+            if n is None:
+                n = paths[word] = self.run(self.start, word)[1]
+            total += n
+        return total
+
+    def count(self, text: str | None) -> int:
+        """Tokens of a whole text; null and empty texts have none."""
+        self._tidy()
+        if not text:
+            return 0
+        marked = MARK + text.replace(" ", MARK)
+        return self.words(marked) if self.resets else self.run(self.start, marked)[1]
+
+    def chunk(self, before: str, text: str, entry: tuple | None) -> dict:
+        """Map of one chunk of marked text: its first state (``entry``, or what ``before`` leads to), its last, its tokens."""
+        self._tidy()
+        sure = entry is not None or not before or (self.resets and text.startswith(MARK) and not before.endswith(MARK))
+        state = self.entered(*entry) if entry is not None else self.start if sure else self.run(self.start, before)[0]
+        first = self.portable(state)
+        total, rest = 0, text
+        # whole words from the first border on are known paths; the last one is left open
+        if self.resets and len(borders := self.WORD.split(text)) > 1:
+            total = self.run(state, borders[0])[1] + self.words("".join(borders[1:-1])) if len(borders) > 2 else self.run(state, borders[0])[1]
+            state, rest = self.start, borders[-1]
+        last, n = self.run(state, rest)
+        return {"first": first, "last": self.portable(last), "n": total + n}
 
 
 @cache
 def transducer(model_file: str) -> Transducer:
-    return Transducer(model_file)
+    return Transducer.from_sentencepiece(model_file)
+
+
+STATE = "struct<node:string,tokens:array<string>,numbers:array<int>>"
 
 
 def count_tokens(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "n_tokens", chunk: int = CHUNK) -> DataFrame:
     """``docs`` without its text, with ``out_col`` (long): tokens as the model's library gives them.
 
-    No begin, end or added special tokens; null and empty texts have 0.  Texts longer than ``chunk``
-    characters are cut, and only their chunk maps (few and small) are brought together.  A column
-    that is already named ``out_col`` is replaced.  ``model_file`` must be readable on executors.
+    No begin, end or added special tokens; null and empty texts have 0.  Repeated rows and ids are
+    counted each for itself; an empty table gives no rows.  Texts longer than ``chunk`` characters are
+    cut, and their chunk maps (two states and a number) are composed by a scan over the chunk number.
+    A column that is already named ``out_col`` is replaced, other columns are kept whatever their
+    names.  ``model_file`` must be readable on executors.
     """
 
     @F.pandas_udf("long")
     def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series(transducer(model_file).count(texts.tolist()), dtype="int64")
+        return pd.Series(map(transducer(model_file).count, texts), dtype="int64")
 
-    @F.pandas_udf("head string, inner long, tail string")
-    def mapped(chunks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(transducer(model_file).maps(chunks.tolist()), columns=["head", "inner", "tail"])
-
-    @F.pandas_udf("long")
-    def composed(maps: pd.Series) -> pd.Series:
-        return pd.Series([transducer(model_file).compose([(m["head"], m["inner"], m["tail"]) for m in ms]) for ms in maps], dtype="int64")
+    @F.pandas_udf(f"first {STATE}, last {STATE}, n long")
+    def mapped(before: pd.Series, texts: pd.Series, entry: pd.DataFrame) -> pd.DataFrame:
+        t = transducer(model_file)
+        entries = ((e.node, e.tokens, e.numbers) if e.node is not None else None for e in entry.itertuples())
+        maps = [t.chunk(b, x, e) for b, x, e in zip(before, texts, entries)]
+        as_row = lambda s: dict(zip(("node", "tokens", "numbers"), s))
+        return pd.DataFrame({"first": [as_row(m["first"]) for m in maps], "last": [as_row(m["last"]) for m in maps], "n": [m["n"] for m in maps]})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, out_col)]
     text = F.col(f"`{text_col}`")
     is_long = F.coalesce(F.length(text) > chunk, F.lit(False))
     short = docs.where(~is_long).select(*rest, whole(text).alias(out_col))
-    rows = docs.where(is_long).select(F.monotonically_increasing_id().alias("_row"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), text.alias("_text"))
-    cut = rows.select("_row", "_rest", "_text", F.explode(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / chunk).cast("int"))).alias("_at"))
-    cut = cut.select("_row", "_rest", "_at", mapped(F.substring(F.col("_text"), F.col("_at") * chunk + 1, F.lit(chunk))).alias("_map"))
-    whole_maps = cut.groupBy("_row").agg(F.first("_rest").alias("_rest"), F.sort_array(F.collect_list(F.struct("_at", "_map"))).alias("_maps"))
-    long = whole_maps.select("_rest", composed(F.transform("_maps", lambda m: m["_map"])).alias(out_col)).select("_rest.*", out_col).drop("_")
-    return short.unionByName(long)
+    # marked texts of more than a chunk, and their chunks with what stands before each
+    rows = materialize(docs.where(is_long).select(F.monotonically_increasing_id().alias("row"), F.struct(*(rest or [F.lit(0)])).alias("rest"), F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))).alias("text")), "long-texts")
+    at = F.col("at") * chunk
+    cut = rows.select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("at"))
+    ahead = F.least(at, F.lit(AHEAD))
+    cut = cut.select("row", "at", F.substring("text", at - ahead + 1, ahead).alias("before"), F.substring(F.col("text"), at + 1, F.lit(chunk)).alias("chunk"))
+    maps = materialize(cut.withColumn("m", mapped("before", "chunk", F.struct(F.lit(None).cast("string").alias("node"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(None).cast("array<int>").alias("numbers")))).select("row", "at", "m.*"), "chunk-maps")
+    scan = Window.partitionBy("row").orderBy("at")
+    while True:
+        scanned = maps.withColumn("entry", F.lag("last").over(scan))
+        wrong = scanned.where(F.col("entry").isNotNull() & (F.col("entry") != F.col("first"))).select("row", "at", "entry")
+        if wrong.isEmpty():
+            break
+        again = cut.join(wrong, ["row", "at"]).withColumn("m", mapped("before", "chunk", "entry")).select("row", "at", "m.*")
+        maps = materialize(maps.join(wrong, ["row", "at"], "left_anti").unionByName(again), "chunk-maps")
+    long = rows.select("row", "rest").join(maps.groupBy("row").agg(F.sum("n").alias("n")), "row")
+    return short.unionByName(long.select(*[F.col("rest")[c].alias(c) for c in docs.columns if c not in (text_col, out_col)], F.col("n").alias(out_col)))
 
 
 def op7_token_counts(spark, sf_dir, limit: int = 4096):
