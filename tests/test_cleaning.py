@@ -34,7 +34,7 @@ def test_repeated_ids_are_removed_and_not_cleaned(spark):
     row = ("T1", "PAYPAL ACCT", "a@b.com", "+91 98765 43210", "IN", "2024-01-05", "card", "5", "$")
     out = clean.clean_table(table(spark, PAID, [row, row]), "SMART")
     assert out.cleaned.count() == 0 and out.duplicates.count() == 2
-    assert [(r.row_no, r.action, r.cleaned) for r in out.audit.orderBy("row_no").collect()] == [(1, "duplicate_removal", "REMOVED"), (2, "duplicate_removal", "REMOVED")]
+    assert [(r.row_no, r.action, r.cleaned) for r in out.audit.orderBy("row_no").collect()] == [(1, "duplicate_removal", "DELETED"), (2, "duplicate_removal", "DELETED")]
 
 
 def test_business_copies_keep_the_first(spark):
@@ -44,10 +44,10 @@ def test_business_copies_keep_the_first(spark):
 
 
 @pytest.mark.parametrize("dates, want, form", [
-    (["16/06/2026", "05/12/2026"], ["2026-06-16", "2026-12-05"], ("DD/MM/YYYY", 99.0)),
-    (["06/16/2026", "05/12/2026"], ["2026-06-16", "2026-05-12"], ("MM/DD/YYYY", 99.0)),
+    (["16/06/2026", "05/12/2026"], ["2026-06-16", "2026-12-05"], ("dd/mm/yyyy", 99.0)),
+    (["06/16/2026", "05/12/2026"], ["2026-06-16", "2026-05-12"], ("mm/dd/yyyy", 99.0)),
     (["16.06.2026", "06.16.2026", "05.12.2026"], ["2026-06-16", "2026-06-16", "2026-05-12"], ("Mixed Formats", 50.0)),
-    (["16/06/2026", "17/06/2026", "06/16/2026", "05/12/2026"], ["2026-06-16", "2026-06-17", "2026-06-16", "2026-12-05"], ("Dominant Format: DD/MM/YYYY", 66.7)),
+    (["16/06/2026", "17/06/2026", "06/16/2026", "05/12/2026"], ["2026-06-16", "2026-06-17", "2026-06-16", "2026-12-05"], ("Dominant Format: dd/mm/yyyy", 66.7)),
     ([None, None], ["ERROR", "ERROR"], ("unknown", 0.0)),
 ])
 def test_date_order_is_inferred(spark, dates, want, form):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import let, lookup, strip
+from veracity.functions.cells import lookup, strip
 
 # Names and codes of countries, and their region.
 COUNTRY_REGION = {
@@ -20,19 +20,44 @@ COUNTRY_REGION = {
     "FINLAND": "FI", "FI": "FI", "FIN": "FI", "NEW ZEALAND": "NZ", "NZ": "NZ", "NZL": "NZ", "SOUTH AFRICA": "ZA", "ZA": "ZA", "ZAF": "ZA",
     "HONG KONG": "HK", "HK": "HK", "HKG": "HK",
 }
-#: region: (calling code, trunk prefix, national number); where the trunk prefix is set it must be written
+# Calling code, trunk prefix and national numbers of a region. The trunk prefix is part of the
+# national form and must be written in a number without the calling code.
 RULES = {
     "IN": ("91", "", "[1-9][0-9]{9}"), "US": ("1", "", "[2-9][0-9]{2}[2-9][0-9]{6}"), "SG": ("65", "", "[689][0-9]{7}"),
     "GB": ("44", "0", "(?:7[1-57-9][0-9]{8}|[12][0-9]{8,9}|[38][0-9]{9})"), "AU": ("61", "0", "[23478][0-9]{8}"), "AE": ("971", "0", "(?:5[024568][0-9]{7}|[2-4679][0-9]{7})"),
+    "CA": ("1", "", "[2-9][0-9]{2}[2-9][0-9]{6}"), "DE": ("49", "0", "(?:1[5-7][0-9]{8,9}|[2-9][0-9]{5,10})"), "FR": ("33", "0", "[1-9][0-9]{8}"), "JP": ("81", "0", "[1-9][0-9]{8,9}"),
+    "CN": ("86", "", "(?:1[3-9][0-9]{9}|0[1-9][0-9]{8,10})"), "BR": ("55", "", "[1-9][0-9](?:9[0-9]{8}|[2-5][0-9]{7})"), "IT": ("39", "", "(?:3[0-9]{8,9}|0[0-9]{5,10})"), "ES": ("34", "", "[5-9][0-9]{8}"),
+    "RU": ("7", "8", "[3489][0-9]{9}"), "NL": ("31", "0", "[1-9][0-9]{8}"), "CH": ("41", "0", "[2-9][0-9]{8}"), "SE": ("46", "0", "[1-9][0-9]{6,8}"), "NO": ("47", "", "[2-9][0-9]{7}"),
+    "DK": ("45", "", "[2-9][0-9]{7}"), "FI": ("358", "0", "[1-9][0-9]{4,10}"), "NZ": ("64", "0", "[2-9][0-9]{7,9}"), "ZA": ("27", "0", "[1-8][0-9]{8}"), "HK": ("852", "", "[2-9][0-9]{7}"),
+    "AT": ("43", "0", "[1-9][0-9]{3,12}"), "BE": ("32", "0", "[1-9][0-9]{7,8}"), "IE": ("353", "0", "[1-9][0-9]{6,8}"), "SK": ("421", "0", "[2-9][0-9]{8}"), "SI": ("386", "0", "[1-7][0-9]{7}"),
+    "HR": ("385", "0", "[1-9][0-9]{7,8}"), "RS": ("381", "0", "[1-9][0-9]{6,9}"), "BG": ("359", "0", "[2-9][0-9]{6,8}"), "RO": ("40", "0", "[237][0-9]{8}"), "UA": ("380", "0", "[3-9][0-9]{8}"),
+    "TR": ("90", "0", "[2-5][0-9]{9}"), "EG": ("20", "0", "[1-9][0-9]{7,9}"), "IL": ("972", "0", "[2-9][0-9]{7,8}"), "TH": ("66", "0", "[2-9][0-9]{7,8}"), "VN": ("84", "0", "[2-9][0-9]{8,9}"),
+    "ID": ("62", "0", "[2-9][0-9]{7,10}"), "MY": ("60", "0", "[1-9][0-9]{7,9}"), "PH": ("63", "0", "[2-9][0-9]{8,9}"), "PK": ("92", "0", "[2-9][0-9]{8,9}"), "BD": ("880", "0", "[1-9][0-9]{7,9}"),
+    "LK": ("94", "0", "[1-9][0-9]{8}"), "KE": ("254", "0", "[1-9][0-9]{8}"), "NG": ("234", "0", "[1-9][0-9]{7,9}"), "GH": ("233", "0", "[235][0-9]{8}"), "TZ": ("255", "0", "[267][0-9]{8}"),
+    "UG": ("256", "0", "[2-7][0-9]{8}"), "MA": ("212", "0", "[5-8][0-9]{8}"), "TW": ("886", "0", "[2-9][0-9]{7,8}"), "KR": ("82", "0", "[1-9][0-9]{7,9}"), "SA": ("966", "0", "[15][0-9]{8}"),
+    "PT": ("351", "", "[2-9][0-9]{8}"), "GR": ("30", "", "[2-9][0-9]{9}"), "CZ": ("420", "", "[2-9][0-9]{8}"), "PL": ("48", "", "[1-9][0-9]{8}"), "LU": ("352", "", "[2-9][0-9]{4,10}"),
+    "MT": ("356", "", "[2-9][0-9]{7}"), "CY": ("357", "", "[2-9][0-9]{7}"), "EE": ("372", "", "[3-9][0-9]{6,7}"), "LV": ("371", "", "[2-9][0-9]{7}"), "IS": ("354", "", "[4-8][0-9]{6}"),
+    "MX": ("52", "", "[2-9][0-9]{9}"), "CL": ("56", "", "[2-9][0-9]{8}"), "CO": ("57", "", "[36][0-9]{9}"), "QA": ("974", "", "[3-7][0-9]{7}"), "KW": ("965", "", "[2569][0-9]{7}"),
+    "BH": ("973", "", "[1367][0-9]{7}"), "OM": ("968", "", "[279][0-9]{7}"),
+}
+# First digits of national numbers by kind; the first kind that fits counts.
+TYPES = {
+    "IN": {"TOLL_FREE": "1800", "MOBILE": "[6-9]"}, "US": {"TOLL_FREE": "8(?:00|33|44|55|66|77|88)", "PREMIUM_RATE": "900", "FIXED_LINE_OR_MOBILE": ""}, "CA": {"TOLL_FREE": "8(?:00|33|44|55|66|77|88)", "FIXED_LINE_OR_MOBILE": ""},
+    "SG": {"MOBILE": "[89]", "FIXED_LINE": "6"}, "GB": {"MOBILE": "7", "FIXED_LINE": "[12]", "TOLL_FREE": "80", "UAN": "3"}, "AU": {"MOBILE": "4", "FIXED_LINE": "[2378]"}, "AE": {"MOBILE": "5", "FIXED_LINE": "[2-4679]"},
+    "DE": {"MOBILE": "1[5-7]", "FIXED_LINE": "[2-9]"}, "FR": {"MOBILE": "[67]", "TOLL_FREE": "80[0-5]", "FIXED_LINE": "[1-5]", "VOIP": "9"}, "BR": {"MOBILE": "..9", "FIXED_LINE": "..[2-5]"},
 }
 #: numbers set aside for drama
 SET_ASIDE = "^7700900[0-9]{3}$"
-#: other regions are checked by length only
-OTHER = "[1-9][0-9]{5,13}"
+EXTENSION = r"(?i)[\s,;]*(?:extension|extn|ext|x|#|int)[.:=]?\s*([0-9]{1,7})$"
+#: written by region: national form with the trunk prefix, and the form behind the calling code
+HOME = {r: f"^{trunk or ('0?' if r == 'IN' else '')}({nsn})$" for r, (_, trunk, nsn) in RULES.items()}
+ABROAD = {r: f"^{code}({nsn})$" for r, (code, _, nsn) in RULES.items()}
+CODES, TRUNKS = {r: x[0] for r, x in RULES.items()}, {r: x[1] for r, x in RULES.items()}
 
 
 def country_region(c: Column) -> Column:
-    return lookup(F.upper(strip(c)), COUNTRY_REGION)
+    """Region of a country's name or code; a two-letter code with a rule stands for itself."""
+    return lookup(F.upper(strip(c)), {r: r for r in RULES} | COUNTRY_REGION)
 
 
 def phone_digits(c: Column) -> Column:
@@ -40,30 +65,51 @@ def phone_digits(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"(?U)\D", ""), "०१२३४५६७८९٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 
 
-def national_number(phone: Column, region: Column) -> Column:
-    """Digits of the national form (with the trunk prefix where the country writes one), null when invalid."""
-    return let(F.struct(phone_digits(phone).alias("d"), strip(phone).alias("t"), region.alias("r")), lambda x: _national(x["d"], x["t"], x["r"]))
+def _found(text: Column, pattern: Column) -> Column:
+    return F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(1)), F.lit(""))
 
 
-def _written(trunk: str, aside: str):
-    return lambda v: F.when((v != "") & ~v.rlike(aside), F.concat(F.lit(trunk), v))
+def subscriber_number(phone: Column, region: Column) -> Column:
+    """The number without calling code, trunk prefix and extension, null when invalid.
 
+    A number that begins with + or 00 must have the region's calling code; any other may have it.
+    """
+    t = F.regexp_replace(strip(phone), EXTENSION, "")
+    d = phone_digits(t)
+    far, home = lookup(region, ABROAD), lookup(region, HOME)
+    n = F.when(t.startswith("+"), _found(d, far)).when(t.startswith("00"), _found(F.substring(d, 3, 100), far)).otherwise(F.coalesce(_found(d, home), _found(d, far)))
+    return F.when((region == "GB") & n.rlike(SET_ASIDE), F.lit(None)).otherwise(n)
 
-def _national(d: Column, t: Column, region: Column) -> Column:
-    abroad = t.startswith("+") | t.startswith("00")
-    bare = F.when(t.startswith("00"), F.substring(d, 3, 100)).otherwise(d)
-    out = F.when(region.isNotNull() & d.rlike(f"^0?{OTHER}$"), F.regexp_replace(d, "^0", ""))
-    for name, (code, trunk, nsn) in RULES.items():
-        with_code = F.regexp_extract(bare, f"^{code}({nsn})$", 1)
-        at_home = F.regexp_extract(d, f"^{trunk or ('0?' if name == 'IN' else '')}({nsn})$", 1)
-        n = F.when(abroad, with_code).when(at_home != "", at_home).otherwise(with_code)
-        out = F.when(region == name, let(n, _written(trunk, SET_ASIDE if name == "GB" else "^$"))).otherwise(out)
-    return out
+
+def national_number(phone: Column, region: Column) -> Column:
+    """Digits of the national form (with the trunk prefix where the country writes one, and the extension), null when invalid."""
+    return F.concat(lookup(region, TRUNKS), subscriber_number(phone, region), F.regexp_extract(strip(phone), EXTENSION, 1))
+
+
+def phone_details(phone: Column, country: Column) -> Column:
+    """Struct of is_valid, region, e164, national, international and type; of a country that is not known, null.
+
+    The international form has a space behind the calling code only; the type is UNKNOWN outside ``TYPES``.
+    """
+    region = country_region(country)
+    n = subscriber_number(phone, region)
+    code, kind = lookup(region, CODES), F.lit(None).cast("string")
+    for r, kinds in TYPES.items():
+        of = F.lit("UNKNOWN")
+        for name, begin in reversed(kinds.items()):
+            of = F.when(n.rlike(f"^{begin}"), name).otherwise(of)
+        kind = F.when(region == r, of).otherwise(kind)
+    text = lambda c: F.coalesce(F.when(n.isNotNull(), c), F.lit(""))
+    return F.when(region.isNotNull(), F.struct(
+        n.isNotNull().alias("is_valid"), region.alias("region"), text(F.concat(F.lit("+"), code, n)).alias("e164"), text(national_number(phone, region)).alias("national"),
+        text(F.concat(F.lit("+"), code, F.lit(" "), n)).alias("international"), F.coalesce(F.when(n.isNotNull(), kind), F.lit("UNKNOWN")).alias("type"),
+    ))
 
 
 def phone_ok(phone: Column, country: Column) -> Column:
     """Valid, or of a country that is not known."""
-    return let(country_region(country), lambda r: r.isNull() | national_number(phone, r).isNotNull())
+    region = country_region(country)
+    return region.isNull() | subscriber_number(phone, region).isNotNull()
 
 
 def clean_phone(phone: Column, country: Column) -> Column:

@@ -10,7 +10,9 @@ from veracity.functions.cells import is_missing, let, strip
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:\.[0-9]+)?)?"
 TIME_ONLY = rf"(?i)^{_CLOCK}\s*(AM|PM)?$"
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?$"
-_TAIL = r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+_MINUTES = r":[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?"
+#: a time of day behind a date, with a half-day mark and a zone
+_TAIL = rf"(?:[T ]+(?:(?:[01]?[0-9]|2[0-3]){_MINUTES}|(?:0?[0-9]|1[0-2]){_MINUTES}\s*[AaPp][Mm])\s*(?:Z|[A-Z]{{3,5}}|[+-][0-9]{{2}}:?[0-9]{{2}})?)?$"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
@@ -19,45 +21,54 @@ def _int(c: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_timestamp(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")), F.lit("yyyy-M-d")).cast("date")
+    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string"))
+    return F.when(y >= 1, F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"))
 
 
 def parse_date(c: Column, dayfirst: Column | bool = False) -> Column:
     """The date of a cell, null when it holds none.
 
     Three numbers (year first or last, two- or four-digit), eight digits, or a day, month name and
-    year in either order, with an optional weekday before and time of day behind.  Of two readings of
-    day and month ``dayfirst`` picks one (also where the year stands first), the other where that is
-    no date.  Digits alone need eight of them.  Words that only name a weekday or time have no date.
+    year in either order, with an optional weekday before and time of day behind.  Behind a year,
+    ``dayfirst`` puts the day first where the last number can be a month.  Before a year the day comes
+    first where the first number can be no month, or with ``dayfirst`` where the second can be one.
+    Digits alone need eight of them.  Words that only name a weekday or time have no date.
     """
     t = F.regexp_replace(strip(F.when(~is_missing(c), c)), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     first = dayfirst if isinstance(dayfirst, Column) else F.lit(dayfirst)
     return let(F.struct(t.alias("t"), first.alias("first")), lambda x: _parse_date(x["t"], x["first"]))
 
 
+def _century(y: Column) -> Column:
+    return y + F.when(y < 76, 2000).otherwise(1900)
+
+
 def _parse_date(t: Column, first: Column) -> Column:
-    def three(pattern: str, year: int, a: int, b: int) -> Column:
-        part = lambda i: F.regexp_extract(t, pattern + _TAIL, i)
-        y = _int(part(year))
-        y = F.when(F.length(part(year)) <= 2, y + F.when(y < 76, 2000).otherwise(1900)).otherwise(y)
-        x, z = _int(part(a)), _int(part(b))
-        return F.coalesce(F.when(first, _date(y, z, x)).otherwise(_date(y, x, z)), F.when(first, _date(y, x, z)).otherwise(_date(y, z, x)))
+    def numbers(pattern: str) -> list[Column]:
+        return [_int(F.regexp_extract(t, pattern + _TAIL, i)) for i in (1, 2, 3)]
+
+    def year_first(y: Column, a: Column, b: Column) -> Column:
+        return F.when(first & (b <= 12), _date(y, b, a)).otherwise(_date(y, a, b))
+
+    def year_last(a: Column, b: Column, y: Column) -> Column:
+        return F.when((a > 12) | (first & (b <= 12)), _date(y, b, a)).otherwise(_date(y, a, b))
 
     def named(pattern: str, y: int, m: int, d: int) -> Column:
         at = F.position(F.lower(F.substring(F.regexp_extract(t, pattern + _TAIL, m), 1, 3)), F.lit(MONTHS))
         month = F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3))
         return _date(_int(F.regexp_extract(t, pattern + _TAIL, y)), month, _int(F.regexp_extract(t, pattern + _TAIL, d)))
 
-    ymd, dmy, plain = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})", r"^([0-9]{4})([0-9]{2})([0-9]{2})"
-    word = r"(?i)^([0-9]{1,2})[- ]+([a-z]{3,9})[-, ]+([0-9]{4})"
-    word_first = r"(?i)^([a-z]{3,9})[- ]+([0-9]{1,2})[-, ]+([0-9]{4})"
+    ymd, dmy, short = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2})"
+    plain, word, word_first = r"^([0-9]{4})([0-9]{2})([0-9]{2})", r"^([0-9]{1,2})[- ]+([A-Za-z]{3,9})[-, ]+([0-9]{4})", r"^([A-Za-z]{3,9})[- ]+([0-9]{1,2})[-, ]+([0-9]{4})"
     digits = lambda i: _int(F.regexp_extract(t, plain + "$", i))
+    a, b, c = numbers(short)
     return (
-        F.when(t.rlike(ymd + _TAIL), three(ymd, 1, 2, 3))
-        .when(t.rlike(dmy + _TAIL), three(dmy, 3, 1, 2))
+        F.when(t.rlike(ymd + _TAIL), year_first(*numbers(ymd)))
+        .when(t.rlike(dmy + _TAIL), year_last(*numbers(dmy)))
         .when(t.rlike(plain + "$"), _date(digits(1), digits(2), digits(3)))
         .when(t.rlike(word + _TAIL), named(word, 3, 2, 1))
         .when(t.rlike(word_first + _TAIL), named(word_first, 3, 1, 2))
+        .when(t.rlike(short + _TAIL), F.when(a > 31, year_first(_century(a), b, c)).otherwise(year_last(a, b, _century(c))))
     )
 
 
@@ -65,10 +76,15 @@ def standardize_date(c: Column, dayfirst: Column | bool = False) -> Column:
     return F.coalesce(F.date_format(parse_date(c, dayfirst), "yyyy-MM-dd"), c)
 
 
-def date_warning(c: Column, as_of: str, dayfirst: Column | bool = False) -> Column:
+def warning_of(day: Column, c: Column, as_of: Column | str) -> Column:
+    """The warning about a date that the cell ``c`` was read as."""
+    today = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
+    return F.when(day > today, F.concat(F.lit("Future date: "), c)).when(F.year(day) < 2000, F.concat(F.lit("Date before year 2000: "), c))
+
+
+def date_warning(c: Column, as_of: Column | str, dayfirst: Column | bool = False) -> Column:
     """``Future date: ...``, ``Date before year 2000: ...`` or null."""
-    text = lambda d: F.when(d > F.lit(as_of).cast("date"), F.concat(F.lit("Future date: "), c)).when(F.year(d) < 2000, F.concat(F.lit("Date before year 2000: "), c))
-    return let(parse_date(c, dayfirst), text)
+    return let(parse_date(c, dayfirst), lambda d: warning_of(d, c, as_of))
 
 
 def _pad(n: Column) -> Column:
@@ -140,7 +156,7 @@ def decide_date_format(votes: dict[str, int], separator: str = "-") -> tuple[boo
     best = max(ratio, key=ratio.get)
     sure = ratio[best] * 100
     sure = 95 + (sure - 90) * 0.4 if sure > 90 else sure
-    label = {"yyyy": "YYYY{0}MM{0}DD", "dd": "DD{0}MM{0}YYYY", "mm": "MM{0}DD{0}YYYY"}[best].format(separator)
+    label = {"yyyy": "yyyy{0}mm{0}dd", "dd": "dd{0}mm{0}yyyy", "mm": "mm{0}dd{0}yyyy"}[best].format(separator)
     if sum(r > 0.05 for r in ratio.values()) > 1:
         if ratio[best] <= 0.5:
             return None, "Mixed Formats", round(sure, 1)

@@ -1,12 +1,13 @@
 """Cleaning in STRICT, SMART or SOFT mode: standardised cells, audit trail and routes.
 
 Steps depend on each other only in stages (country before phone and date, date before time), so a
-row is cleaned in three projections.  Values to impute come from one aggregation over the raw table.
+row is cleaned in a few projections.  What they need to know of the whole table (values to impute,
+empty columns, order of day and month, columns of the business key) is worked out first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,16 +15,26 @@ from pyspark.sql import functions as F
 from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
-from veracity.operators.dedupe import business_columns, keep_first
-from veracity.operators.profile import date_order, mode_values
+from veracity.operators.dedupe import business_key, record_columns
+from veracity.operators.profile import date_order, empty_columns, exact_median, mode_values, rating
 from veracity.operators.schema import classify, mandatory, resolve_roles
-from veracity.sources.tables import ROW
+from veracity.sources.tables import ROW, cut
 
 IMPUTED = ("customer_name", "country", "amount", "currency", "payment_mode")
 ENTRY = "struct<step:int,column:string,original:string,cleaned:string,action:string,severity:string>"
+FLAW = "struct<column:string,original:string,message:string,severity:string>"
 
 
-FLAW = "struct<column:string,message:string>"
+@dataclass(frozen=True)
+class Facts:
+    """What cleaning knows of the whole table."""
+
+    values: dict[str, str] = field(default_factory=dict)
+    empty: tuple[str, ...] = ()
+    dayfirst: bool | None = None
+    date_format: str = "unknown"
+    date_confidence: float = 0.0
+    keys: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -33,7 +44,10 @@ class CleanResult:
     errors: DataFrame
     warnings: DataFrame
     duplicates: DataFrame
+    removed: DataFrame
     audit: DataFrame
+    stats: DataFrame
+    removed_columns: tuple[str, ...] = ()
     date_format: str = "unknown"
     date_confidence: float = 0.0
 
@@ -53,12 +67,19 @@ def imputation_values(df: DataFrame, mode: str) -> dict[str, str]:
     found = {cols[r["column_name"]]: r["value"] for r in mode_values(df, list(cols)).collect()}
     if "amount" in roles:
         amount = F.col(f"`{roles['amount']}`")
-        got = df.agg(F.median(amount.try_cast("double")).alias("m"), F.count_if(amount.try_cast("double").isNotNull()).alias("k"), F.count(amount).alias("n")).first()
+        got = df.agg(F.count_if(amount.try_cast("double").isNotNull()).alias("k"), F.count(amount).alias("n")).first()
         if got["k"] > 0.8 * got["n"]:
-            found["amount"] = str(int(got["m"])) if got["m"] == int(got["m"]) else str(got["m"])
+            m = exact_median(df.select(amount.try_cast("double").alias("v")), "v")
+            found["amount"] = str(int(m)) if m == int(m) else str(m)
     return found
 
 
+def analyse(df: DataFrame, mode: str = "SMART") -> Facts:
+    headers = [c for c in df.columns if c != ROW]
+    empty = {r["column_name"] for r in empty_columns(df, headers).collect()} if headers else set()
+    return Facts(imputation_values(df, mode), tuple(h for h in headers if h in empty), *infer_date_order(df), tuple(record_columns(df)))
+
+
 def _entry(step: int, column: str, original: Column, cleaned: Column, action: Column | str, severity: str, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(step).alias("step"), F.lit(column).alias("column"), original.alias("original"), cleaned.alias("cleaned"), (action if isinstance(action, Column) else F.lit(action)).alias("action"), F.lit(severity).alias("severity")))
 
@@ -67,29 +88,34 @@ def _listed(items: list[Column], kind: str) -> Column:
     return F.array_compact(F.array(*items).cast(f"array<{kind}>"))
 
 
-def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, values: dict[str, str] | None = None) -> DataFrame:
-    """``df`` (nullified, with row ids) cleaned, plus row_status, route and audit entries.
+def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, values: dict[str, str] | None = None, facts: Facts | None = None, as_of: str | None = None) -> DataFrame:
+    """``df`` (nullified, with row ids) cleaned, plus row_status, route, has_warning, corrections and audit entries.
 
-    A row whose id (the customer's in a customer dataset) stands in several rows is a duplicate: it is
-    not cleaned further.  Errors go to ``errors``, else warnings to ``warnings`` where the mode drops
-    them, the rest is ``cleaned``; SOFT keeps every row.  The order of day and month is inferred from the
-    whole date column unless ``dayfirst`` is given; undecided columns and rows of the US have the month first.
+    Rows without any value are left out.  A row whose id (the customer's in a customer dataset) stands
+    in several rows is a duplicate: it is not cleaned further.  Errors go to ``errors``, else warnings
+    to ``warnings`` where the mode drops them, the rest is ``cleaned``; SOFT keeps every row.  The order
+    of day and month is inferred from the whole date column unless ``dayfirst`` is given; undecided
+    columns and rows of the US have the month first.  Dates after ``as_of`` (today) are warned of.
+    Columns without any value take no part.
     """
     headers = [c for c in df.columns if c != ROW]
-    roles, kind = resolve_roles(headers), classify(headers)
+    facts = analyse(df, mode) if facts is None else facts
+    roles, kind = {r: h for r, h in resolve_roles(headers).items() if h not in facts.empty}, classify(headers)
     must = mandatory(kind)
-    values = imputation_values(df, mode) if values is None else values
-    dayfirst = bool(infer_date_order(df)[0]) if dayfirst is None else dayfirst
+    values = facts.values if values is None else values
+    dayfirst = bool(facts.dayfirst) if dayfirst is None else dayfirst
+    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
     id_role = "customer_id" if kind == "Customer Dataset" else "transaction_id"
-    t = df
+    t = df.where(~C.is_empty_row(*[F.col(f"`{h}`") for h in headers])) if headers else df
     if id_role in roles:
         ident = F.col(f"`{roles[id_role]}`")
         many = df.where(~C.is_missing(ident)).groupBy(C.strip(ident).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         t = t.join(many, C.strip(ident) == F.col("_id"), "left").withColumn("_dup", F.col("_n").isNotNull())
     else:
         t = t.withColumn("_dup", F.lit(False))
+    # the trimmed cells; those left as they are keep their white space
     raw = {r: f"_raw_{r}" for r in roles}
-    t = t.withColumns({raw[r]: F.col(f"`{h}`") for r, h in roles.items()})
+    t = t.withColumns({raw[r]: C.strip(F.col(f"`{h}`")) for r, h in roles.items()})
     entries: list[Column] = []
     errors: list[Column] = []
     warnings: list[Column] = []
@@ -106,18 +132,22 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, valu
 
     country = C.clean_country(given("country")) if "country" in roles else F.lit(None).cast("string")
     if "country" in roles:
-        t = C.stage(t, {"_country": country})
-        country = F.col("_country")
-    day = F.when(P.country_region(country) == "US", F.lit(False)).otherwise(F.lit(dayfirst))
+        t = C.stage(t, {"_country": country, "_region": P.country_region(country)})
+        country, region = F.col("_country"), F.col("_region")
+    else:
+        region = F.lit(None).cast("string")
+    day = F.when(region == "US", F.lit(False)).otherwise(F.lit(dayfirst))
     if "transaction_date" in roles:
         t = C.stage(t, {"_date": D.parse_date(cell("transaction_date"), day)})
     standard = {
-        "transaction_id": C.clean_text, "customer_id": C.clean_text, "customer_name": C.clean_name, "country": lambda c: country, "phone_number": lambda c: P.clean_phone(c, country), "amount": lambda c: c,
-        "currency": C.clean_currency, "payment_mode": C.clean_payment, "email": (lambda c: C.clean_email(c)) if mode == "SMART" else (lambda c: F.when(C.email_ok(c), F.lower(C.strip(c))).otherwise(c)),
+        "transaction_id": C.clean_text, "customer_id": C.clean_text, "customer_name": C.clean_name, "country": lambda c: country, "phone_number": lambda c: F.coalesce(F.col("_number"), c), "amount": lambda c: c,
+        "currency": C.clean_currency, "payment_mode": C.clean_payment, "email": (lambda c: C.clean_email(c)) if mode == "SMART" else (lambda c: F.when(C.email_ok(c), F.lower(c)).otherwise(c)),
     }
     action = {"phone_number": "phone_normalization", "transaction_date": "date_standardization", "email": "email_cleanup", "currency": "currency_mapping", "payment_mode": "payment_mode_mapping", "country": "country_mapping"}
     # a stage of its own for the new cells: entries and errors below only refer to them
     news: dict[str, Column] = {}
+    if "phone_number" in roles:
+        t = C.stage(t, {"_number": P.national_number(given("phone_number"), region)})
     for role in roles:
         c, missing = cell(role), C.is_missing(cell(role))
         if role == "transaction_date":
@@ -128,40 +158,45 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, valu
         else:
             news[f"_new_{role}"] = standard[role](given(role))
             if role == "amount":
-                news["_number"] = C.to_number(given(role))
-            elif role == "phone_number":
-                news["_phone_ok"] = P.phone_ok(given(role), country)
+                news["_number_of_amount"] = C.to_number(given(role))
     if news:
         t = C.stage(t, news)
-    flaw = lambda header, message: F.struct(F.lit(header).alias("column"), (message if isinstance(message, Column) else F.lit(message)).alias("message"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    flaw = lambda header, original, message, severity="ERROR": F.struct(F.lit(header).alias("column"), blank(original).alias("original"), (message if isinstance(message, Column) else F.lit(message)).alias("message"), F.lit(severity).alias("severity"))
     for step, (role, header) in enumerate(roles.items()):
         c, missing, new = cell(role), C.is_missing(cell(role)), F.col(f"_new_{role}")
+        was = given(role)
         if role == "transaction_date":
-            errors.append(F.when(missing, flaw(header, "Missing Date")).when(F.col("_date").isNull(), flaw(header, "Invalid date")))
-            warnings.append(F.when(F.year("_date") < 2000, flaw(header, "Date before year 2000")))
+            errors.append(F.when(missing, flaw(header, c, "Missing Date")).when(F.col("_date").isNull(), flaw(header, c, "Invalid date")))
+            warning = D.warning_of(F.col("_date"), new, today)
+            warnings.append(F.when(warning.isNotNull(), flaw(header, c, warning)))
         elif role == "transaction_time":
-            entries.append(_entry(step * 4, header, F.lit(""), new, "Time Extraction", "INFO", missing & (new != "ERROR")))
-            errors.append(F.when(new == "ERROR", flaw(header, F.when(missing, "Missing Time").otherwise("Invalid Time"))))
+            source = cell("transaction_date") if "transaction_date" in roles else F.lit("")
+            entries.append(_entry(step * 4, header, blank(source), new, "Time Extraction", "INFO", missing & (new != "ERROR")))
+            errors.append(F.when(new == "ERROR", flaw(header, c, F.when(missing, "Missing Time").otherwise("Invalid Time"))))
         else:
             if role in IMPUTED and role in values:
                 entries.append(_entry(step * 4, header, F.lit(""), F.lit(values[role]), "missing_imputation", "INFO", missing))
+            elif role in must:
+                errors.append(F.when(missing, flaw(header, c, "Missing mandatory field", "CRITICAL")))
             else:
-                (errors if role in must else warnings).append(F.when(missing, flaw(header, f"Missing mandatory field: {header}" if role in must else f"Missing optional: {header}")))
+                warnings.append(F.when(missing, flaw(header, c, f"Missing optional: {header}")))
             bad = {
-                "phone_number": ("Invalid phone format", lambda x: ~F.col("_phone_ok")), "email": ("Invalid email format", lambda x: ~C.email_ok(x)),
+                "phone_number": ("Invalid phone format", lambda x: region.isNotNull() & F.col("_number").isNull()), "email": ("Invalid email format", lambda x: ~C.email_ok(x)),
                 "currency": ("Unsupported currency code", lambda x: ~C.currency_ok(x)), "payment_mode": ("Unsupported payment mode", lambda x: ~C.payment_ok(x)),
             }.get(role)
             if bad:
-                errors.append(F.when(~C.is_missing(new) & bad[1](new), flaw(header, bad[0])))
+                errors.append(F.when(~C.is_missing(new) & bad[1](new), flaw(header, was, bad[0])))
             if role == "amount" and kind != "Customer Dataset":
-                errors.append(F.when(~C.is_missing(new), F.when(F.col("_number").isNull(), flaw(header, "Invalid numeric amount")).when(F.col("_number") < 0, flaw(header, "Negative amount"))))
+                errors.append(F.when(~C.is_missing(new), F.when(F.col("_number_of_amount").isNull(), flaw(header, was, "Invalid numeric amount")).when(F.col("_number_of_amount") < 0, flaw(header, was, "Negative amount"))))
         what = "Time Standardization" if role == "transaction_time" else action.get(role, "whitespace_trim")
-        entries.append(_entry(step * 4 + 1, header, c, new, what, "INFO", ~missing & (new != c) & (new != "ERROR")))
-        out[header] = F.when(F.col("_dup"), c).otherwise(new)
+        changed = F.coalesce(new != was, F.lit(False))
+        entries.append(_entry(step * 4 + 1, header, was, new, what, "INFO", ~C.is_missing(was) & changed & (new != "ERROR")))
+        out[header] = F.when(F.col("_dup") | ~(changed | missing), F.col(f"`{header}`")).otherwise(new)
     t = C.stage(t, {"_errors": _listed(errors, FLAW), "_warnings": _listed(warnings, FLAW), "_done": _listed(entries, ENTRY)})
     last = F.lit(len(roles) * 4 + 1)
-    failed = F.transform("_errors", lambda e: F.struct(last.alias("step"), e["column"].alias("column"), F.lit(None).cast("string").alias("original"), F.lit("ERROR").alias("cleaned"), e["message"].alias("action"), F.lit("ERROR").alias("severity")))
-    only = F.array(F.struct(F.lit(0).alias("step"), F.lit(roles.get(id_role, "")).alias("column"), cell(id_role) if id_role in roles else F.lit(None).cast("string"), F.lit("REMOVED").alias("cleaned"), F.lit("duplicate_removal").alias("action"), F.lit("ERROR").alias("severity"))).cast(f"array<{ENTRY}>")
+    failed = F.transform("_errors", lambda e: F.struct(last.alias("step"), e["column"].alias("column"), e["original"].alias("original"), F.lit("ERROR").alias("cleaned"), e["message"].alias("action"), e["severity"].alias("severity")))
+    only = F.array(F.struct(F.lit(0).alias("step"), F.lit(roles.get(id_role, "")).alias("column"), F.col(f"`{roles[id_role]}`") if id_role in roles else F.lit(None).cast("string"), F.lit("DELETED").alias("cleaned"), F.lit("duplicate_removal").alias("action"), F.lit("ERROR").alias("severity"))).cast(f"array<{ENTRY}>")
     bad, warned = F.size("_errors") > 0, F.size("_warnings") > 0
     status = F.when(F.col("_dup"), "CRITICAL").when(bad, "ERROR").when(warned, "WARNING").otherwise("VALID")
     route = F.when(F.col("_dup"), "duplicates").when(bad, "errors").when(warned, "warnings" if mode == "STRICT" else "cleaned").otherwise("cleaned")
@@ -171,31 +206,69 @@ def clean(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, valu
     )
 
 
+def remove_copies(rows: DataFrame, keys: list[str] | tuple[str, ...], headers: list[str], mode: str = "SMART") -> DataFrame:
+    """Cleaned rows that repeat an earlier one's business key go to ``duplicates``, with an audit entry that holds the row.
+
+    In SOFT mode the status is part of the key.  ``copy`` marks the rows.  ``rows`` are read twice here
+    and once for every output, so they are written to the checkpoint folder first.
+    """
+    rows = cut(rows)
+    if not keys:
+        return rows.withColumn("copy", F.lit(False))
+    kept = business_key(rows.where("route = 'cleaned'"), [*keys, *(["row_status"] if mode == "SOFT" else [])], "_key").select(ROW, "_key")
+    first = kept.groupBy("_key").agg(F.min(ROW).alias("_first"), F.count(F.lit(1)).alias("_same")).where("_same > 1").select("_key", "_first")
+    later = kept.join(first, "_key").where(F.col(ROW) > F.col("_first")).select(F.col(ROW).alias("_later"))
+    t = rows.join(later, F.col(ROW) == F.col("_later"), "left").withColumn("copy", F.col("_later").isNotNull()).drop("_later")
+    whole = F.to_json(F.struct(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in headers]))
+    entry = F.array(F.struct(F.lit(1 << 20).alias("step"), F.lit("Entire_Row").alias("column"), whole.alias("original"), F.lit("DELETED").alias("cleaned"), F.lit("Duplicate Removed").alias("action"), F.lit("INFO").alias("severity"))).cast(f"array<{ENTRY}>")
+    return t.withColumns({"route": F.when(F.col("copy"), "duplicates").otherwise(F.col("route")), "audit": F.when(F.col("copy"), F.concat("audit", entry)).otherwise(F.col("audit"))})
+
+
 def audit_trail(rows: DataFrame) -> DataFrame:
-    """row_no (from 1), seq, column_name, original, cleaned, action, severity."""
+    """row_no (from 1, of the table cleaned), seq, column_name, original, cleaned, action, severity."""
     return rows.select((F.col(ROW) + 1).alias("row_no"), F.posexplode("audit").alias("seq", "a")).select("row_no", "seq", F.col("a.column").alias("column_name"), "a.original", "a.cleaned", "a.action", "a.severity")
 
 
-def cleaning_stats(rows: DataFrame) -> DataFrame:
-    hit = lambda c: F.count_if(c)
+#: counters and the actions of the audit trail that they count
+FIXED = {
+    "phones_fixed": ("phone_normalization",), "emails_fixed": ("email_cleanup",), "dates_fixed": ("date_standardization",), "times_fixed": ("Time Standardization", "Time Extraction"),
+    "currencies_fixed": ("currency_mapping",), "countries_fixed": ("country_mapping",), "payment_modes_fixed": ("payment_mode_mapping",), "rows_imputed": ("missing_imputation",),
+}
+
+
+def cleaning_stats(rows: DataFrame, facts: Facts | None = None, empty_rows: int = 0, mode: str = "SMART") -> DataFrame:
+    """The counters of a run and the scores of what it leaves, one row; ``rows`` are those of ``remove_copies``."""
+    facts, hit = facts or Facts(), F.count_if
+    count = lambda actions: F.coalesce(F.sum(F.size(F.filter("audit", lambda a: a["action"].isin(*actions)))), F.lit(0)).cast("long")
+    copy, dup = F.col("copy"), F.col("row_status") == "CRITICAL"
     t = rows.agg(
-        F.count(F.lit(1)).alias("total_processed"), hit((F.col("corrections") > 0) & (F.col("row_status") != "CRITICAL")).alias("rows_corrected"), hit(F.col("route") != "cleaned").alias("rows_removed"),
-        hit(F.col("route") == "cleaned").alias("rows_retained"), hit(F.col("row_status") == "CRITICAL").alias("duplicates_removed"), hit(F.col("row_status") == "ERROR").alias("error_rows"),
+        F.count(F.lit(1)).alias("total_processed"), hit((F.col("corrections") > 0) & ~dup).alias("rows_corrected"), hit(F.col("route") != "cleaned").alias("rows_removed"), hit(F.col("route") == "cleaned").alias("rows_retained"),
+        *[count(actions).alias(name) for name, actions in FIXED.items()], (hit(dup) + hit(copy)).alias("duplicates_removed"), hit((F.col("route") == "cleaned") & (F.col("row_status") == "ERROR")).alias("invalid_rows"),
     )
-    return t.withColumn("success_rate", F.bround(F.col("rows_retained") * 100.0 / F.greatest("total_processed", F.lit(1)), 1))
+    kept = F.col("rows_retained")
+    valid = F.bround(F.when(kept > 0, (kept - F.col("invalid_rows")) * 100.0 / kept).otherwise(100.0), 1)
+    t = t.withColumns({"empty_rows_removed": F.lit(empty_rows).cast("long"), "empty_columns_removed": F.lit(len(facts.empty)).cast("long"), "total_records": kept, "unique_records": kept, "valid_rows": kept - F.col("invalid_rows"), "completeness_score": F.lit(100.0), "uniqueness_score": F.lit(100.0), "validity_score": valid, "success_rate": valid})
+    t = t.withColumn("quality_score", F.bround(0.3 * F.col("completeness_score") + 0.5 * F.col("validity_score") + 0.2 * F.col("uniqueness_score"), 1))
+    return t.withColumns({"quality_rating": rating(F.col("quality_score")), "detected_date_format": F.lit(facts.date_format), "date_confidence_score": F.lit(f"{facts.date_confidence}%" if facts.date_confidence > 0 else "0%")})
 
 
-def clean_table(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None) -> CleanResult:
-    """All outputs of a cleaning run; business duplicates are removed from the cleaned rows, keeping the first."""
-    inferred, date_format, confidence = infer_date_order(df)
-    rows = clean(df, mode, bool(inferred) if dayfirst is None else dayfirst)
-    headers = [c for c in df.columns if c != ROW]
-    keys = business_columns(headers)
-    status = ["row_status"] if mode == "SOFT" else []
-    kept = keep_first(rows.where("route = 'cleaned'"), [*keys, *status])
-    pick = lambda route: rows.where(F.col("route") == route).select(ROW, *headers)
-    warned = rows.where("has_warning and row_status <> 'ERROR' and row_status <> 'CRITICAL'").select(ROW, *headers)
-    return CleanResult(rows, kept.select(ROW, *headers, *status), pick("errors"), warned, pick("duplicates"), audit_trail(rows), date_format, confidence)
+def clean_table(df: DataFrame, mode: str = "SMART", dayfirst: bool | None = None, as_of: str | None = None) -> CleanResult:
+    """All outputs of a cleaning run; columns without any value are in none of them.
+
+    ``removed`` holds errors and warnings in STRICT mode, errors otherwise.
+    """
+    facts = analyse(df, mode)
+    headers = [c for c in df.columns if c != ROW and c not in facts.empty]
+    keys = [k for k in facts.keys if k not in facts.empty]
+    rows = remove_copies(clean(df, mode, dayfirst, facts=facts, as_of=as_of), keys, headers, mode)
+    status = [F.col("row_status").alias("status")] if mode == "SOFT" else []
+    pick = lambda what: rows.where(what).select(ROW, *headers)
+    failed, warned = "row_status = 'ERROR'", "has_warning and row_status = 'WARNING'"
+    cleaned = rows.where("route = 'cleaned'").select(ROW, *headers, *status)
+    every = [F.col(f"`{c}`") for c in df.columns if c != ROW]
+    empty_rows = df.where(C.is_empty_row(*every)).count() if every else 0
+    removed = pick(f"{failed} or {warned}") if mode == "STRICT" else pick(failed)
+    return CleanResult(rows, cleaned, pick(failed), pick(warned), pick("copy or row_status = 'CRITICAL'"), removed, audit_trail(rows), cleaning_stats(rows, facts, empty_rows, mode), facts.empty, facts.date_format, facts.date_confidence)
 
 
 #: actions that count as repairs in the resolution rate

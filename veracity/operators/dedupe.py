@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import lookup, strip, text_key
-from veracity.functions.phone import clean_phone, phone_digits
-from veracity.functions.temporal import standardize_date, standardize_time
-from veracity.operators.schema import is_identifier
+from veracity.functions.cells import lookup, stage, strip, text_key
+from veracity.functions.phone import country_region, national_number, phone_digits
+from veracity.functions.temporal import parse_date, parse_time
+from veracity.operators.schema import is_identifier, resolve_roles
 from veracity.sources.tables import ROW
 
 # Country names as they stand in a business key.
@@ -19,17 +21,22 @@ COUNTRY_KEY = {
 }
 
 
-def key_value(header: str, c: Column, country: Column | None = None) -> Column:
-    """A cell as it counts in the business key, by what its header says it is."""
-    h, c = header.lower(), F.coalesce(c, F.lit(""))
+def key_value(header: str, c: Column, country: Column | None = None, known: dict[str, Column] | None = None) -> Column:
+    """A cell as it counts in the business key, by what its header says it is.
+
+    ``known`` has columns already worked out for the cell: its national number, date or time of day.
+    """
+    h, c, known = header.lower(), strip(F.coalesce(c, F.lit(""))), known or {}
     if "phone" in h or "mobile" in h:
-        return clean_phone(c, country) if country is not None else phone_digits(c)
+        # without a country there is no national form
+        number = known.get("number", national_number(c, country_region(country)) if country is not None else F.lit(None).cast("string"))
+        return F.coalesce(number, phone_digits(c))
     if "date" in h:
-        return F.when(strip(c) == "", "").otherwise(standardize_date(strip(c)))
+        return F.coalesce(F.date_format(known.get("date", parse_date(c)), "yyyy-MM-dd"), c)
     if "time" in h:
-        return F.when(strip(c) == "", "").otherwise(standardize_time(c))
+        return F.coalesce(known.get("time", parse_time(c)), F.lower(c))
     if "country" in h or "nation" in h:
-        return F.coalesce(lookup(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), COUNTRY_KEY), text_key(c))
+        return F.coalesce(lookup(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), COUNTRY_KEY), F.lower(c))
     return text_key(c)
 
 
@@ -37,15 +44,22 @@ def business_columns(headers: list[str], row_identifier: str | None = None) -> l
     return [h for h in headers if not is_identifier(h) and h != row_identifier and h != ROW]
 
 
-def business_key(df: DataFrame, cols: list[str], out: str = "business_key") -> DataFrame:
+def record_columns(df: DataFrame) -> list[str]:
+    """Columns that say what a record is: no identifiers, and not the first column if it holds generated row numbers."""
+    headers = [c for c in df.columns if c != ROW]
+    generated = bool(headers) and not is_identifier(headers[0]) and row_identifier_probe(df, headers[0]).first()["is_identifier"]
+    return business_columns(headers, headers[0] if generated else None)
+
+
+def business_key(df: DataFrame, cols: list[str], out: str = "business_key", known: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     country = next((c for c in cols if "country" in c.lower() or "nation" in c.lower()), None)
     where = F.col(f"`{country}`") if country else None
-    return df.withColumn(out, F.concat_ws("\x1f", *[key_value(c, F.col(f"`{c}`"), where) for c in cols]))
+    return stage(df, {out: F.concat_ws("\x1f", *[key_value(c, F.col(f"`{c}`"), where, (known or {}).get(c)) for c in cols])})
 
 
 def row_identifier_probe(df: DataFrame, col: str) -> DataFrame:
     """Whether a column is a generated row number: all numbers, at least 95 % of them distinct."""
-    v = strip(F.col(col))
+    v = strip(F.col(f"`{col}`"))
     t = df.select(v.alias("v")).where("v <> ''").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").try_cast("double").isNotNull()).alias("numbers"), F.count_distinct("v").alias("distinct_values"))
     return t.select("n", "numbers", "distinct_values", ((F.col("n") > 0) & (F.col("n") == F.col("numbers")) & (F.col("distinct_values") >= 0.95 * F.col("n"))).alias("is_identifier"))
 
@@ -82,5 +96,30 @@ def keep_first(df: DataFrame, cols: list[str]) -> DataFrame:
     return t.join(first, ROW, "left_semi").drop("_key")
 
 
+def duplicate_profile(df: DataFrame, n: int = 5) -> DataFrame:
+    """metric, rows, examples: rows with repeated ids, e-mails and phones and later business copies, with up to ``n`` repeated values each.
+
+    Values are listed by the row they first stand in; copies of whole records have no examples.
+    """
+    roles = resolve_roles([c for c in df.columns if c != ROW])
+    keys = {"duplicate_ids": ("transaction_id", strip), "duplicate_emails": ("email", strip), "duplicate_phones": ("phone_number", phone_digits)}
+    parts = []
+    for name, (role, key) in keys.items():
+        if role in roles:
+            c = F.col(f"`{roles[role]}`")
+            values = df.select(ROW, c.alias("value"), key(F.coalesce(c, F.lit(""))).alias("k")).where("k <> ''")
+            values = values.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first"))
+            many = values.groupBy("k").agg(F.sum("n").alias("total")).where("total > 1").select("k")
+            found = values.join(many, "k", "left_semi")
+            first = found.groupBy("value").agg(F.min("first").alias("first")).orderBy("first").limit(n)
+            count = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+            listed = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("examples"))
+            parts += [count.select(F.lit(name).alias("metric"), "rows", F.lit(None).cast("array<string>").alias("examples")), listed.select(F.lit(name).alias("metric"), F.lit(None).cast("long").alias("rows"), "examples")]
+    copies = later_copies(df, record_columns(df)).agg(F.count(F.lit(1)).alias("rows"))
+    parts.append(copies.select(F.lit("duplicate_business").alias("metric"), "rows", F.array().cast("array<string>").alias("examples")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("metric")
+    return both.agg(F.max("rows").alias("rows"), F.first("examples", ignorenulls=True).alias("examples"))
+
+
 def nth_copy(df: DataFrame, key: Column) -> Column:
     return F.row_number().over(Window.partitionBy(key).orderBy(ROW))

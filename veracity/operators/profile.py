@@ -16,6 +16,12 @@ def unpivot(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*ids, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value")) for c in cols])).alias("_c")).select(*ids, "_c.*")
 
 
+def per_column(df: DataFrame, cols: list[str], **aggs) -> DataFrame:
+    """column_name and an aggregate of each kind for every column: one pass, one row from each task, nothing exploded before."""
+    one = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}_{i}") for i, c in enumerate(cols) for k, f in aggs.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}_{i}").alias(k) for k in aggs]) for i, c in enumerate(cols)])))
+
+
 def nullify_all(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or [c for c in df.columns if c != ROW]
     return df.withColumns({c: nullify(F.col(f"`{c}`")) for c in cols})
@@ -27,13 +33,13 @@ def drop_empty_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def empty_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """column_name of the columns without any value."""
-    full = F.max(F.when(~F.lower(strip(F.coalesce("value", F.lit("")))).isin(*EMPTY_WORDS), 1).otherwise(0))
-    return unpivot(df, cols).groupBy("column_name").agg(full.alias("full")).where("full = 0").select("column_name")
+    full = lambda c: F.coalesce(F.max(~F.lower(strip(F.coalesce(c, F.lit("")))).isin(*EMPTY_WORDS)), F.lit(True))
+    return per_column(df, cols, full=full).where("not full").select("column_name")
 
 
 def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
-    """column_name, non_empty, empty, completeness (percent, one decimal)."""
-    t = unpivot(df, cols).groupBy("column_name").agg(F.count("value").alias("non_empty"), F.count(F.lit(1)).alias("n"))
+    """column_name, non_empty, empty, completeness (percent, one decimal); of an empty table nothing."""
+    t = per_column(df, cols, non_empty=F.count, n=lambda c: F.count(F.lit(1))).where("n > 0")
     return t.select("column_name", "non_empty", (F.col("n") - F.col("non_empty")).alias("empty"), F.bround(F.col("non_empty") * 100.0 / F.col("n"), 1).alias("completeness"))
 
 
@@ -57,9 +63,47 @@ def column_types(df: DataFrame, cols: list[str], first_rows: int | None = None)
     return t.select("column_name", kind.when(F.col("phones") > 0.7 * F.col("n"), "Phone").when(F.col("no_boolean") == 0, "Boolean").otherwise("Text/String").alias("column_type"))
 
 
+def exact_median(df: DataFrame, col: str, parts: int = 64) -> float | None:
+    """The exact median of a column without sending its values to one task; null when it has none.
+
+    Values are counted first.  Ranges with about as many rows each are cut by approximate quantiles
+    (only their sizes rest on them), the range with the middle is found from the ranges' counts and cut
+    again, until a range is one value.  Each round reads the distinct values and counts once.
+    """
+    counts = df.select(F.col(col).alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+
+    def at(place: int) -> float:
+        """The value at a place of the sorted column, from 0."""
+        left, before = counts, 0
+        while True:
+            ends = sorted(set(left.agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(parts + 1)]), 1000)).first()[0]))
+            number = F.lit(0)
+            for x in ends:  # a value is in the range of the largest cut below it, or is a cut itself
+                number = number + F.when(F.col("v") >= x, 1).otherwise(0) + F.when(F.col("v") > x, 1).otherwise(0)
+            ranges = left.groupBy(number.alias("r")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
+            for r in ranges:
+                if place < before + r["n"]:
+                    break
+                before += r["n"]
+            if r["lo"] == r["hi"]:
+                return r["lo"]
+            left = left.where(F.col("v").between(r["lo"], r["hi"]))
+
+    low = at((total - 1) // 2)
+    return low if total % 2 else (low + at(total // 2)) / 2
+
+
 def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    t = unpivot(df, cols).select("column_name", F.regexp_replace("value", r"[^0-9.\-]", "").try_cast("double").alias("v")).where("v is not null")
-    return t.groupBy("column_name").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), F.round(F.avg("v"), 4).alias("mean_value"), F.median("v").alias("median_value"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("std_value"))
+    """Least, largest, mean, median and spread of the numbers in each column; columns without a number have no row."""
+    number = lambda c: F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")
+    t = per_column(
+        df, cols, min_value=lambda c: F.min(number(c)), max_value=lambda c: F.max(number(c)), mean_value=lambda c: F.round(F.avg(number(c)), 4), std_value=lambda c: F.round(F.coalesce(F.stddev_samp(number(c)), F.lit(0.0)), 4), n=lambda c: F.count(number(c))
+    ).where("n > 0").drop("n")
+    middles = [(c, exact_median(df.select(number(F.col(f"`{c}`")).alias("v")), "v")) for c in cols]
+    return t.join(F.broadcast(df.sparkSession.createDataFrame(middles, "column_name string, median_value double")), "column_name").select("column_name", "min_value", "max_value", "mean_value", "median_value", "std_value")
 
 
 def text_profile(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -97,17 +141,18 @@ def date_order(df: DataFrame, col: str) -> tuple[bool | None, str, float]:
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column_name, value): most frequent value of each column, the smallest of equally frequent ones."""
-    counts = unpivot(df, cols).where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("column_name").agg(F.max(F.struct("n")).alias("_m"), F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")).select("column_name", "value")
+    """(column_name, value): most frequent trimmed value of each column, the smallest of equally frequent ones; empty words are none."""
+    trimmed = unpivot(df, cols).select("column_name", strip(F.col("value")).alias("value"))
+    counts = trimmed.where(F.col("value").isNotNull() & ~F.lower("value").isin(*EMPTY_WORDS)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("column_name").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
 
 
 def median_value(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).try_cast("double").alias("v")).agg(F.median("v").alias("median_value"))
+    return df.sparkSession.createDataFrame([(exact_median(df.select(F.col(f"`{col}`").try_cast("double").alias("v")), "v"),)], "median_value double")
 
 
 def missing_cells(df: DataFrame, cols: list[str]) -> DataFrame:
-    return unpivot(df, cols).agg(F.count_if(is_missing(F.col("value"))).alias("missing_cells"))
+    return per_column(df, cols, n=lambda c: F.count_if(is_missing(c))).agg(F.sum("n").alias("missing_cells"))
 
 
 def rating(score):

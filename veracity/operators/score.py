@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import strip
+from veracity.functions.cells import is_missing, stage, strip
 from veracity.functions.phone import phone_digits
-from veracity.operators.profile import completeness, rating
-from veracity.operators.schema import classify, resolve_roles
-from veracity.sources.tables import ROW
+from veracity.functions.temporal import parse_date, parse_time
+from veracity.operators.profile import date_order, rating
+from veracity.operators.schema import classify, resolve_roles, schema_warnings
+from veracity.operators.validate import friendly_rule, issue_log, rule_summary
+from veracity.sources.tables import ROW, cut
 
 #: roles that have a validity of their own, and the rule whose affected rows are their faults
 RULE_OF = {"email": "email", "phone_number": "phone", "transaction_date": "date", "transaction_time": "time", "currency": "currency", "payment_mode": "payment_mode"}
+FAILING = ("mandatory", "integrity", "duplicates", *RULE_OF.values(), "country")
 
 
 def _long(one_row: DataFrame, names: list[str]) -> DataFrame:
@@ -36,13 +41,13 @@ def metrics(checked: DataFrame) -> DataFrame:
     roles = resolve_roles(headers)
     error = lambda i: i["severity"].isin("ERROR", "CRITICAL")
     counts = {"n": F.count(F.lit(1)), "invalid": F.count_if(F.exists("issues", error)), "later_copies": F.count_if(F.exists("issues", lambda i: i["role"] == "duplicate_record"))}
-    counts |= {f"hit_{r}": _hit(r) for r in ("mandatory", "integrity", "duplicates", *RULE_OF.values())}
+    counts |= {f"hit_{r}": _hit(r) for r in FAILING}
     counts |= {f"present_{r}": F.count(F.col(f"`{roles[r]}`")) for r in (*RULE_OF, "amount") if r in roles}
     counts["bad_amount"] = F.count_if(F.exists("issues", lambda i: (i["role"] == "amount") & error(i)))
+    full = [F.bround(F.count(F.col(f"`{h}`")) * 100.0 / F.count(F.lit(1)), 1) for h in headers]
+    counts["completeness"] = F.bround(reduce(Column.__add__, full) / len(full), 1) if full else F.lit(None).cast("double")
     parts = _long(checked.agg(*[c.alias(k) for k, c in counts.items()]), list(counts))
-    full = completeness(checked, headers).agg(F.bround(F.avg("completeness"), 1).alias("completeness"))
-    parts = parts.unionByName(_long(full, ["completeness"]))
-    names = [*counts, "completeness"]
+    names = list(counts)
     for r, name, key in (("email", "same_email", strip), ("phone_number", "same_phone", phone_digits)):
         if r in roles:
             parts = parts.unionByName(in_groups(checked, key(F.col(f"`{roles[r]}`")), name))
@@ -59,7 +64,7 @@ def quality_scores(checked: DataFrame) -> DataFrame:
     """
     headers = [c for c in checked.columns if c not in (ROW, "issues")]
     roles, kind = resolve_roles(headers), classify(headers)
-    t, n = metrics(checked), F.col("n")
+    t, n = metrics(cut(checked)), F.col("n")
     part = lambda bad, whole: F.when(whole > 0, 100.0 * (whole - bad) / whole).otherwise(100.0)
     mean = lambda xs: F.bround(sum(xs[1:], xs[0]) / len(xs), 1) if xs else F.lit(100.0)
     valid = [part(F.col(f"hit_{rule}"), F.col(f"present_{r}")) for r, rule in RULE_OF.items() if r in roles and not (kind == "Customer Dataset" and r in ("currency", "payment_mode"))]
@@ -68,7 +73,7 @@ def quality_scores(checked: DataFrame) -> DataFrame:
     unique = [part(F.col("later_copies"), n)] + [part(F.col(c), n) for c in ("same_email", "same_phone") if c in t.columns]
     t = t.select(
         F.coalesce("completeness", F.lit(100.0)).alias("completeness"), mean(valid).alias("validity"), mean(unique).alias("uniqueness"), F.bround(part(F.col("invalid"), n), 1).alias("success_rate"),
-        *[F.round(part(F.col(f"hit_{r}"), n), 1).alias(f"{r}_pass_rate") for r in ("phone", "date", "time")], *[(F.col(f"hit_{r}") > 0).alias(f"failed_{r}") for r in ("mandatory", "integrity", "duplicates", *RULE_OF.values())],
+        *[F.round(part(F.col(f"hit_{r}"), n), 1).alias(f"{r}_pass_rate") for r in ("phone", "date", "time")], *[(F.col(f"hit_{r}") > 0).alias(f"failed_{r}") for r in FAILING], F.lit(bool(schema_warnings(roles, kind))).alias("failed_schema"),
     )
     t = t.withColumn("overall_score", F.bround(0.3 * F.col("completeness") + 0.5 * F.col("validity") + 0.2 * F.col("uniqueness"), 1))
     return t.select("completeness", "validity", "uniqueness", "overall_score", rating(F.col("overall_score")).alias("quality_rating"), "success_rate", "phone_pass_rate", "date_pass_rate", "time_pass_rate", main_issue().alias("main_issue"))
@@ -76,7 +81,7 @@ def quality_scores(checked: DataFrame) -> DataFrame:
 
 def main_issue() -> Column:
     """The first trouble by rank: clear failures first, then anything under 99 percent."""
-    failed_any = F.greatest(*[F.col(f"failed_{r}").cast("int") for r in ("mandatory", "integrity", "duplicates", *RULE_OF.values())]) == 1
+    failed_any = F.greatest(*[F.col(f"failed_{r}").cast("int") for r in (*FAILING, "schema")]) == 1
     shares = {"Missing required values": "completeness", "High duplicate rate detected": "uniqueness", "Phone validation failures": "phone_pass_rate", "Date validation failures": "date_pass_rate", "Time validation failures": "time_pass_rate", "Large number of invalid records": "success_rate", "Data format inconsistencies": "validity"}
     floor = {"completeness": (95, "mandatory"), "uniqueness": (80, "duplicates"), "phone_pass_rate": (90, "phone"), "date_pass_rate": (90, "date"), "time_pass_rate": (90, "time"), "success_rate": (80, None), "validity": (90, "integrity")}
     sound = F.least("completeness", "validity", "uniqueness", "success_rate") >= 99
@@ -101,3 +106,55 @@ def invalid_examples(checked: DataFrame, n: int = 5) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def role_profiles(checked: DataFrame, n: int = 5) -> DataFrame:
+    """role, invalid_count, missing_count, min_value, max_value, detected_format, confidence, examples of the e-mail, phone, date and time columns.
+
+    Counts come from one aggregation; ends and format are those of dates (and the ends those of times),
+    null elsewhere; examples are the first ``n`` different offending values.
+    """
+    checked = cut(checked)
+    roles = resolve_roles([c for c in checked.columns if c not in (ROW, "issues")])
+    there = {r: F.col(f"`{roles[r]}`") for r in ("email", "phone_number", "transaction_date", "transaction_time") if r in roles}
+    parse = {"transaction_date": lambda c: F.date_format(parse_date(c), "yyyy-MM-dd"), "transaction_time": parse_time}
+    t = stage(checked, {f"_{r}": parse[r](c) for r, c in there.items() if r in parse} | {"_one": F.lit(1)})
+    aggs = [x for r, c in there.items() for x in (_hit(RULE_OF[r]).alias(f"{r}_bad"), F.count_if(is_missing(c)).alias(f"{r}_missing"))]
+    aggs += [f(f"_{r}").alias(f"{r}_{k}") for r in there if r in parse for k, f in (("min", F.min), ("max", F.max))]
+    got = t.agg(*(aggs or [F.count(F.lit(1)).alias("n")])).first()
+    _, form, sure = date_order(checked, roles["transaction_date"]) if "transaction_date" in roles else (None, None, None)
+    dated = lambda r, x: x if r == "transaction_date" else None
+    rows = [(r, RULE_OF[r], got[f"{r}_bad"], got[f"{r}_missing"], got[f"{r}_min"] if r in parse else None, got[f"{r}_max"] if r in parse else None, dated(r, form), dated(r, sure)) for r in there]
+    facts = checked.sparkSession.createDataFrame(rows, "role string, rule string, invalid_count long, missing_count long, min_value string, max_value string, detected_format string, confidence double")
+    if not there:
+        return facts.drop("rule").withColumn("examples", F.array().cast("array<string>"))
+    few = invalid_examples(checked, n).groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_row", "value"))), lambda x: x["value"]).alias("examples"))
+    return facts.join(few, "rule", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).drop("rule")
+
+
+def confidence_band(confidence: Column) -> Column:
+    return F.when(confidence >= 90, "High certainty").when(confidence >= 70, "Moderate certainty").otherwise("Low certainty")
+
+
+def expectations(headers: list[str]) -> int:
+    """How many suites are evaluated: completeness and uniqueness always, others by the columns there are."""
+    roles = resolve_roles(headers)
+    return 2 + sum(r in roles for r in ("email", "phone_number", "transaction_date")) + (classify(headers) != "Customer Dataset")
+
+
+def transaction_rules(checked: DataFrame) -> DataFrame:
+    """status, currency_rows, payment_rows, amount_rows, affected: the card of the transaction rules; no row for a customer dataset.
+
+    amount_rows counts the issues of the amount column's first rule in the issue summary.
+    """
+    checked = cut(checked)
+    headers = [c for c in checked.columns if c not in (ROW, "issues")]
+    amount = resolve_roles(headers).get("amount")
+    rule = {r["rule"]: r for r in rule_summary(checked).where("rule in ('currency', 'payment_mode')").collect()}
+    log = issue_log(checked).where(F.col("column_name") == amount) if amount else issue_log(checked).where("false")
+    first = log.groupBy(friendly_rule(F.col("role"), F.col("message")).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_no", "seq")).alias("first"))
+    t = first.agg(F.coalesce(F.min_by("n", "first"), F.lit(0)).alias("amount_rows"))
+    c, p = (rule[r]["affected_rows"] for r in ("currency", "payment_mode"))
+    status = "FAILED" if any(x["status"] == "FAILED" for x in rule.values()) else "PASSED"
+    out = t.select(F.lit(status).alias("status"), F.lit(c).alias("currency_rows"), F.lit(p).alias("payment_rows"), "amount_rows", (F.col("amount_rows") + c + p).alias("affected"))
+    return out.where(F.lit(classify(headers) != "Customer Dataset"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veracity.functions import cells as C
-from veracity.operators import clean, dedupe, schema
+from veracity.operators import clean, schema
 from veracity.plans import queries as Q
 from veracity.plans.dirty import HEADERS
 from veracity.sources.tables import ROW
@@ -18,69 +18,83 @@ def _smart(mode: str, role: str) -> bool:
 
 
 def _mode_value(role: str) -> str:
-    return f"(SELECT {role} FROM d WHERE {role} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    t = Q.s_strip(role)
+    return f"(SELECT {t} FROM d WHERE {role} IS NOT NULL AND lower({t}) NOT IN ({Q._list(C.EMPTY_WORDS)}) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 
 
 def _flags(mode: str) -> tuple[list, list, list]:
-    """(entries, errors, warnings) over the CTE ``n``: (condition, column, original, cleaned, action), (condition, column, message), condition."""
+    """(entries, errors, warnings) over the CTE ``n``: (condition, column, original, cleaned, action), (condition, column, message, severity), condition."""
     action = {"phone_number": "phone_normalization", "transaction_date": "date_standardization", "transaction_time": "Time Standardization", "email": "email_cleanup", "currency": "currency_mapping", "payment_mode": "payment_mode_mapping", "country": "country_mapping"}
     entries, errors, warnings = [], [], []
     for r in schema.resolve_roles(HEADERS):
         if r == "transaction_date":
-            errors += [(f"{r} IS NULL", r, "Missing Date"), (f"{r} IS NOT NULL AND day IS NULL", r, "Invalid date")]
-            warnings.append("coalesce(year(day) < 2000, FALSE)")
+            errors += [(f"{r} IS NULL", r, "Missing Date", "ERROR"), (f"{r} IS NOT NULL AND day IS NULL", r, "Invalid date", "ERROR")]
+            warnings.append(f"coalesce(year(day) < 2000 OR day > DATE '{Q.AS_OF}', FALSE)")
         elif r == "transaction_time":
-            entries.append((f"{r} IS NULL AND n_{r} <> 'ERROR'", r, "''", f"n_{r}", "Time Extraction"))
-            errors += [(f"{r} IS NULL AND n_{r} = 'ERROR'", r, "Missing Time"), (f"{r} IS NOT NULL AND n_{r} = 'ERROR'", r, "Invalid Time")]
+            entries.append((f"{r} IS NULL AND n_{r} <> 'ERROR'", r, "coalesce(g_transaction_date, '')", f"n_{r}", "Time Extraction"))
+            errors += [(f"{r} IS NULL AND n_{r} = 'ERROR'", r, "Missing Time", "ERROR"), (f"{r} IS NOT NULL AND n_{r} = 'ERROR'", r, "Invalid Time", "ERROR")]
         elif _smart(mode, r):
             entries.append((f"{r} IS NULL", r, "''", f"g_{r}", "missing_imputation"))
         elif r in _MUST:
-            errors.append((f"{r} IS NULL", r, f"Missing mandatory field: {r}"))
+            errors.append((f"{r} IS NULL", r, "Missing mandatory field", "CRITICAL"))
         else:
             warnings.append(f"{r} IS NULL")
         bad = {"phone_number": ("NOT phone_ok", "Invalid phone format"), "email": (f"NOT {Q.s_email_ok('n_email')}", "Invalid email format"), "currency": (f"upper({Q.s_strip('n_currency')}) NOT IN ({Q._list(C.CURRENCIES)})", "Unsupported currency code"), "payment_mode": (f"lower({Q.s_strip('n_payment_mode')}) NOT IN ({Q._list(C.PAYMENT_MODES)})", "Unsupported payment mode")}.get(r)
         if bad:
-            errors.append((f"n_{r} IS NOT NULL AND {bad[0]}", r, bad[1]))
+            errors.append((f"n_{r} IS NOT NULL AND {bad[0]}", r, bad[1], "ERROR"))
         if r == "amount":
-            errors += [("n_amount IS NOT NULL AND number IS NULL", r, "Invalid numeric amount"), ("coalesce(number < 0, FALSE)", r, "Negative amount")]
-        entries.append((f"{r} IS NOT NULL AND n_{r} <> {r} AND n_{r} <> 'ERROR'", r, r, f"n_{r}", action.get(r, "whitespace_trim")))
+            errors += [("n_amount IS NOT NULL AND number IS NULL", r, "Invalid numeric amount", "ERROR"), ("coalesce(number < 0, FALSE)", r, "Negative amount", "ERROR")]
+        entries.append((f"g_{r} IS NOT NULL AND n_{r} <> g_{r} AND n_{r} <> 'ERROR'", r, f"g_{r}", f"n_{r}", action.get(r, "whitespace_trim")))
     return entries, errors, warnings
 
 
 def _sql(mode: str) -> str:
-    """CTEs up to ``n`` (raw and new cells of every row) and ``cleaned`` (the rows as ``clean`` returns them)."""
-    given = ", ".join((f"coalesce({r}, {_mode_value(r)})" if _smart(mode, r) else r) + f" AS g_{r}" for r in HEADERS)
-    email = Q.s_clean_email("email") if mode == "SMART" else f"CASE WHEN {Q.s_email_ok('email')} THEN lower({Q.s_strip('email')}) ELSE email END"
+    """CTEs up to ``n`` (raw and new cells of every row), ``cleaned`` (rows as ``clean`` returns them) and ``fin`` (with business copies marked)."""
+    given = ", ".join((f"coalesce({Q.s_strip(r)}, {_mode_value(r)})" if _smart(mode, r) else Q.s_strip(r)) + f" AS g_{r}" for r in HEADERS)
+    email = Q.s_clean_email("g_email") if mode == "SMART" else f"CASE WHEN {Q.s_email_ok('g_email')} THEN lower(g_email) ELSE g_email END"
     new = {
-        "transaction_id": Q.s_clean_text("transaction_id"), "customer_id": Q.s_clean_text("customer_id"), "customer_name": Q.s_title(Q.s_clean_text("g_customer_name")), "country": "land",
-        "phone_number": f"coalesce({Q.s_national('phone_number', Q.s_region('land'))}, {Q.s_strip('phone_number')})", "amount": "g_amount", "email": email,
-        "transaction_date": "CASE WHEN transaction_date IS NULL THEN 'ERROR' ELSE coalesce(strftime(day, '%Y-%m-%d'), transaction_date) END",
+        "transaction_id": Q.s_clean_text("g_transaction_id"), "customer_id": Q.s_clean_text("g_customer_id"), "customer_name": Q.s_title(Q.s_clean_text("g_customer_name")), "country": "land",
+        "phone_number": f"coalesce({Q.s_national('g_phone_number', 'region')}, g_phone_number)", "amount": "g_amount", "email": email,
+        "transaction_date": "CASE WHEN transaction_date IS NULL THEN 'ERROR' ELSE coalesce(strftime(day, '%Y-%m-%d'), g_transaction_date) END",
         "transaction_time": f"coalesce({Q.s_time('transaction_time')}, CASE WHEN transaction_time IS NULL THEN {Q.s_time('transaction_date')} END, 'ERROR')",
-        "currency": Q.s_map(f"upper({Q.s_strip('g_currency')})", C.CURRENCY_FORMS, "g_currency"), "payment_mode": Q.s_map(f"lower({Q.s_strip('g_payment_mode')})", C.PAYMENT_FORMS, "g_payment_mode"),
+        "currency": Q.s_map("upper(g_currency)", C.CURRENCY_FORMS, "g_currency"), "payment_mode": Q.s_map("lower(g_payment_mode)", C.PAYMENT_FORMS, "g_payment_mode"),
     }
     entries, errors, warnings = _flags(mode)
     count = lambda cs: " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in cs)
     warned = "warnings" if mode == "STRICT" else "cleaned"
     route = "'cleaned'" if mode == "SOFT" else f"CASE WHEN dup THEN 'duplicates' WHEN n_errors > 0 THEN 'errors' WHEN n_warnings > 0 THEN '{warned}' ELSE 'cleaned' END"
-    return f"""{Q._CTE},
+    first = "(SELECT dayfirst FROM o) AND coalesce(region <> 'US', TRUE)"
+    return f"""{Q._CTE}, {Q.ORDER},
 g AS (SELECT *, count(*) OVER (PARTITION BY transaction_id) > 1 AND transaction_id IS NOT NULL AS dup, {given} FROM d),
-l AS (SELECT *, {Q.s_map(f"upper({Q.s_strip('g_country')})", C.COUNTRY_FORMS, "g_country")} AS land, {Q.s_date('transaction_date')} AS day, {Q.s_number('g_amount')} AS number FROM g),
-n AS (SELECT *, {Q.s_phone_ok('phone_number', 'land')} AS phone_ok, {", ".join(f"{x} AS n_{r}" for r, x in new.items())} FROM l),
+h AS (SELECT *, {Q.s_map("upper(g_country)", C.COUNTRY_FORMS, "g_country")} AS land, {Q.s_number('g_amount')} AS number FROM g),
+i AS (SELECT *, {Q.s_region('land')} AS region FROM h),
+l AS (SELECT *, {Q.s_date('transaction_date', first)} AS day FROM i),
+n AS (SELECT *, (region IS NULL OR {Q.s_national('g_phone_number', 'region')} IS NOT NULL) AS phone_ok, {", ".join(f"{x} AS n_{r}" for r, x in new.items())} FROM l),
 f AS (SELECT *, {count(e[0] for e in errors)} AS n_errors, {count(warnings)} AS n_warnings, {count(e[0] for e in entries)} AS n_entries FROM n),
-cleaned AS (SELECT _row_id, {", ".join(f"CASE WHEN dup THEN {h} ELSE n_{h} END AS {h}" for h in HEADERS)},
-  CASE WHEN dup THEN 'CRITICAL' WHEN n_errors > 0 THEN 'ERROR' WHEN n_warnings > 0 THEN 'WARNING' ELSE 'VALID' END AS row_status, {route} AS route, n_entries AS corrections FROM f)"""
+cleaned AS MATERIALIZED (SELECT _row_id, {", ".join(f"CASE WHEN dup OR ({h} IS NOT NULL AND coalesce(n_{h} = g_{h}, TRUE)) THEN {h} ELSE n_{h} END AS {h}" for h in HEADERS)},
+  CASE WHEN dup THEN 'CRITICAL' WHEN n_errors > 0 THEN 'ERROR' WHEN n_warnings > 0 THEN 'WARNING' ELSE 'VALID' END AS row_status, {route} AS route, n_entries AS corrections FROM f),
+k AS ({Q.keyed("(SELECT * FROM cleaned WHERE route = 'cleaned')", " || row_status" if mode == "SOFT" else "")}),
+fin AS (SELECT cleaned.*, coalesce(later, FALSE) AS copy, route = 'cleaned' AND NOT coalesce(later, FALSE) AS kept FROM cleaned LEFT JOIN (SELECT _row_id, row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1 AS later FROM k) USING (_row_id))"""
 
 
 def _audit(mode: str) -> str:
     entries, errors, _ = _flags(mode)
-    parts = ["SELECT _row_id + 1 AS row_no, 'transaction_id' AS column_name, transaction_id AS original, 'REMOVED' AS cleaned, 'duplicate_removal' AS action, 'ERROR' AS severity FROM n WHERE dup"]
+    parts = ["SELECT _row_id + 1 AS row_no, 'transaction_id' AS column_name, transaction_id AS original, 'DELETED' AS cleaned, 'duplicate_removal' AS action, 'ERROR' AS severity FROM n WHERE dup"]
     parts += [f"SELECT _row_id + 1, '{c}', {old}, {new}, '{what}', 'INFO' FROM n WHERE NOT dup AND {cond}" for cond, c, old, new, what in entries]
-    parts += [f"SELECT _row_id + 1, '{c}', NULL, 'ERROR', '{message}', 'ERROR' FROM n WHERE NOT dup AND {cond}" for cond, c, message in errors]
+    parts += [f"SELECT _row_id + 1, '{c}', coalesce(g_{c}, ''), 'ERROR', '{message}', '{severity}' FROM n WHERE NOT dup AND {cond}" for cond, c, message, severity in errors]
+    whole = ", ".join(f"{h} := coalesce({h}, '')" for h in HEADERS)
+    parts.append(f"SELECT _row_id + 1, 'Entire_Row', to_json(struct_pack({whole}))::VARCHAR, 'DELETED', 'Duplicate Removed', 'INFO' FROM fin WHERE copy")
     return f"{_sql(mode)}, audit AS ({' UNION ALL '.join(parts)})"
 
 
 def _rows(mode: str, spark, sf_dir):
-    return clean.clean(Q.nullified(spark, sf_dir), mode)
+    return clean.clean(Q.nullified(spark, sf_dir), mode, as_of=Q.AS_OF)
+
+
+def _final(mode: str, spark, sf_dir):
+    df = Q.nullified(spark, sf_dir)
+    facts = clean.analyse(df, mode)
+    return facts, clean.remove_copies(clean.clean(df, mode, facts=facts, as_of=Q.AS_OF), facts.keys, HEADERS, mode)
 
 
 def _register_mode(mode: str) -> None:
@@ -98,32 +112,43 @@ def quarantine_counts(spark, sf_dir):
     return _rows("STRICT", spark, sf_dir).groupBy("route", "row_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_STATS = """SELECT count(*) AS total_processed, count(*) FILTER (corrections > 0 AND row_status <> 'CRITICAL') AS rows_corrected, count(*) FILTER (route <> 'cleaned') AS rows_removed, count(*) FILTER (route = 'cleaned') AS rows_retained,
-count(*) FILTER (row_status = 'CRITICAL') AS duplicates_removed, count(*) FILTER (row_status = 'ERROR') AS error_rows, round_even(count(*) FILTER (route = 'cleaned') * 100.0::DOUBLE / greatest(count(*), 1), 1)::DOUBLE AS success_rate FROM cleaned"""
+_COUNTS = ", ".join(f"(SELECT count(*) FROM audit WHERE action IN ({Q._list(actions)})) AS {name}" for name, actions in clean.FIXED.items())
+_STATS = f"""t AS (SELECT count(*) AS total_processed, count(*) FILTER (corrections > 0 AND row_status <> 'CRITICAL') AS rows_corrected, count(*) FILTER (NOT kept) AS rows_removed, count(*) FILTER (kept) AS rows_retained, {_COUNTS},
+  count(*) FILTER (row_status = 'CRITICAL' OR copy) AS duplicates_removed, count(*) FILTER (kept AND row_status = 'ERROR') AS invalid_rows FROM fin),
+u AS (SELECT *, 0::BIGINT AS empty_rows_removed, 0::BIGINT AS empty_columns_removed, rows_retained AS total_records, rows_retained AS unique_records, rows_retained - invalid_rows AS valid_rows, 100.0::DOUBLE AS completeness_score, 100.0::DOUBLE AS uniqueness_score,
+  round_even((rows_retained - invalid_rows) * 100.0::DOUBLE / rows_retained, 1)::DOUBLE AS validity_score FROM t),
+v AS (SELECT *, validity_score AS success_rate, round_even(30 + 0.5::DOUBLE * validity_score + 20, 1)::DOUBLE AS quality_score FROM u)
+SELECT *, CASE WHEN quality_score >= 95 THEN 'Excellent' WHEN quality_score >= 85 THEN 'Good' WHEN quality_score >= 70 THEN 'Average' ELSE 'Poor' END AS quality_rating, (SELECT form FROM o) AS detected_date_format, (SELECT sure FROM o) || '%' AS date_confidence_score FROM v"""
 
 
-@Q.query("cleaning_stats", f"{_sql('SMART')} {_STATS}")
-def cleaning_stats(spark, sf_dir):
-    return clean.cleaning_stats(_rows("SMART", spark, sf_dir))
+def _register_stats(mode: str) -> None:
+    @Q.query("cleaning_stats" if mode == "SMART" else f"cleaning_stats_{mode.lower()}", f"{_audit(mode)}, {_STATS}")
+    def run(spark, sf_dir):
+        facts, rows = _final(mode, spark, sf_dir)
+        return clean.cleaning_stats(rows, facts, mode=mode)
+
 
+for _mode in ("SMART", "SOFT"):
+    _register_stats(_mode)
 
-_RATES = """r AS (SELECT count(*) AS n, count(*) FILTER (route = 'cleaned') AS kept, count(*) FILTER (corrections > 0 AND row_status <> 'CRITICAL') AS corrected, (SELECT count(*) FROM audit WHERE action IN ({actions})) AS repairs FROM cleaned)
+
+_RATES = """r AS (SELECT count(*) AS n, count(*) FILTER (kept) AS kept, count(*) FILTER (corrections > 0 AND row_status <> 'CRITICAL') AS corrected, (SELECT count(*) FROM audit WHERE action IN ({actions})) AS repairs FROM fin)
 SELECT round_even(kept * 100.0::DOUBLE / n, 1)::DOUBLE AS retention_rate, round_even(corrected * 100.0::DOUBLE / n, 1)::DOUBLE AS correction_rate, round_even(repairs * 100.0::DOUBLE / (repairs + n - kept), 1)::DOUBLE AS resolution_rate FROM r"""
 
 
 @Q.query("cleaning_rates", f"{_audit('SMART')}, {_RATES.format(actions=Q._list(clean.REPAIRS))}")
 def cleaning_rates(spark, sf_dir):
-    return clean.cleaning_rates(_rows("SMART", spark, sf_dir))
+    return clean.cleaning_rates(_final("SMART", spark, sf_dir)[1])
 
 
 @Q.query("audit_trail", f"{_audit('SMART')} SELECT * FROM audit")
 def audit_trail(spark, sf_dir):
-    return clean.audit_trail(_rows("SMART", spark, sf_dir)).drop("seq")
+    return clean.audit_trail(_final("SMART", spark, sf_dir)[1]).drop("seq")
 
 
 @Q.query("audit_by_action", f"{_audit('SOFT')} SELECT column_name, action, severity, count(*) AS n FROM audit GROUP BY 1, 2, 3")
 def audit_by_action(spark, sf_dir):
-    return clean.audit_trail(_rows("SOFT", spark, sf_dir)).groupBy("column_name", "action", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return clean.audit_trail(_final("SOFT", spark, sf_dir)[1]).groupBy("column_name", "action", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @Q.query("audit_search", f"{_audit('SMART')} SELECT * FROM audit WHERE severity = 'INFO' AND (contains(lower(original), 'upi') OR contains(lower(cleaned), 'upi') OR contains(lower(action), 'upi'))")
@@ -131,7 +156,11 @@ def audit_search(spark, sf_dir):
     return clean.audit_search(audit_trail(spark, sf_dir), "UPI", severity="INFO")
 
 
-@Q.query("dedupe_cleaned", f"{_sql('SMART')}, d2 AS (SELECT * FROM cleaned WHERE route = 'cleaned') SELECT min(_row_id) AS _row_id FROM (SELECT _row_id, {Q._FULLKEY} AS key FROM d2) GROUP BY key")
+@Q.query("dedupe_cleaned", f"{_sql('SMART')} SELECT _row_id FROM fin WHERE kept")
 def dedupe_cleaned(spark, sf_dir):
-    rows = _rows("SMART", spark, sf_dir).where("route = 'cleaned'").select(ROW, *HEADERS)
-    return dedupe.keep_first(rows, dedupe.business_columns(HEADERS)).select(ROW)
+    return _final("SMART", spark, sf_dir)[1].where("route = 'cleaned'").select(ROW)
+
+
+@Q.query("removed_rows", f"{_sql('STRICT')} SELECT _row_id, row_status FROM cleaned WHERE row_status IN ('ERROR', 'WARNING')")
+def removed_rows(spark, sf_dir):
+    return _rows("STRICT", spark, sf_dir).where("row_status in ('ERROR', 'WARNING')").select(ROW, "row_status")

@@ -10,7 +10,7 @@ DIRTY = """
 SELECT k AS _row_id,
   'TXN-' || CAST(k % 14000 AS varchar(20)) AS transaction_id,
   CASE WHEN k % 53 = 0 THEN '' ELSE 'C' || CAST(ck AS varchar(20)) END AS customer_id,
-  CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN '  ' || cn || chr(9) || 'paypal acct ' WHEN 2 THEN 'USD currency_desk' WHEN 3 THEN 'N/A' ELSE lower(cn) END AS customer_name,
+  CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN '  ' || cn || chr(9) || 'paypal acct ' WHEN 2 THEN 'USD currency_desk' WHEN 4 THEN 'bell' || chr(7) || lower(cn) WHEN 3 THEN 'N/A' ELSE lower(cn) END AS customer_name,
   CASE k % 9 WHEN 0 THEN 'IN' WHEN 1 THEN 'USA' WHEN 2 THEN 'uk' WHEN 3 THEN 'SG' WHEN 4 THEN 'AU' WHEN 5 THEN 'UAE' WHEN 6 THEN 'Atlantis' WHEN 7 THEN '' ELSE 'India' END AS country,
   CASE k % 10 WHEN 0 THEN '+91 98765 ' || lpad(CAST(k % 100000 AS varchar(20)), 5, '0') WHEN 1 THEN '(312) 555-' || lpad(CAST(k % 10000 AS varchar(20)), 4, '0')
     WHEN 2 THEN '07911 1' || lpad(CAST(k % 100000 AS varchar(20)), 5, '0') WHEN 3 THEN '8123' || lpad(CAST(k % 10000 AS varchar(20)), 4, '0')

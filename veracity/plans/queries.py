@@ -37,6 +37,10 @@ def s_map(key: str, table: dict, default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
 
 
+def s_look(key: str, table: dict) -> str:
+    return "map_extract_value(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + f"}}, {key})"
+
+
 def s_clean_text(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace({c}, '[\t\r\n]+', ' ', 'g'), '[^\x20-\x7E]', '', 'g'), ' +', ' ', 'g'))"
 
@@ -64,14 +68,17 @@ def s_clean_email(c: str) -> str:
     return f"CASE WHEN {s_email_ok(fixed)} THEN {fixed} ELSE {c} END"
 
 
-def s_date(c: str) -> str:
+def s_date(c: str, first: str = "FALSE") -> str:
     t = s_strip(c)
-    tail = r"(?:[T ]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?\s*(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+    minutes = r":[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?"
+    tail = rf"(?:[T ]+(?:[01]?[0-9]|2[0-3]){minutes}\s*(?:Z|[A-Z]{{3,5}}|[+-][0-9]{{2}}:?[0-9]{{2}})?)?$"
     ymd, dmy, plain = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})" + tail, r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})" + tail, "^([0-9]{4})([0-9]{2})([0-9]{2})$"
     g = lambda p, i: f"regexp_extract({t}, '{p}', {i})"
+    n = lambda p, i: f"TRY_CAST({g(p, i)} AS INTEGER)"
     mk = lambda y, m, d: f"try_strptime({y} || '-' || {m} || '-' || {d}, '%Y-%m-%d')::DATE"
-    pick = lambda p, y, a, b: f"coalesce({mk(g(p, y), g(p, a), g(p, b))}, {mk(g(p, y), g(p, b), g(p, a))})"
-    return f"CASE WHEN {s_missing(c)} THEN NULL WHEN regexp_matches({t}, '{ymd}') THEN {pick(ymd, 1, 2, 3)} WHEN regexp_matches({t}, '{dmy}') THEN {pick(dmy, 3, 1, 2)} WHEN regexp_matches({t}, '{plain}') THEN {mk(g(plain, 1), g(plain, 2), g(plain, 3))} END"
+    behind = f"CASE WHEN {first} AND {n(ymd, 3)} <= 12 THEN {mk(g(ymd, 1), g(ymd, 3), g(ymd, 2))} ELSE {mk(g(ymd, 1), g(ymd, 2), g(ymd, 3))} END"
+    before = f"CASE WHEN {n(dmy, 1)} > 12 OR ({first} AND {n(dmy, 2)} <= 12) THEN {mk(g(dmy, 3), g(dmy, 2), g(dmy, 1))} ELSE {mk(g(dmy, 3), g(dmy, 1), g(dmy, 2))} END"
+    return f"CASE WHEN {s_missing(c)} THEN NULL WHEN regexp_matches({t}, '{ymd}') THEN {behind} WHEN regexp_matches({t}, '{dmy}') THEN {before} WHEN regexp_matches({t}, '{plain}') THEN {mk(g(plain, 1), g(plain, 2), g(plain, 3))} END"
 
 
 def s_time(c: str) -> str:
@@ -90,20 +97,16 @@ def s_time(c: str) -> str:
 
 
 def s_region(c: str) -> str:
-    return s_map(f"upper({s_strip(c)})", P.COUNTRY_REGION, "NULL")
+    return s_look(f"upper({s_strip(c)})", {r: r for r in P.RULES} | P.COUNTRY_REGION)
 
 
 def s_national(phone: str, region: str) -> str:
-    d, t = rf"regexp_replace({phone}, '\D', '', 'g')", s_strip(phone)
-    abroad = f"({t} LIKE '+%' OR {t} LIKE '00%')"
-    bare = f"CASE WHEN {t} LIKE '00%' THEN substr({d}, 3) ELSE {d} END"
-    out = f"CASE {region} "
-    for name, (code, trunk, nsn) in P.RULES.items():
-        far = f"regexp_extract({bare}, '^{code}({nsn})$', 1)"
-        home = f"regexp_extract({d}, '^{trunk or ('0?' if name == 'IN' else '')}({nsn})$', 1)"
-        n = f"(CASE WHEN {abroad} THEN {far} WHEN {home} <> '' THEN {home} ELSE {far} END)"
-        out += f"WHEN '{name}' THEN CASE WHEN {n} <> ''" + (f" AND NOT regexp_matches({n}, '{P.SET_ASIDE}')" if name == "GB" else "") + f" THEN '{trunk}' || {n} END "
-    return out + f"ELSE CASE WHEN {region} IS NOT NULL AND regexp_matches({d}, '^0?{P.OTHER}$') THEN regexp_replace({d}, '^0', '') END END"
+    t = f"regexp_replace({s_strip(phone)}, '{P.EXTENSION}', '')"
+    d = rf"regexp_replace({t}, '\D', '', 'g')"
+    far, home = (f"coalesce({s_look(region, x)}, '^$')" for x in (P.ABROAD, P.HOME))
+    n = f"nullif(CASE WHEN {t} LIKE '+%' THEN regexp_extract({d}, {far}, 1) WHEN {t} LIKE '00%' THEN regexp_extract(substr({d}, 3), {far}, 1) ELSE coalesce(nullif(regexp_extract({d}, {home}, 1), ''), regexp_extract({d}, {far}, 1)) END, '')"
+    trunk = s_look(region, P.TRUNKS)
+    return f"CASE WHEN {region} = 'GB' AND regexp_matches({n}, '{P.SET_ASIDE}') THEN NULL ELSE {trunk} || {n} || regexp_extract({s_strip(phone)}, '{P.EXTENSION}', 1) END"
 
 
 def s_phone_ok(phone: str, country: str) -> str:
@@ -252,13 +255,23 @@ def profile_time(spark, sf_dir):
     return profile.time_profile(nullified(spark, sf_dir), "transaction_time")
 
 
-@query("date_format_votes", f"""{_CTE}, p AS (SELECT regexp_extract(transaction_date, '^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)$', ['a', 'b', 'c']) AS g FROM d WHERE regexp_matches(transaction_date, '^[0-9]+[-/.][0-9]+[-/.][0-9]+$'))
-SELECT CASE WHEN length(g.a) = 4 OR g.a::INT > 31 THEN 'yyyy' WHEN length(g.c) = 4 OR g.c::INT > 31 THEN CASE WHEN g.a::INT > 12 AND g.b::INT <= 12 THEN 'dd' WHEN g.a::INT <= 12 AND g.b::INT > 12 THEN 'mm' ELSE 'ambiguous' END ELSE 'ambiguous' END AS vote, count(*) AS n FROM p GROUP BY 1""")
+_VOTES = """p AS (SELECT regexp_extract(trim(transaction_date), '^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)$', ['a', 'b', 'c']) AS g, regexp_extract(transaction_date, '[-/.]') AS mark FROM d WHERE regexp_matches(trim(transaction_date), '^[0-9]+[-/.][0-9]+[-/.][0-9]+$')),
+w AS (SELECT mark, CASE WHEN length(g.a) = 4 OR g.a::INT > 31 THEN 'yyyy' WHEN length(g.c) = 4 OR g.c::INT > 31 THEN CASE WHEN g.a::INT > 12 AND g.b::INT <= 12 THEN 'dd' WHEN g.a::INT <= 12 AND g.b::INT > 12 THEN 'mm' ELSE 'ambiguous' END ELSE 'ambiguous' END AS vote FROM p)"""
+#: one row: whether the day stands first (undecided: no), the format found and its confidence
+ORDER = _VOTES + """, c AS (SELECT count_if(vote = 'yyyy') AS y, count_if(vote = 'dd') AS dd, count_if(vote = 'mm') AS mm, count_if(vote <> 'ambiguous') AS total, mode(mark) AS mark FROM w),
+b AS (SELECT *, greatest(y, dd, mm) * 1.0::DOUBLE / total AS best, (y > 0.05 * total)::INT + (dd > 0.05 * total)::INT + (mm > 0.05 * total)::INT AS kinds FROM c),
+o AS (SELECT total > 0 AND dd > y AND dd >= mm AND (kinds <= 1 OR best > 0.5) AS dayfirst,
+  CASE WHEN total = 0 OR (kinds > 1 AND best <= 0.5) THEN 'Mixed Formats' ELSE CASE WHEN kinds > 1 THEN 'Dominant Format: ' ELSE '' END || replace(CASE WHEN y >= dd AND y >= mm THEN 'yyyy-mm-dd' WHEN dd >= mm THEN 'dd-mm-yyyy' ELSE 'mm-dd-yyyy' END, '-', mark) END AS form,
+  CASE WHEN total = 0 THEN 50.0 ELSE round(CASE WHEN best > 0.9 THEN 95 + (best * 100 - 90) * 0.4 ELSE best * 100 END, 1) END::DOUBLE AS sure FROM b)"""
+
+
+@query("date_format_votes", f"{_CTE}, {_VOTES} SELECT vote, count(*) AS n FROM w GROUP BY 1")
 def date_format_votes(spark, sf_dir):
     return profile.date_votes(nullified(spark, sf_dir), "transaction_date")
 
 
-@query("impute_mode", f"{_CTE}, c AS (SELECT column_name, value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2) SELECT column_name, value FROM c QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) = 1")
+@query("impute_mode", f"""{_CTE}, c AS (SELECT column_name, {s_strip('value')} AS value, count(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL AND lower({s_strip('value')}) NOT IN ({_list(C.EMPTY_WORDS)}) GROUP BY 1, 2)
+SELECT column_name, value FROM c QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) = 1""")
 def impute_mode(spark, sf_dir):
     return profile.mode_values(nullified(spark, sf_dir), HEADERS)
 
@@ -294,7 +307,9 @@ def duplicate_phones(spark, sf_dir):
 
 
 _KEY = ["country", "currency", "payment_mode", "transaction_date"]
-_SKEY = f"""{_CTE}, k AS (SELECT _row_id, {s_map("regexp_replace(lower(coalesce(country, '')), '[^0-9a-z]', '', 'g')", dedupe.COUNTRY_KEY, "lower(trim(coalesce(country, '')))")} || '|' || lower(trim(coalesce(currency, ''))) || '|' || lower(trim(coalesce(payment_mode, ''))) || '|' || coalesce(strftime({s_date('transaction_date')}, '%Y-%m-%d'), transaction_date, '') AS key FROM d)"""
+_LAND = s_map("regexp_replace(lower(coalesce(country, '')), '[^0-9a-z]', '', 'g')", dedupe.COUNTRY_KEY, f"lower({s_strip("coalesce(country, '')")})")
+_DAY = f"coalesce(strftime({s_date('transaction_date')}, '%Y-%m-%d'), {s_strip('transaction_date')}, '')"
+_SKEY = f"""{_CTE}, k AS (SELECT _row_id, {_LAND} || '|' || lower(trim(coalesce(currency, ''))) || '|' || lower(trim(coalesce(payment_mode, ''))) || '|' || {_DAY} AS key FROM d)"""
 
 
 @query("business_duplicates_later", f"{_SKEY} SELECT _row_id FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1")
@@ -329,30 +344,37 @@ def _issue(rule: str, role: str, severity: str, message: str, when: str, column:
 
 
 _FULLKEY = " || '|' || ".join(
-    {"country": s_map("regexp_replace(lower(coalesce(country, '')), '[^0-9a-z]', '', 'g')", dedupe.COUNTRY_KEY, "lower(trim(coalesce(country, '')))"),
-     "phone_number": f"coalesce({s_national('phone_number', s_region('country'))}, {s_strip('phone_number')}, '')",
-     "transaction_date": f"coalesce(strftime({s_date('transaction_date')}, '%Y-%m-%d'), transaction_date, '')",
-     "transaction_time": f"CASE WHEN transaction_time IS NULL THEN '' ELSE coalesce({s_time('transaction_time')}, 'ERROR') END"}.get(h, rf"trim(regexp_replace(lower(coalesce({h}, '')), '\s+', ' ', 'g'))")
+    {"country": _LAND, "transaction_date": _DAY, "phone_number": r"coalesce(_national, regexp_replace(phone_number, '\D', '', 'g'), '')",
+     "transaction_time": f"coalesce({s_time('transaction_time')}, lower({s_strip('transaction_time')}), '')"}.get(h, rf"trim(regexp_replace(lower(coalesce({h}, '')), '\s+', ' ', 'g'))")
     for h in HEADERS
 )
+
+
+def keyed(source: str, more: str = "") -> str:
+    """(_row_id, key) of the rows of a table."""
+    land = f"SELECT *, {s_region('country')} AS _region FROM {source}"
+    return f"SELECT _row_id, {_FULLKEY}{more} AS key FROM (SELECT *, {s_national('phone_number', '_region')} AS _national FROM ({land}))"
+
+
 _MUST = schema.mandatory("Mixed Dataset")
 _ISSUES = " UNION ALL ".join(
     [_issue("mandatory", r, "'CRITICAL'", f"'Missing mandatory field: {r}'", f"{r} IS NULL") for r in _MUST]
     + [_issue("integrity", r, "'ERROR'", f"'Missing value: {r}'", f"{r} IS NULL") for r in HEADERS if r not in _MUST and r != "transaction_time"]
     + [
         "SELECT row_no, 'duplicates' AS rule, 'transaction_id' AS role, 'transaction_id' AS column_name, 'Duplicate transaction ID: ' || transaction_id AS message, 'ERROR' AS severity FROM (SELECT _row_id + 1 AS row_no, transaction_id FROM d WHERE transaction_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY transaction_id) > 1)",
-        f"SELECT row_no, 'duplicates', 'duplicate_record', 'Entire_Row', 'Duplicate business record', 'WARNING' FROM (SELECT _row_id + 1 AS row_no FROM (SELECT _row_id, {_FULLKEY} AS key FROM d) QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1)",
+        f"SELECT row_no, 'duplicates', 'duplicate_record', 'Entire_Row', 'Duplicate Record Detected', 'WARNING' FROM (SELECT _row_id + 1 AS row_no FROM ({keyed('d')}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1)",
         _issue("email", "email", "'ERROR'", "'Invalid email format: ' || email", f"email IS NOT NULL AND NOT {s_email_ok('email')}"),
-        _issue("country", "country", "'WARNING'", "'Unknown country: ' || coalesce(country, '')", f"phone_number IS NOT NULL AND {s_region('country')} IS NULL"),
+        _issue("country", "country", "'WARNING'", "'Unknown country: ' || country", f"phone_number IS NOT NULL AND country IS NOT NULL AND {s_region('country')} IS NULL"),
         _issue("phone", "phone_number", "'ERROR'", "'Invalid phone format: ' || phone_number", f"phone_number IS NOT NULL AND NOT {s_phone_ok('phone_number', 'country')}"),
-        _issue("date", "transaction_date", "'ERROR'", "'Invalid date: ' || transaction_date", f"transaction_date IS NOT NULL AND ({s_date('transaction_date')}) IS NULL"),
+        _issue("date", "transaction_date", "'ERROR'", "'Invalid date format: ' || transaction_date", f"transaction_date IS NOT NULL AND ({s_date('transaction_date')}) IS NULL"),
         _issue("none", "transaction_date", "'INFO'", "'Future date: ' || transaction_date", f"{s_date('transaction_date')} > DATE '{AS_OF}'"),
         _issue("none", "transaction_date", "'WARNING'", "'Date before year 2000: ' || transaction_date", f"year({s_date('transaction_date')}) < 2000"),
         _issue("time", "transaction_time", "'ERROR'", "'Missing Time'", f"transaction_time IS NULL AND ({s_time('transaction_date')}) IS NULL"),
         _issue("time", "transaction_time", "'ERROR'", "'Invalid Time: ' || transaction_time", f"transaction_time IS NOT NULL AND ({s_time('transaction_time')}) IS NULL"),
         _issue("integrity", "amount", "'ERROR'", f"CASE WHEN ({s_number('amount')}) IS NULL THEN 'Invalid numeric amount: ' ELSE 'Negative amount: ' END || amount", f"NOT {_NOTIME} AND amount IS NOT NULL AND coalesce(({s_number('amount')}) < 0, TRUE)"),
-        _issue("currency", "currency", "'WARNING'", "'Unsupported currency code: ' || currency", f"NOT {_NOTIME} AND upper(trim(currency)) NOT IN ({_list(C.CURRENCIES)})"),
-        _issue("payment_mode", "payment_mode", "'WARNING'", "'Unsupported payment mode: ' || payment_mode", f"NOT {_NOTIME} AND lower(trim(payment_mode)) NOT IN ({_list(C.PAYMENT_MODES)})"),
+        _issue("integrity", "customer_name", "'ERROR'", "'Corrupted text: ' || customer_name", rf"NOT {_NOTIME} AND regexp_matches(regexp_replace(customer_name, '[\n\r\t]', '', 'g'), '\p{{C}}')"),
+        _issue("currency", "currency", "'WARNING'", "'Invalid currency code: ' || currency", f"NOT {_NOTIME} AND upper(trim(currency)) NOT IN ({_list(C.CURRENCIES)})"),
+        _issue("payment_mode", "payment_mode", "'WARNING'", "'Invalid payment mode: ' || payment_mode", f"NOT {_NOTIME} AND lower(trim(payment_mode)) NOT IN ({_list(C.PAYMENT_MODES)})"),
     ]
 )
 _LOG = f"{_CTE}, log AS ({_ISSUES})"
@@ -363,9 +385,14 @@ def issue_log(spark, sf_dir):
     return validate.issue_log(checked(spark, sf_dir)).drop("seq")
 
 
-@query("rule_summary", f"{_LOG} SELECT rule, count(DISTINCT row_no) AS affected_rows, 'FAILED' AS status FROM log WHERE rule <> 'none' GROUP BY 1")
+_AFFECTED = ", ".join(f"(SELECT count(DISTINCT row_no) FROM log WHERE rule = '{r}') AS {r}" for r in validate.RULES)
+_STATUSES = " UNION ALL ".join(f"SELECT '{r}' AS rule, {r} AS affected_rows, CASE WHEN {r} > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM h" for r in validate.RULES)
+
+
+# the table has every column that a rule needs, so none is skipped and the schema passes
+@query("rule_summary", f"{_LOG}, h AS (SELECT {_AFFECTED}) {_STATUSES} UNION ALL SELECT 'schema', 0, 'PASSED'")
 def rule_summary(spark, sf_dir):
-    return validate.rule_summary(validate.issue_log(checked(spark, sf_dir)))
+    return validate.rule_summary(checked(spark, sf_dir))
 
 
 _CLASS = f"{_LOG}, s AS (SELECT _row_id, max(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 2 WHEN severity IS NOT NULL THEN 1 ELSE 0 END) AS worst FROM d LEFT JOIN log ON row_no = _row_id + 1 GROUP BY 1)"
@@ -391,8 +418,11 @@ _FRIENDLY = """CASE WHEN contains(message, 'Missing') THEN 'Missing ' || role WH
   WHEN role = 'transaction_date' THEN CASE WHEN contains(message, 'Future') THEN 'Future Date' WHEN contains(message, 'before year 2000') THEN 'Ancient Date' ELSE 'Invalid Date' END
   WHEN role = 'transaction_time' THEN 'Invalid Time' WHEN role = 'transaction_id' AND contains(message, 'Duplicate') THEN 'Duplicate Transaction'
   WHEN role = 'amount' THEN CASE WHEN contains(message, 'Negative') THEN 'Negative Amount' ELSE 'Invalid Amount' END WHEN role = 'customer_name' AND contains(message, 'Corrupted') THEN 'Corrupted Text' ELSE 'General Validation Issue' END"""
-_SUMMARY = f"""{_LOG}, s AS (SELECT {_FRIENDLY} AS rule, column_name, count(*) AS n, min(row_no) AS first_row, first(severity ORDER BY row_no) AS severity, first(split_part(message, ': ', 1) ORDER BY row_no) AS message FROM log GROUP BY 1, 2)
-SELECT *, CASE WHEN contains(lower(rule), 'country') OR contains(lower(rule), 'payment') THEN 'Manual Review' WHEN contains(lower(rule), 'missing') THEN 'Imputation' WHEN contains(lower(rule), 'duplicate') THEN 'Deduplicate' ELSE 'Standardize' END AS recoverability FROM s"""
+_SUMMARY = f"""{_LOG}, i AS (SELECT {_FRIENDLY} AS rule, *, CASE WHEN contains(message, ': ') THEN split_part(message, ': ', -1) END AS value FROM (SELECT * EXCLUDE (rule) FROM log)),
+s AS (SELECT rule, column_name, count(*) AS n, min(row_no) AS first_row, first(severity ORDER BY row_no) AS severity, first(split_part(message, ': ', 1) ORDER BY row_no) AS message FROM i GROUP BY 1, 2),
+v AS (SELECT rule, column_name, value, min(row_no) AS place FROM i WHERE value <> '' GROUP BY 1, 2, 3),
+x AS (SELECT rule, column_name, list(value ORDER BY place)[1:5] AS examples FROM v GROUP BY 1, 2)
+SELECT s.*, coalesce(x.examples, []::VARCHAR[]) AS examples, CASE WHEN contains(lower(rule), 'country') OR contains(lower(rule), 'payment') THEN 'Manual Review' WHEN contains(lower(rule), 'missing') THEN 'Imputation' WHEN contains(lower(rule), 'duplicate') THEN 'Deduplicate' ELSE 'Standardize' END AS recoverability FROM s LEFT JOIN x USING (rule, column_name)"""
 
 
 @query("issue_summary", _SUMMARY)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from veracity.operators import score
+from veracity.operators import dedupe, score
 from veracity.plans import queries as Q
 
-_HITS = ", ".join(f"(SELECT count(DISTINCT row_no) FROM log WHERE rule = '{r}') AS hit_{r}" for r in ("mandatory", "integrity", "duplicates", *score.RULE_OF.values()))
+_HITS = ", ".join(f"(SELECT count(DISTINCT row_no) FROM log WHERE rule = '{r}') AS hit_{r}" for r in score.FAILING)
 _PRESENT = ", ".join(f"(SELECT count({r}) FROM d) AS present_{r}" for r in (*score.RULE_OF, "amount"))
 _VALID = [f"100.0::DOUBLE * (present_{r} - hit_{x}) / present_{r}" for r, x in score.RULE_OF.items()] + ["100.0::DOUBLE * (present_amount - bad_amount) / present_amount"]
-_FAILED = " + ".join(f"hit_{r}" for r in ("mandatory", "integrity", "duplicates", *score.RULE_OF.values()))
+_FAILED = " + ".join(f"hit_{r}" for r in score.FAILING)
 _SCORES = f"""{Q._LOG}, m AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT count(DISTINCT row_no) FROM log WHERE severity IN ('ERROR', 'CRITICAL')) AS invalid, {_HITS}, {_PRESENT},
   (SELECT count(*) FROM log WHERE role = 'duplicate_record') AS later, (SELECT count(DISTINCT row_no) FROM log WHERE role = 'amount' AND severity IN ('ERROR', 'CRITICAL')) AS bad_amount,
   (SELECT round_even(avg(completeness), 1)::DOUBLE FROM ({Q._RATES})) AS completeness,
@@ -35,3 +35,39 @@ _EXAMPLES = " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS rule, {r} AS val
 @Q.query("invalid_examples", f"{Q._LOG} {_EXAMPLES}")
 def invalid_examples(spark, sf_dir):
     return score.invalid_examples(Q.checked(spark, sf_dir))
+
+
+_PROFILES = " UNION ALL ".join(
+    f"SELECT '{r}' AS role, (SELECT count(DISTINCT row_no) FROM log WHERE rule = '{x}') AS invalid_count, (SELECT count(*) FROM d WHERE {r} IS NULL) AS missing_count, "
+    + {"transaction_date": f"(SELECT strftime(min({Q.s_date(r)}), '%Y-%m-%d') FROM d) AS min_value, (SELECT strftime(max({Q.s_date(r)}), '%Y-%m-%d') FROM d) AS max_value, (SELECT form FROM o) AS detected_format, (SELECT sure FROM o) AS confidence",
+       "transaction_time": f"(SELECT min({Q.s_time(r)}) FROM d) AS min_value, (SELECT max({Q.s_time(r)}) FROM d) AS max_value, NULL AS detected_format, NULL AS confidence"}.get(r, "NULL AS min_value, NULL AS max_value, NULL AS detected_format, NULL AS confidence")
+    + f", coalesce((SELECT list(value ORDER BY first_row) FROM e WHERE e.rule = '{x}'), []::VARCHAR[]) AS examples"
+    for r, x in score.RULE_OF.items() if r not in ("currency", "payment_mode")
+)
+
+
+@Q.query("role_profiles", f"{Q._LOG}, {Q.ORDER}, e AS ({_EXAMPLES}) {_PROFILES}")
+def role_profiles(spark, sf_dir):
+    return score.role_profiles(Q.checked(spark, sf_dir))
+
+
+@Q.query("transaction_rules", f"""{Q._LOG}, a AS (SELECT CASE WHEN contains(message, 'Missing') THEN 'm' WHEN contains(message, 'Negative') THEN 'n' ELSE 'i' END AS r, count(*) AS n, min(row_no) AS place FROM log WHERE column_name = 'amount' GROUP BY 1),
+t AS (SELECT (SELECT count(DISTINCT row_no) FROM log WHERE rule = 'currency') AS currency_rows, (SELECT count(DISTINCT row_no) FROM log WHERE rule = 'payment_mode') AS payment_rows, (SELECT n FROM a ORDER BY place LIMIT 1) AS amount_rows)
+SELECT CASE WHEN currency_rows > 0 OR payment_rows > 0 THEN 'FAILED' ELSE 'PASSED' END AS status, *, currency_rows + payment_rows + amount_rows AS affected FROM t""")
+def transaction_rules(spark, sf_dir):
+    return score.transaction_rules(Q.checked(spark, sf_dir))
+
+
+_FIRST = "(SELECT coalesce(list(v ORDER BY place), []::VARCHAR[]) FROM (SELECT {c} AS v, min(_row_id) AS place FROM r GROUP BY 1 ORDER BY 2 LIMIT 5))"
+
+
+def _repeated(name: str, column: str, key: str) -> str:
+    rows = f"r AS (SELECT _row_id, {column} FROM d WHERE {column} IS NOT NULL AND {key} <> '' QUALIFY count(*) OVER (PARTITION BY {key}) > 1)"
+    return f"SELECT '{name}' AS metric, rows, examples FROM (WITH {rows} SELECT (SELECT count(*) FROM r) AS rows, {_FIRST.format(c=column)} AS examples)"
+
+
+@Q.query("duplicate_profile", f"""{Q._CTE} {_repeated('duplicate_ids', 'transaction_id', Q.s_strip('transaction_id'))} UNION ALL {_repeated('duplicate_emails', 'email', Q.s_strip('email'))}
+UNION ALL {_repeated('duplicate_phones', 'phone_number', "regexp_replace(phone_number, '[^0-9]', '', 'g')")}
+UNION ALL SELECT 'duplicate_business', count(*), []::VARCHAR[] FROM (SELECT _row_id FROM ({Q.keyed('d')}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1)""")
+def duplicate_profile(spark, sf_dir):
+    return dedupe.duplicate_profile(Q.nullified(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,12 @@ from pyspark.sql import types as T
 ROW = "_row_id"
 
 
-def read_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> DataFrame:
-    """All columns as strings under their file headers; quoted line breaks and doubled quotes are understood."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False)
+def read_csv(spark: SparkSession, path: str, headers: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """All columns as strings under their file headers; doubled quotes are understood.
+
+    ``multi_line`` reads line breaks inside quotes; a file is then one task, whatever its size.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", False)
     if headers:
         reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in headers]))
     return reader.csv(path)
@@ -36,6 +40,20 @@ def with_row_ids(df: DataFrame, out: str = ROW) -> DataFrame:
     return met.withColumn(out, F.col("_base") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_base", "_mid")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, for results that are read several times.
+
+    The folder is ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 @dataclass(frozen=True)
 class TableInfo:
     rows: int
@@ -48,14 +66,35 @@ def table_info(df: DataFrame, n: int = 10) -> TableInfo:
     return TableInfo(df.count(), len(df.columns), df.columns, df.limit(n))
 
 
+def file_sizes(spark: SparkSession, path: str, places: int = 1) -> DataFrame:
+    """path, size_kb of every file under ``path``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.select("path", F.round(F.col("length") / 1024, places).alias("size_kb"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Further rows of the same columns; every part file has its header, so the folder reads as one table."""
+    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_run(result, path: str) -> None:
+    """All outputs of a cleaning run: cleaned, errors, warnings, duplicates, removed (CSV), audit_report, stats and removed_columns (JSON)."""
+    for name in ("cleaned", "errors", "warnings", "duplicates", "removed"):
+        write_csv(getattr(result, name).drop(ROW), f"{path}/{name}")
+    write_json(result.audit, f"{path}/audit_report")
+    write_json(result.stats, f"{path}/stats")
+    gone = result.cleaned.sparkSession.createDataFrame([(list(result.removed_columns),)], "removed_columns array<string>")
+    write_json(gone.coalesce(1), f"{path}/removed_columns")
+
+
 def write_routes(routed: DataFrame, path: str, route: str = "route") -> None:
     """One folder for each route, in a single pass over the classified rows."""
     routed.write.mode("overwrite").partitionBy(route).option("header", True).csv(path)
