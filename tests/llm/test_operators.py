@@ -172,10 +172,53 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
 
 
+def test_language_rejection(spark):
+    rng = random.Random(2)
+    parts = {"aa": ["the", "ing", "of", "an", "wh"], "bb": ["ij", "oo", "va", "de", "sch"], "cc": ["zi", "co", "gna", "lle", "tu"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate(["aa", "bb"] * 200)]
+    models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(i, text(lang, n), lang) for i, (lang, n) in enumerate([("aa", 30), ("bb", 30), ("aa", 8), ("bb", 200), ("cc", 30), ("cc", 200)] * 20)]
+    tests += [(1000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(200)), "no") for i in range(20)]
+    got = language_id.identify(spark.createDataFrame(tests, "doc_id long, text string, want string"), models).collect()
+    for r in got:
+        assert (r.lang_pred == r.want and r.score >= 0.5) if r.want in ("aa", "bb") else r.score < 0.5
+
+
+def test_kneser_ney_brute_force():
+    import numpy as np
+
+    corpus = {"x": ["abab aba", "bab", "abc"], "y": ["cab cab", "ccc"]}
+    syms = {lang: [language_id.symbols(t).tolist() for t in ts] for lang, ts in corpus.items()}
+    counts = {lang: np.unique(np.concatenate([language_id.grams(np.array(q, np.uint16), 3) for q in qs]), return_counts=True) for lang, qs in syms.items()}
+    models = language_id.CharModels(counts, 3)
+
+    def prob(lang, gram):
+        """Interpolated Kneser-Ney: raw counts at the full order, numbers of contexts below, one discount an order."""
+        tables = {3: Counter(tuple(q[i : i + 3]) for q in syms[lang] for i in range(len(q) - 2))}
+        for m in (2, 1):
+            tables[m] = Counter(g[1:] for g in tables[m + 1])
+        if not gram:
+            return language_id.UNSEEN
+        t = tables[len(gram)]
+        ones, twos = sum(c == 1 for c in t.values()), sum(c == 2 for c in t.values())
+        d = min(0.95, ones / (ones + 2 * twos)) if ones else 0.5
+        own = {g: c for g, c in t.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return prob(lang, gram[1:])
+        return max(own.get(gram, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * prob(lang, gram[1:])
+
+    letters = [0, *map(ord, "abcz")]
+    for gram in itertools.product(letters, repeat=3):
+        key = language_id.grams(np.array(gram, np.uint16), 3)
+        assert np.allclose(np.exp(models._find(key, 3)[0]), [prob(lang, gram) for lang in models.langs], rtol=1e-4)
+
+
 def test_language_edges(spark, odd):
     assert {(r.lang_pred, r.score) for r in language_id.identify(odd, language_id.fit(odd)).collect()} == {("und", 0.0)}
     rows = [(i, "the quick brown fox and the dog", "en") for i in range(20)] + [(i, "der schnelle braune fuchs und der hund", "de") for i in range(20, 40)]
     models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language_id.identify(odd.limit(0), models).count() == 0
     tests = spark.createDataFrame([(1, "the dog"), (2, "der hund"), (3, None), (4, "12 !"), (5, "a")], "doc_id long, text string")
     assert [r.lang_pred for r in language_id.identify(tests, models).orderBy("doc_id").collect()][:4] == ["en", "de", "und", "und"]
 

@@ -7,10 +7,12 @@ order: an n-gram of up to four characters packs into 64 bits, and a binary searc
 log-probabilities, one per language.  Every position of a whole text is scored; the language with
 the lowest length-normalised cross-entropy wins.
 
-Rejection is calibrated on the part of the sample the models did not learn from: ``score`` is the
-product of the winner's posterior (from the margin in nats over the text) and the share of
-calibration text of that language which fits no better than the given text, squashed so that all
-but the worst fits stay near 1.
+Rejection is calibrated on the part of the sample the models did not learn from.  For each language and
+length class the quantiles of its own texts' cross-entropies are kept: the 90 % point and the mean
+excess behind it, by which the tail is carried on (exponentially).  They give a text's ``p``, the share
+of texts of that language and length which fit no better.  ``score`` is the winner's posterior (from
+the margin in nats over the text) times ``p / (p + RARE)``: it falls below a half where fewer than one
+in a million such texts would fit as badly.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNSEEN = 1.0 / 65536
+#: length classes (symbols), and the share of fitting texts at which the score is a half
+CLASSES, RARE = (4, 16, 64, 256, 1024, 4096), 1e-6
 
 
 @cache
@@ -122,31 +126,53 @@ class CharModels:
             if 0 < len(s) < self.order:
                 sizes[i] = 1
                 out[i] = -self._find(grams(s, len(s)), len(s))[0]
-        for at in range(0, len(long), 200):
-            part = long[at : at + 200]
-            keys = [grams(syms[i], self.order) for i in part]
+        if long:
+            out[long] = self._score([syms[i] for i in long])
+            sizes[long] = [len(syms[i]) - self.order + 1 for i in long]
+        return out, sizes
+
+    def _score(self, syms: list[np.ndarray]) -> np.ndarray:
+        """Cross-entropy in nats per symbol (sequence by language) of sequences no shorter than the order."""
+        out = np.zeros((len(syms), len(self.langs)))
+        for at in range(0, len(syms), 200):
+            keys = [grams(s, self.order) for s in syms[at : at + 200]]
             n = np.array([len(k) for k in keys])
             sums = np.add.reduceat(self._find(np.concatenate(keys), self.order), np.cumsum([0, *n[:-1]]), axis=0, dtype=np.float64)
-            out[part], sizes[part] = -sums / n[:, None], n
-        return out, sizes
+            out[at : at + 200] = -sums / n[:, None]
+        return out
 
-    def calibrate(self, texts: list, langs: list) -> None:
-        """Per language the mean and spread of the cross-entropy of its own calibration texts."""
-        h, n = self.entropies(texts)
-        langs = np.array(langs, object)
+    def calibrate(self, texts: list, langs: list, windows: int = 4) -> None:
+        """Per language and length class the 90 % point and the mean excess behind it.
+
+        Every calibration text counts with up to ``windows`` stretches of each length it has, spread
+        evenly over it.  A class with under 20 stretches takes the next shorter one's limits.
+        """
+        own: dict[tuple[str, int], list] = {}
+        for s, lang in zip(map(symbols, texts), langs):
+            for c, size in enumerate(CLASSES):
+                size = max(size, self.order)
+                if lang in self.langs and len(s) >= size:
+                    starts = {round(i * (len(s) - size) / max(1, windows - 1)) for i in range(windows)}
+                    own.setdefault((lang, c), []).extend(s[i : i + size] for i in starts)
         for j, lang in enumerate(self.langs):
-            own = h[(langs == lang) & (n > 0), j]
-            self.limits[lang] = (float(own.mean()), max(float(own.std()), 0.05 * float(own.mean()))) if len(own) else (float(np.log(65536)), 1.0)
+            last = (float(np.log(65536)), 1.0)
+            for c in range(len(CLASSES)):
+                parts = own.get((lang, c), [])
+                if len(parts) >= 20:
+                    h = self._score(parts)[:, j]
+                    high = float(np.quantile(h, 0.9))
+                    last = high, max(float((h[h > high] - high).mean()) if (h > high).any() else 0.0, 0.01 * high)
+                self.limits[lang, c] = last
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         h, n = self.entropies(texts)
         best = h.argmin(axis=1)
-        posterior = 1 / np.exp(-(h - h.min(axis=1, keepdims=True)) * np.minimum(n, 1000)[:, None]).sum(axis=1)
-        mean, spread = (np.array([self.limits[x][i] for x in self.langs])[best] for i in (0, 1))
-        # a text of few symbols scatters more: the allowance shrinks with its length
-        z = (h.min(axis=1) - mean) / (spread * (1 + 10 / np.sqrt(np.maximum(n, 1))))
-        fit = 1 / (1 + np.exp(np.clip(z - 8, -50, 50)))
-        return [self.langs[b] if k else "und" for b, k in zip(best, n)], np.where(n > 0, posterior * fit, 0.0)
+        posterior = 1 / np.exp(-(h - h.min(axis=1, keepdims=True)) * n[:, None]).sum(axis=1)
+        # symbols of the text: n-grams and what stands before the first
+        of = np.clip(np.searchsorted(CLASSES, n + self.order - 1, side="right") - 1, 0, len(CLASSES) - 1)
+        limits = np.array([[self.limits[x, c] for c in range(len(CLASSES))] for x in self.langs])[best, of]
+        p = np.minimum(1.0, 0.1 * np.exp(np.minimum(3.0, (limits[:, 0] - h.min(axis=1)) / limits[:, 1])))
+        return [self.langs[b] if k else "und" for b, k in zip(best, n)], np.where(n > 0, posterior * p / (p + RARE), 0.0)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000, order: int = 4) -> CharModels:
