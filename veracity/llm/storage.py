@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only for a local session where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors have no folder in common")
     return root or os.path.join(tempfile.gettempdir(), f"veracity-{spark.sparkContext.applicationId}")
 
 
