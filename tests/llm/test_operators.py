@@ -2,6 +2,7 @@
 
 import functools
 import itertools
+import math
 import random
 import re
 import zlib
@@ -280,6 +281,21 @@ def test_top_k_edges(spark):
     assert vector_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_tree(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 3) for _ in range(6)] for _ in range(8)]
+    rows = [(i, [c + rng.gauss(0, 0.2) for c in centres[i % 8]]) for i in range(600)] + [(1000 + i, centres[0]) for i in range(300)] + [(2000 + i, [1.0, float(i)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    queries = df.where("vec_id % 20 = 0")
+    want = []
+    for r in queries.collect():
+        scored = sorted((-sum(a * b for a, b in zip(whole[r.vec_id], v)), i) for i, v in whole.items() if i != r.vec_id and len(v) == len(whole[r.vec_id]))
+        want += [(r.vec_id, n, i, -s) for n, (s, i) in enumerate(scored[:7], 1)]
+    got = vector_search.top_k(queries, df, k=7, shard_rows=64, sample=200)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bo b", None), (1, 2, None, "who"), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
     got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
