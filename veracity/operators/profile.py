@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.cells import EMPTY_WORDS, email_ok, is_missing, nullify, strip
 from veracity.functions.temporal import SEPARATORS, date_separator, date_vote, decide_date_format, parse_date, parse_time
-from veracity.sources.tables import ROW
+from veracity.sources.tables import ROW, cut
 
 
 def unpivot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -63,35 +63,28 @@ def column_types(df: DataFrame, cols: list[str], first_rows: int | None = None)
     return t.select("column_name", kind.when(F.col("phones") > 0.7 * F.col("n"), "Phone").when(F.col("no_boolean") == 0, "Boolean").otherwise("Text/String").alias("column_type"))
 
 
-def exact_median(df: DataFrame, col: str, parts: int = 64) -> float | None:
+def exact_median(df: DataFrame, col: str) -> float | None:
     """The exact median of a column without sending its values to one task; null when it has none.
 
-    Values are counted first.  Ranges with about as many rows each are cut by approximate quantiles
-    (only their sizes rest on them), the range with the middle is found from the ranges' counts and cut
-    again, until a range is one value.  Each round reads the distinct values and counts once.
+    Values are counted, the distinct ones dealt by range, and the range with the middle is found from
+    the ranges' sums (one number a partition on the driver); only that range is summed up in order.
     """
     counts = df.select(F.col(col).alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return None
+    dealt = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = sorted((r["lo"], r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).collect())
+    total = sum(n for _, _, n in parts)
 
     def at(place: int) -> float:
         """The value at a place of the sorted column, from 0."""
-        left, before = counts, 0
-        while True:
-            ends = sorted(set(left.agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(parts + 1)]), 1000)).first()[0]))
-            number = F.lit(0)
-            for x in ends:  # a value is in the range of the largest cut below it, or is a cut itself
-                number = number + F.when(F.col("v") >= x, 1).otherwise(0) + F.when(F.col("v") > x, 1).otherwise(0)
-            ranges = left.groupBy(number.alias("r")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("r").collect()
-            for r in ranges:
-                if place < before + r["n"]:
-                    break
-                before += r["n"]
-            if r["lo"] == r["hi"]:
-                return r["lo"]
-            left = left.where(F.col("v").between(r["lo"], r["hi"]))
+        for _, part, n in parts:
+            if place < n:
+                break
+            place -= n
+        inside = dealt.where(F.col("part") == part).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+        return inside.where(F.col("upto") > place).agg(F.min("v")).first()[0]
 
+    if not total:
+        return None
     low = at((total - 1) // 2)
     return low if total % 2 else (low + at(total // 2)) / 2
 
