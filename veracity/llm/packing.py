@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veracity.llm.storage import materialize
+from veracity.llm.token_counts import count_tokens
+
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: numbers of longest pieces tried for one bin, from the most that fit downwards
 TRIES = 6
@@ -137,16 +140,20 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n
     return dealt.groupBy("shard").applyInPandas(task, schema).withColumnRenamed("id", id_col)
 
 
-def word_tokens(docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``out_col``: words (split at white space) and one end token; null text has 0."""
+def text_tokens(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
+    """``docs`` without its text, with ``out_col``: the tokenizer's tokens and one end token; a null text has 0."""
+    end = docs.withColumn("_end", F.col(text_col).isNotNull().cast("long"))
+    counted = count_tokens(end, model_file, text_col, out_col)
+    return counted.withColumn(out_col, F.col(out_col) + F.col("_end")).drop("_end")
 
-    @F.pandas_udf("long")
-    def size(texts: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else len(t.encode("utf-8", "surrogatepass").split()) + 1 for t in texts], dtype="int64")
 
-    return docs.withColumn(out_col, size(F.col(text_col)))
+def pack_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``pack_documents`` with lengths in the tokenizer's tokens; ids and lengths are written once, so texts are read once."""
+    lengths = materialize(text_tokens(docs.select(id_col, text_col), model_file, text_col), "lengths")
+    return pack_documents(lengths, id_col, **options)
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack_documents(word_tokens(docs).drop("text"))
+    import public_tokenizers
+
+    return pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
