@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veracity.llm.exact_dedup import exact_groups
 from veracity.llm.language_id import fit, identify
 from veracity.llm.minhash import near_duplicates
-from veracity.llm.packing import pack_documents, word_tokens
+from veracity.llm.packing import pack_texts
 from veracity.llm.storage import new_path
 
 #: documents whose language score is below this are rejected
@@ -46,8 +46,10 @@ def near(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    """The remaining documents as pieces placed in training sequences."""
-    return pack_documents(word_tokens(docs.select("doc_id", "text")).drop("text"))
+    """The remaining documents as pieces placed in training sequences, by their number of tokens."""
+    import public_tokenizers
+
+    return pack_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("packing", packing)]
