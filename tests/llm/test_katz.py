@@ -4,10 +4,26 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from veracity.llm.katz import discounts, fit_and_score, op5_katz_score
+from veracity.llm.katz import fit_and_score, op5_katz_score
 from veracity.llm.words import words
 
 
+def good_turing(counts, k):
+    """Katz' factors d_r = (r*/r - a) / (1 - a), r* = (r + 1) N_(r+1) / N_r, a = (k + 1) N_(k+1) / N_1; None where they are no shares."""
+    n = Counter(counts)
+    if not all(n[r] for r in range(1, k + 2)):
+        return None
+    a = (k + 1) * n[k + 1] / n[1]
+    d = {r: ((r + 1) * n[r + 1] / (n[r] * r) - a) / (1 - a) for r in range(1, k + 1)} if a != 1 else {0: 2}
+    return d if all(0 < x < 1 for x in d.values()) else None
+
+
+def discounts(counts, k):
+    n = Counter(counts)
+    flat = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return good_turing(counts, k) or {r: 1 - flat / r for r in range(1, k + 1)}
+
+
 def brute(rows, held, k=5):
     """The same model by dictionaries: rows (id, text) -> id: (n_tokens, n_known, base, score)."""
     toks = {i: [*words(t), "</s>"] for i, t in rows}
@@ -17,7 +33,7 @@ def brute(rows, held, k=5):
             uni.update(ts)
             bi.update(zip(["<s>", *ts], ts))
     n, v = sum(uni.values()), len(uni)
-    d1, d2 = discounts(Counter(uni.values()), k), discounts(Counter(bi.values()), k)
+    d1, d2 = discounts(uni.values(), k), discounts(bi.values(), k)
     p = {w: d1.get(c, 1.0) * c / n for w, c in uni.items()}
     rest = 1 - sum(p.values())
     by_h = {}
@@ -54,6 +70,17 @@ def test_matches_brute_force_and_is_normalised(spark, sf_dir):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_good_turing_factors(spark):
+    """Counts of counts that allow the Good-Turing factors: they, and not the flat discount, are taken."""
+    from veracity.llm import katz
+
+    n = {r: round(6000 / (r * (r + 1))) for r in range(1, 7)}
+    counts = [r for r, m in n.items() for _ in range(m)]
+    want = good_turing(counts, 5)
+    got = katz.discounts(n, 5)
+    assert want and got.keys() == want.keys() and all(math.isclose(got[r], want[r]) for r in want)
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b A", "x"), (3, "a b A", "x"), (None, "b", "x")], "doc_id long, text string, n string")
     got = fit_and_score(df, F.lit(False)).collect()

@@ -306,6 +306,44 @@ def test_chat_edges(spark):
     assert [(r.perspective, r.train) for r in got if r.conv_id == 2] == [(None, False)] and len(got) == 4 * 2 + 1 + 1
 
 
+def test_chat_repeats_and_names(spark):
+    rows = [(1, 0, "ann", "hi"), (1, 0, "ann", "hi"), (1, 1, "bob", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("segment", "perspective", "part", "head", "size")})
+    got = chat_format.rotate(df)
+    assert got.count() == 6 and {r.perspective for r in got.collect()} == {"ann", "bob"}
+    spans = sorted((r.seg_start, r.seg_end) for r in got.where("perspective = 'bob'").collect())
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
+    assert chat_format.rotate(df.limit(0)).count() == 0
+
+
+def test_sentencepiece_edges(spark):
+    import public_tokenizers
+
+    model = sentencepiece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    by_byte = model[3]
+    df = spark.createDataFrame([(1, "\U0001f9ff"), (2, "ab" * 150), (None, "the the")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("word", "n", "ids")})
+    got = {r.doc_id: list(r.ids) for r in sentencepiece_lattice.encode_documents(df, model).collect()}
+    assert got[1][-4:] == [by_byte[b] for b in "\U0001f9ff".encode()]
+    back = {r.doc_id: r.decoded for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode_documents(df, model), model).collect()}
+    assert back == {1: "\U0001f9ff", 2: "ab" * 150, None: "the the"}
+    assert sentencepiece_lattice.encode_documents(df.limit(0), model).count() == 0
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, None), (2, "", "en"), (None, "the one and the other of them", "en"), (4, "the one and the other of them", "en"), (5, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("x") for c in ("id", "n", "component_id")})
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            kept = stage(spark, kept, None)
+            assert kept.columns == docs.columns
+        packed = corpus_pipeline.STAGES[3][1](spark, kept, None)
+        assert packed.count() == kept.count()
+    assert kept.count() == 0 and corpus_pipeline.STAGES[0][1](spark, docs.limit(0), None).count() == 0
+
+
 def test_packing(spark):
     rows = [(i, (i * 37) % 900) for i in range(400)] + [(1000, 20000), (1001, None), (1001, None), (None, 5)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, n_tokens long"), shard_rows=200).collect()
