@@ -40,7 +40,7 @@ class Transducer:
     #: a word begins at a mark behind another character
     WORD = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
-    def __init__(self, ranks: dict[str, int], most: int = 1 << 20):
+    def __init__(self, ranks: dict[str, int], most: int = 1 << 17):
         self.rank, self.most = ranks, most
         self.resets = not any(MARK in p.lstrip(MARK) for p in ranks)
         #: begins of tokens, each with the longest shorter end of it that is one too, and the tokens that end it
@@ -59,10 +59,11 @@ class Transducer:
         self.edges: dict[str, tuple] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.arcs: dict[str, tuple] = {}
+        self.paths: dict[str, int] = {}
         self.clear()
 
     @classmethod
-    def from_sentencepiece(cls, model_file: str, most: int = 1 << 20) -> "Transducer":
+    def from_sentencepiece(cls, model_file: str, most: int = 1 << 17) -> "Transducer":
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -71,10 +72,9 @@ class Transducer:
         return cls({m.id_to_piece(i): r for r, i in enumerate(best)}, most)
 
     def clear(self) -> None:
-        """Forget states, transitions and words met."""
+        """Forget states and transitions; word counts stay."""
         self.states: dict[tuple, dict] = {}
         self.start = self._state("", {0: (None, 0)})
-        self.paths: dict[str, int] = {}
 
     def _state(self, node: str, at: dict) -> dict:
         """The transitions known from a state, by character, and under None the state itself."""
@@ -106,7 +106,7 @@ class Transducer:
         key = (first, second)
         ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 4 * self.most:
+            if len(self.fits) > 2 * self.most:
                 self.fits.clear()
             ok = self.fits[key] = self._grow(self._edge(first)[1], self._edge(second)[0])
         return ok
@@ -177,7 +177,7 @@ class Transducer:
     def _tidy(self) -> None:
         if len(self.states) > self.most:
             self.clear()
-        if len(self.paths) > self.most:
+        if len(self.paths) > 4 * self.most:
             self.paths.clear()
 
     def words(self, text: str) -> int:
