@@ -40,7 +40,7 @@ class Transducer:
     #: a word begins at a mark behind another character
     WORD = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 
-    def __init__(self, ranks: dict[str, int], most: int = 1 << 17):
+    def __init__(self, ranks: dict[str, int], most: int = 1 << 18):
         self.rank, self.most = ranks, most
         self.resets = not any(MARK in p.lstrip(MARK) for p in ranks)
         #: begins of tokens, each with the longest shorter end of it that is one too, and the tokens that end it
@@ -63,7 +63,7 @@ class Transducer:
         self.clear()
 
     @classmethod
-    def from_sentencepiece(cls, model_file: str, most: int = 1 << 17) -> "Transducer":
+    def from_sentencepiece(cls, model_file: str, most: int = 1 << 18) -> "Transducer":
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
