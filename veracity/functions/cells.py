@@ -1,6 +1,7 @@
 """Column expressions for single cells: missing values, text, numbers, e-mail and categories.
 
-Every function takes and returns Columns, stays inside code generation and treats null as missing.
+Every function takes and returns Columns and treats null as missing.  What ``let`` binds and higher-order
+functions go through is interpreted; all else stays inside code generation.
 """
 
 from __future__ import annotations

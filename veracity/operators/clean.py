@@ -237,8 +237,9 @@ FIXED = {
 
 
 def cleaning_stats(rows: DataFrame, facts: Facts | None = None, empty_rows: int = 0, mode: str = "SMART") -> DataFrame:
-    """The counters of a run and the scores of what it leaves, one row; ``rows`` are those of ``remove_copies``."""
+    """The counters of a run and the scores of what it leaves, one row; ``rows`` are those of ``remove_copies`` or of ``clean``."""
     facts, hit = facts or Facts(), F.count_if
+    rows = rows if "copy" in rows.columns else rows.withColumn("copy", F.lit(False))
     count = lambda actions: F.coalesce(F.sum(F.size(F.filter("audit", lambda a: a["action"].isin(*actions)))), F.lit(0)).cast("long")
     copy, dup = F.col("copy"), F.col("row_status") == "CRITICAL"
     t = rows.agg(
