@@ -83,13 +83,17 @@ def test_no_rows_and_no_roles(spark):
     assert clean.clean(empty, "STRICT").count() == 0
     assert clean.cleaning_stats(clean.clean(empty, "STRICT")).first().total_processed == 0
     other = table(spark, ["sepal", "petal"], [("1", "2"), (None, None)])
-    assert [(r.sepal, r.row_status) for r in clean.clean(other, "STRICT").orderBy(ROW).collect()] == [("1", "VALID"), (None, "VALID")]
+    assert [(r.sepal, r.row_status) for r in clean.clean(other, "STRICT").orderBy(ROW).collect()] == [("1", "VALID")]  # a row without any value is left out
 
 
 def test_scores_of_clean_rows(spark):
     rows = [("T1", "An", "a@b.com", "9876543210", "India", "2024-01-05", "card", "5", "USD"), ("T2", "Bo", "c@b.com", "9876543211", "India", "2024-01-06", "card", "6", "USD")]
-    got = score.quality_scores(validate.with_issues(table(spark, PAID, rows), "2025-01-01")).first()
+    whole = [(f"C{i}", *r) for i, r in enumerate(rows)]
+    got = score.quality_scores(validate.with_issues(table(spark, ["customer_id", *PAID], whole), "2025-01-01")).first()
     assert (got.overall_score, got.quality_rating, got.main_issue) == (100.0, "Excellent", "No major issues")
+    # a missing field is a warning of the schema, so the table is not without issues
+    got = score.quality_scores(validate.with_issues(table(spark, PAID, rows), "2025-01-01")).first()
+    assert (got.overall_score, got.main_issue) == (100.0, "Data format inconsistencies")
     checked = validate.with_issues(table(spark, PAID, [(*r[:2], "bad", *r[3:]) for r in rows]), "2025-01-01")
     assert [(r.rule, r.value, r.first_row) for r in score.invalid_examples(checked).collect()] == [("email", "bad", 0)]
     trail = spark.createDataFrame([(1, "x", "UPI", "INFO"), (2, "upi", "y", "ERROR")], "row_no int, original string, cleaned string, severity string")
