@@ -422,13 +422,13 @@ _SUMMARY = f"""{_LOG}, i AS (SELECT {_FRIENDLY} AS rule, *, CASE WHEN contains(m
 s AS (SELECT rule, column_name, count(*) AS n, min(row_no) AS first_row, first(severity ORDER BY row_no) AS severity, first(split_part(message, ': ', 1) ORDER BY row_no) AS message FROM i GROUP BY 1, 2),
 v AS (SELECT rule, column_name, value, min(row_no) AS place FROM i WHERE value <> '' GROUP BY 1, 2, 3),
 x AS (SELECT rule, column_name, list(value ORDER BY place)[1:5] AS examples FROM v GROUP BY 1, 2)
-SELECT s.*, coalesce(x.examples, []::VARCHAR[]) AS examples, CASE WHEN contains(lower(rule), 'country') OR contains(lower(rule), 'payment') THEN 'Manual Review' WHEN contains(lower(rule), 'missing') THEN 'Imputation' WHEN contains(lower(rule), 'duplicate') THEN 'Deduplicate' ELSE 'Standardize' END AS recoverability FROM s LEFT JOIN x USING (rule, column_name)"""
+SELECT s.*, coalesce(array_to_string(x.examples, ' | '), '') AS examples, CASE WHEN contains(lower(rule), 'country') OR contains(lower(rule), 'payment') THEN 'Manual Review' WHEN contains(lower(rule), 'missing') THEN 'Imputation' WHEN contains(lower(rule), 'duplicate') THEN 'Deduplicate' ELSE 'Standardize' END AS recoverability FROM s LEFT JOIN x USING (rule, column_name)"""
 
 
 @query("issue_summary", _SUMMARY)
 def issue_summary(spark, sf_dir):
     t = validate.issue_summary(validate.issue_log(checked(spark, sf_dir)))
-    return t.withColumn("recoverability", validate.recoverability(F.col("rule"), F.col("column_name")))
+    return t.withColumns({"recoverability": validate.recoverability(F.col("rule"), F.col("column_name")), "examples": F.array_join("examples", " | ")})
 
 
 _CHUNKS = "SELECT floor(k / 1000)::BIGINT + 1 AS chunk_id, count(*) AS n, min(k) AS first_row, max(k) AS last_row FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veracity.operators import dedupe, score
 from veracity.plans import queries as Q
 
@@ -41,14 +43,14 @@ _PROFILES = " UNION ALL ".join(
     f"SELECT '{r}' AS role, (SELECT count(DISTINCT row_no) FROM log WHERE rule = '{x}') AS invalid_count, (SELECT count(*) FROM d WHERE {r} IS NULL) AS missing_count, "
     + {"transaction_date": f"(SELECT strftime(min({Q.s_date(r)}), '%Y-%m-%d') FROM d) AS min_value, (SELECT strftime(max({Q.s_date(r)}), '%Y-%m-%d') FROM d) AS max_value, (SELECT form FROM o) AS detected_format, (SELECT sure FROM o) AS confidence",
        "transaction_time": f"(SELECT min({Q.s_time(r)}) FROM d) AS min_value, (SELECT max({Q.s_time(r)}) FROM d) AS max_value, NULL AS detected_format, NULL AS confidence"}.get(r, "NULL AS min_value, NULL AS max_value, NULL AS detected_format, NULL AS confidence")
-    + f", coalesce((SELECT list(value ORDER BY first_row) FROM e WHERE e.rule = '{x}'), []::VARCHAR[]) AS examples"
+    + f", coalesce(array_to_string((SELECT list(value ORDER BY first_row) FROM e WHERE e.rule = '{x}'), ' | '), '') AS examples"
     for r, x in score.RULE_OF.items() if r not in ("currency", "payment_mode")
 )
 
 
 @Q.query("role_profiles", f"{Q._LOG}, {Q.ORDER}, e AS ({_EXAMPLES}) {_PROFILES}")
 def role_profiles(spark, sf_dir):
-    return score.role_profiles(Q.checked(spark, sf_dir))
+    return score.role_profiles(Q.checked(spark, sf_dir)).withColumn("examples", F.array_join("examples", " | "))
 
 
 @Q.query("transaction_rules", f"""{Q._LOG}, a AS (SELECT CASE WHEN contains(message, 'Missing') THEN 'm' WHEN contains(message, 'Negative') THEN 'n' ELSE 'i' END AS r, count(*) AS n, min(row_no) AS place FROM log WHERE column_name = 'amount' GROUP BY 1),
@@ -58,7 +60,7 @@ def transaction_rules(spark, sf_dir):
     return score.transaction_rules(Q.checked(spark, sf_dir))
 
 
-_FIRST = "(SELECT coalesce(list(v ORDER BY place), []::VARCHAR[]) FROM (SELECT {c} AS v, min(_row_id) AS place FROM r GROUP BY 1 ORDER BY 2 LIMIT 5))"
+_FIRST = "(SELECT coalesce(array_to_string(list(v ORDER BY place), ' | '), '') FROM (SELECT {c} AS v, min(_row_id) AS place FROM r GROUP BY 1 ORDER BY 2 LIMIT 5))"
 
 
 def _repeated(name: str, column: str, key: str) -> str:
@@ -68,6 +70,6 @@ def _repeated(name: str, column: str, key: str) -> str:
 
 @Q.query("duplicate_profile", f"""{Q._CTE} {_repeated('duplicate_ids', 'transaction_id', Q.s_strip('transaction_id'))} UNION ALL {_repeated('duplicate_emails', 'email', Q.s_strip('email'))}
 UNION ALL {_repeated('duplicate_phones', 'phone_number', "regexp_replace(phone_number, '[^0-9]', '', 'g')")}
-UNION ALL SELECT 'duplicate_business', count(*), []::VARCHAR[] FROM (SELECT _row_id FROM ({Q.keyed('d')}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1)""")
+UNION ALL SELECT 'duplicate_business', count(*), '' FROM (SELECT _row_id FROM ({Q.keyed('d')}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY _row_id) > 1)""")
 def duplicate_profile(spark, sf_dir):
-    return dedupe.duplicate_profile(Q.nullified(spark, sf_dir))
+    return dedupe.duplicate_profile(Q.nullified(spark, sf_dir)).withColumn("examples", F.array_join("examples", " | "))
