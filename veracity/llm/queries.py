@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veracity.llm import chat_format, exact_dedup, katz, language_id, minhash, packing, sentencepiece_lattice, token_counts, vector_search, warc
+from veracity.llm import chat_format, exact_dedup, fill_in_middle, katz, language_id, minhash, packing, sentencepiece_lattice, token_counts, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_language_id": language_id.op10_language_id,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_exact_top_k": vector_search.ORACLE_SQL,
     "op9_chat_format": chat_format.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
