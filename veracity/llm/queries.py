@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veracity.llm import chat_format, exact_dedup, fill_in_middle, katz, language_id, minhash, packing, prefix_trie, sentencepiece_lattice, token_counts, vector_search, warc
+from veracity.llm import chat_format, exact_dedup, fill_in_middle, jaccard_join, katz, language_id, minhash, packing, prefix_trie, sentencepiece_lattice, token_counts, vector_search, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_language_id": language_id.op10_language_id,
+    "op11_ngram_join": jaccard_join.op11_ngram_join,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
