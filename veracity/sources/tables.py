@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,21 +24,67 @@ def read_csv(spark: SparkSession, path: str, headers: list[str] | None = None, m
     return reader.csv(path)
 
 
+#: files whose names are broadcast; more are joined by a shuffle
+MOST_FILES = 100_000
+#: rows of a file that are numbered together
+AREA = 1 << 20
+
+
+def _ranked(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``facts``, one row for each file (``_file``) of its scan."""
+    small = facts.count() <= MOST_FILES
+    return df.join(F.broadcast(facts) if small else facts.hint("merge"), "_file")
+
+
+def _places(df: DataFrame) -> DataFrame | None:
+    """``df`` with ``_file`` and ``_at``, a row's file and its place there; None where it is no scan of Parquet files."""
+    try:
+        return df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+
+
+def _before(rows: DataFrame, order: list[str], n: str = "n") -> DataFrame:
+    """``rows`` (few: files or areas of files) with ``_base``, the sum of ``n`` over the rows before."""
+    return rows.withColumn("_base", F.coalesce(F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def stable_keys(df: DataFrame, out: str) -> DataFrame:
+    """``df`` with a long key of each row that is the same in every scan, however files are packed into tasks.
+
+    Rows of Parquet files are known by file (its rank by name) and place in it, and nothing is written.
+    Rows of anything else are written once to the checkpoint folder with their key.
+    """
+    placed = _places(df)
+    if placed is None:
+        return cut(df.withColumn(out, F.monotonically_increasing_id()))
+    files = _before(placed.select("_file").distinct().withColumn("n", F.lit(1)), ["_file"])
+    # 2**40 rows a file
+    return _ranked(placed, files.drop("n")).withColumn(out, F.shiftleft(F.col("_base").cast("long"), 40) + F.col("_at")).drop("_file", "_at", "_base")
+
+
 def with_row_ids(df: DataFrame, out: str = ROW) -> DataFrame:
-    """Contiguous row numbers from 0 in scan order, without sorting.
+    """Contiguous row numbers from 0, in the order of file names and rows in a file; without sorting the rows.
 
-    One count per partition is added up on the driver (as many numbers as partitions).  The numbers
-    follow the partitions of ``df``, so write or checkpoint the result before it is used twice.
+    A scan of whole Parquet files is numbered by each row's place in its file and the rows of the files
+    before: one count a file, nothing is shuffled, and every later scan gives the same numbers at any
+    parallelism.  Where rows were left out, they are numbered in areas of ``AREA`` places of a file.
+    Rows of anything else have no place of their own: they are written once to the checkpoint folder
+    and numbered as they lie there.  An empty table gives none.
     """
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    sizes = sorted((r["p"], r["n"]) for r in tagged.groupBy(F.shiftright("_mid", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    base, rows = 0, []
-    for p, n in sizes:
-        rows.append((p, base))
-        base += n
-    starts = df.sparkSession.createDataFrame(rows or [(0, 0)], "_p long, _base long")
-    met = tagged.withColumn("_p", F.shiftright("_mid", 33)).join(F.broadcast(starts), "_p")
-    return met.withColumn(out, F.col("_base") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_base", "_mid")
+    placed = _places(df)
+    if placed is None:
+        kept = cut(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_file", F.shiftright("_at", 33))
+        sizes = kept.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
+        return _ranked(kept, _before(sizes, ["_file"]).drop("n")).withColumn(out, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_file", "_at", "_base")
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("top"))
+    if sizes.where("n <> top + 1").isEmpty():
+        return _ranked(placed, _before(sizes, ["_file"]).drop("n", "top")).withColumn(out, F.col("_base") + F.col("_at")).drop("_file", "_at", "_base")
+    area = F.floor(F.col("_at") / AREA).alias("_area")
+    areas = _before(placed.groupBy("_file", area).agg(F.count(F.lit(1)).alias("n")), ["_file", "_area"]).drop("n")
+    place = F.row_number().over(Window.partitionBy("_file", "_area").orderBy("_at")) - 1
+    numbered = placed.withColumn("_area", area).withColumn("_place", place).join(areas.hint("merge"), ["_file", "_area"])
+    return numbered.withColumn(out, F.col("_base") + F.col("_place")).drop("_file", "_at", "_area", "_place", "_base")
 
 
 def cut(df: DataFrame) -> DataFrame:
