@@ -9,6 +9,7 @@ from veracity.llm.language_id import fit, identify
 from veracity.llm.minhash import near_duplicates
 from veracity.llm.packing import pack_documents, word_tokens
 from veracity.llm.storage import new_path
+from veracity.sources.tables import stable_keys
 
 #: documents whose language score is below this are rejected
 LEAST_SCORE = 0.5
@@ -34,9 +35,9 @@ def exact(spark, docs, sf_dir):
 def near(spark, docs, sf_dir):
     """One document of each component of near-duplicates (five words, similarity 0.8 or more), the least id, null last.
 
-    Rows are told apart by their place, as an id may stand at two texts or be null.
+    Rows are told apart by file and place in it, as an id may stand at two texts or be null; every scan gives the same.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = stable_keys(docs, "_row")
     found = near_duplicates(rows, "_row", percent=80).select("_row", "component_id")
     many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
     alike = found.join(many.hint("merge"), "component_id").join(rows.select("_row", "doc_id").hint("merge"), "_row")
