@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veracity.llm import fill_in_middle, jaccard_join, prefix_trie
+from veracity.llm import fill_in_middle, jaccard_join, prefix_trie, sentencepiece_lattice, warc
+from veracity.llm.storage import new_path
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 DOCS = "doc_id long, text string"
@@ -253,3 +254,55 @@ def test_fim_marks(spark):
     made = fill_in_middle.fill_in_middle(df, plan=own)
     assert made.where("form = 'plain'").count() == 0
     assert sorted(fill_in_middle.restore(made, plan=own).collect()) == sorted(df.collect())
+
+
+# --- scans planned anew -------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def cores(spark):
+    """Sets how many cores files are packed for, as executors come and go between jobs."""
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    yield lambda n: spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_warc_scan_planned_anew(spark, cores):
+    rows = [(i, f"u{i}", f"<p>{i} WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n</p>" + "y" * i) for i in range(60)]
+    path = new_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(12), path, compression="none")
+    cores(8)
+    records = warc.read_warc(spark, path)
+    for n in (8, 1, 50):
+        cores(n)
+        assert sorted(bytes(r.payload).decode() for r in records.collect()) == sorted(r[2] for r in rows)
+
+
+def test_near_stage_scan_planned_anew(spark, cores):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = [" ".join(words_of(rng, 120)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i] + " end") for i in range(10)]
+    path = new_path(spark, "docs")
+    spark.createDataFrame(rows, DOCS).repartition(20, "doc_id").write.parquet(path)
+    cores(8)
+    kept = corpus_pipeline.near(spark, spark.read.parquet(path), None)
+    for n in (8, 1, 50):
+        cores(n)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+
+
+def test_encoded_documents_scan_planned_anew(spark, cores):
+    import public_tokenizers
+
+    rows = [(i % 17, f"word number {i} " * (i % 3)) for i in range(60)]
+    path = new_path(spark, "docs")
+    spark.createDataFrame(rows, DOCS).repartition(20).write.parquet(path)
+    model = sentencepiece_lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    cores(8)
+    coded = sentencepiece_lattice.decode(sentencepiece_lattice.encode_documents(spark.read.parquet(path), model), model)
+    for n in (1, 50):
+        cores(n)
+        assert sorted((r.doc_id, r.decoded or "") for r in coded.collect()) == sorted(rows)

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.sources.tables import stable_keys
+
 MARK = "▁"
 WORD = f"(?<=[^{MARK}])(?={MARK})"
 
@@ -123,7 +125,7 @@ def encode_documents(docs: DataFrame, model: tuple, id_col: str = "doc_id", text
 
     A null or empty text has no ids; texts that repeat an id stay apart.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_text"), F.col(id_col), F.col(text_col))
+    rows = stable_keys(docs, "_text").select("_text", F.col(id_col), F.col(text_col))
     coded = encode(rows, model, "_text", text_col).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("word_no", "ids"))).alias("_words"))
     coded = coded.select("_text", F.flatten(F.transform("_words", lambda w: w["ids"])).alias("ids"))
     texts = rows.select("_text", id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("text_sha256"))

@@ -81,6 +81,24 @@ def _mended_headers(placed: DataFrame) -> DataFrame | None:
     return materialize(whole.select("file", "split", "at", F.col("text").alias("head"), (F.octet_length("text") + len(BLANK)).cast("long").alias("start"), _header(F.col("text"), "Content-Length").try_cast("long").alias("length")), "warc-headers")
 
 
+def _chunks(lines: DataFrame) -> DataFrame:
+    """file, split, at, bin: what lies between two magics; ``split`` and ``at`` tell the order in this scan alone."""
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bin"))
+
+
+def _offsets(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (written, with size) with the byte offset of each in its file, where the magic before it begins.
+
+    Prefix sums inside each split, then over the splits of a file.
+    """
+    n = len(MAGIC)
+    total = chunks.groupBy("file", "split").agg(F.sum(F.col("size") + n).alias("total"))
+    before = total.select("file", "split", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    local = chunks.withColumn("local", F.coalesce(F.sum(F.col("size") + n).over(inside), F.lit(0)))
+    return local.join(before, ["file", "split"]).withColumn("offset", F.col("base") + F.col("local") - n).drop("base", "local")
+
+
 def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column] = lambda p: p, max_rounds: int = 40) -> DataFrame:
     """file, offset, head (the header lines), content_length and payload of every record.
 
@@ -91,7 +109,7 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     decompressed file.  An empty folder gives no rows; records that stand twice are returned twice.
     """
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    raw = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bin"))
+    raw = _chunks(lines)
     # the header ends at the first blank line
     text = F.col("bin").cast("string")
     head_size = F.instr(text, BLANK)
@@ -109,13 +127,9 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     slim = chunks.select("file", "split", "at", "size", "head", start.alias("start"), length.alias("length"), F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, payload(body)).alias("payload"), part.alias("part"), closes.alias("closes"))
     slim = materialize(slim, "warc-chunks")
 
-    # byte offsets: prefix sums inside each split, then over the splits of a file
-    inside = Window.partitionBy("file", "split").orderBy("at")
-    n = len(MAGIC)
+    inside, n = Window.partitionBy("file", "split").orderBy("at"), len(MAGIC)
     sums = slim.groupBy("file", "split").agg(F.sum(F.col("size") + n).alias("total"))
-    before = sums.select("file", "split", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = slim.select("file", "split", "at", "size", "start", "length", "part", "closes", F.coalesce(F.sum(F.col("size") + n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("local"))
-    placed = local.join(before, ["file", "split"]).withColumn("offset", F.col("base") + F.col("local") - n)
+    placed = _offsets(slim.select("file", "split", "at", "size", "start", "length", "part", "closes"))
     mended_heads = _mended_headers(placed)
     placed = placed.drop("part", "closes")
     if mended_heads is not None:
@@ -155,18 +169,27 @@ def read_warc(spark: SparkSession, path: str, payload: Callable[[Column], Column
     records = slim.join(true, ["file", "split", "at"])
     ready = records.where("whole").select("file", "offset", "head", F.col("length").alias("content_length"), "payload")
 
-    # payloads with the magic inside: their chunks are fetched by offset and joined up
-    broken = records.where("not whole").select("file", "offset", "next", "head", "start", "length")
+    # payloads with the magic inside: the chunks of their files are read again, placed by byte offset as a
+    # split may be another this time, and joined up
+    broken = materialize(records.where("not whole").select("file", "offset", "next", "head", "start", "length"), "warc-broken")
+    missing = broken.count()
+    if not missing:
+        return ready
+    files = [r["file"] for r in broken.select("file").distinct().collect()]  # no more than the scan lists
+    again = materialize(_chunks(lines.where(F.col("_metadata.file_path").isin(files))).withColumn("size", F.octet_length("bin").cast("long")), "warc-again")
     area = 1 << 20  # records and chunks meet by file and MiB, never by file alone
     bounds = broken.select("file", F.col("offset").alias("from"), "next", F.explode(F.sequence(F.floor(F.col("offset") / area), F.floor((F.col("next") - 1) / area))).alias("area"))
-    spots = placed.select("file", "split", "at", "offset", F.floor(F.col("offset") / area).alias("area"))
-    covered = spots.join(bounds, ["file", "area"]).where("offset >= from and offset < next").select("file", "split", "at", "offset", "from")
-    pieces = raw.join(covered, ["file", "split", "at"]).groupBy("file", "from").agg(F.sort_array(F.collect_list(F.struct("offset", F.concat(F.lit(MAGIC).cast("binary"), F.col("bin")).alias("b")))).alias("parts"))
+    spots = _offsets(again).select("file", "offset", "bin", F.floor(F.col("offset") / area).alias("area"))
+    covered = spots.join(bounds, ["file", "area"]).where("offset >= from and offset < next")
+    pieces = covered.groupBy("file", "from").agg(F.sort_array(F.collect_list(F.struct("offset", F.concat(F.lit(MAGIC).cast("binary"), F.col("bin")).alias("b")))).alias("parts"))
     joined = F.aggregate("parts", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, x["b"]))
     mended = pieces.select("file", F.col("from").alias("offset"), joined.alias("all")).join(broken, ["file", "offset"])
     inner = F.substring("all", (F.col("start") + n + 1).cast("int"), F.col("length").cast("int"))
     complete = F.octet_length("all") >= F.col("start") + n + F.col("length")
-    mended = mended.where(complete).select("file", "offset", "head", F.col("length").alias("content_length"), payload(inner).alias("payload"))
+    mended = materialize(mended.where(complete).select("file", "offset", "head", F.col("length").alias("content_length"), payload(inner).alias("payload")), "warc-mended")
+    found = mended.count()
+    if found != missing:
+        raise ValueError(f"of {missing} records whose payload holds the magic only {found} could be put together")
     return ready.unionByName(mended)
 
 
