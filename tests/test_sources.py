@@ -1,7 +1,13 @@
 """Row numbers, files and run outputs."""
 
+import csv
+import io
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from veracity.sources import delimited
 from veracity.sources.tables import ROW, stable_keys, with_row_ids
 
 
@@ -55,3 +61,87 @@ def test_stable_keys(spark, tmp_path):
         made = packed(spark, 1, lambda: stable_keys(source, "key"))
         seen = [packed(spark, cores, lambda: sorted((r["key"], r["id"]) for r in made.collect())) for cores in (1, 50)]
         assert seen[0] == seen[1] and len({k for k, _ in seen[0]}) == 999
+
+
+# --- CSV in parallel -----------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def wild_csv(rng, rows, newline="\n"):
+    """A CSV text with line breaks, quotes and commas in its fields; some fields are long."""
+    pieces = ["a", "b ", ",", '"', "\n", "\n\n", "é漢", " ", "1,2", '""', 'x"y', "\n,\n"]
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=newline)
+    writer.writerow(["id", "name", "note"])
+    for i in range(rows):
+        note = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 8, 40]))) * (30 if rng.random() < 0.02 else 1)
+        writer.writerow([i, rng.choice(["plain", 'quo"ted', "com,ma", ""]), note])
+        if rng.random() < 0.1:
+            out.write(newline)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_lines_in_small_splits(spark, tmp_path, small_splits, newline):
+    text = wild_csv(random.Random(4), 900, newline)
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    want = list(csv.reader(io.StringIO(text, newline="")))
+    want = [tuple(f or None for f in r) for r in want if r]
+    table = delimited.read_table(spark, str(tmp_path / "t.csv"))
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path / "t.csv")).rdd.getNumPartitions() > 20
+    got = sorted(tuple(r) for r in table.rows.collect())
+    assert [r[1:] for r in got] == want[1:] and [r[0] for r in got] == list(range(len(want) - 1))
+    assert table.faults.count() == 0
+    # the same as the reader that takes a file as one task
+    one_task = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "t.csv"))
+    plain = lambda rows: sorted(tuple((f or "").replace("\r\n", "\n") for f in r) for r in rows)
+    assert plain(r[1:] for r in got) == plain(one_task.collect())
+
+
+def test_records_have_byte_offsets(spark, tmp_path, small_splits):
+    text = wild_csv(random.Random(8), 200).encode()
+    (tmp_path / "t.csv").write_bytes(text)
+    got = delimited.records(spark, str(tmp_path / "t.csv")).orderBy("record").collect()
+    for r in got:
+        assert text[r.offset : r.offset + len(r.text.encode())] == r.text.encode()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    assert got == delimited.records(spark, str(tmp_path / "t.csv")).orderBy("record").collect()
+
+
+def test_faulty_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffa,b,a,\n1,2,3,4\n5,6\n7,8,9,10,11\n\n"x\ny",,"q ""r""",z\n')
+    (tmp_path / "b.csv").write_text('a,b\n1,"never closed\nand on\n')
+    table = delimited.read_table(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert table.headers == ["a", "b", "a.1", "Unnamed: 3"]
+    assert sorted(tuple(r) for r in table.rows.collect()) == [(0, "1", "2", "3", "4"), (1, "5", "6", None, None), (2, "x\ny", None, 'q "r"', "z")]
+    by_kind = {r.kind: (r.file.rsplit("/", 1)[1], r.record, r.fields, r.text) for r in table.faults.collect()}
+    assert by_kind == {
+        "short": ("a.csv", 2, 2, "5,6"), "long": ("a.csv", 3, 5, "7,8,9,10,11"), "unclosed": ("b.csv", 1, 2, '1,"never closed'),
+        "duplicate header": ("a.csv", 0, 4, "a,b,a,"), "other header": ("b.csv", 0, 2, "a,b"),
+    }
+
+
+def test_unique_headers():
+    assert delimited.unique_headers(["a", "a", "a.1", "a", None]) == ["a", "a.2", "a.1", "a.3", "Unnamed: 4"]
+
+
+def test_no_records(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("\n\n")
+    table = delimited.read_table(spark, str(tmp_path / "e.csv"))
+    assert table.rows.count() == 0 and table.headers == [] and table.faults.count() == 0
+    (tmp_path / "h.csv").write_text("a,b\n")
+    table = delimited.read_table(spark, str(tmp_path / "h.csv"))
+    assert table.rows.count() == 0 and table.headers == ["a", "b"]
+
+
+@pytest.mark.parametrize("line, inside, want", [(b"a,b", False, False), (b"a,b", True, True), (b'a,"b', False, True), (b'a,"b', True, False), (b'""', False, False), (b'"""', False, True), (b'a"b,c', False, False), (b'x"",y', True, True), (b'x",y', True, False), (b'x","y', True, True), (b'"a"b",c', False, False), (b"", True, True), (b'a"",b"', True, False)])
+def test_ends_inside(line, inside, want):
+    assert delimited.ends_inside(line, inside) is want

@@ -87,6 +87,14 @@ def with_row_ids(df: DataFrame, out: str = ROW) -> DataFrame:
     return numbered.withColumn(out, F.col("_base") + F.col("_place")).drop("_file", "_at", "_area", "_place", "_base")
 
 
+def renumber(df: DataFrame, out: str = ROW) -> DataFrame:
+    """``df`` with its row numbers, unique and ascending but with gaps, made contiguous in areas of ``AREA`` numbers."""
+    area = F.floor(F.col(out) / AREA).alias("_area")
+    areas = _before(df.groupBy(area).agg(F.count(F.lit(1)).alias("n")), ["_area"]).drop("n")
+    place = F.row_number().over(Window.partitionBy("_area").orderBy(out)) - 1
+    return df.withColumn("_area", area).withColumn("_place", place).join(areas.hint("merge"), "_area").withColumn(out, F.col("_base") + F.col("_place")).drop("_area", "_place", "_base")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, for results that are read several times.
 
