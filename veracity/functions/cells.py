@@ -96,8 +96,9 @@ def normalize_numeric(c: Column) -> Column:
 
 def to_number(c: Column) -> Column:
     """The number a cell holds once normalised, null when it holds none."""
-    number = r"^[+-]?([0-9][0-9_]*\.?[0-9_]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-    return let(normalize_numeric(F.when(~is_missing(c), c)), lambda n: F.when(n.rlike(number), F.regexp_replace(n, "_", "").try_cast("double")))
+    number = r"^[+-]?(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+    # what is no number is extracted as an empty text, and that is no double
+    return F.replace(F.regexp_extract(normalize_numeric(F.when(~is_missing(c), c)), number, 0), F.lit("_"), F.lit("")).try_cast("double")
 
 
 def email_ok(c: Column) -> Column:

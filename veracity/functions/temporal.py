@@ -10,66 +10,88 @@ from veracity.functions.cells import is_missing, let, strip
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:\.[0-9]+)?)?"
 TIME_ONLY = rf"(?i)^{_CLOCK}\s*(AM|PM)?$"
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?$"
-_MINUTES = r":[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?"
-#: a time of day behind a date, with a half-day mark and a zone
-_TAIL = rf"(?:[T ]+(?:(?:[01]?[0-9]|2[0-3]){_MINUTES}|(?:0?[0-9]|1[0-2]){_MINUTES}\s*[AaPp][Mm])\s*(?:Z|[A-Z]{{3,5}}|[+-][0-9]{{2}}:?[0-9]{{2}})?)?$"
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+#: words and marks that may stand between the parts of a date
+FILLERS = ("at", "on", "and", "ad", "of", "m", "t")
 
 
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string"))
-    return F.when(y >= 1, F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"))
+def _lexer() -> list[tuple[str, str]]:
+    """Replacements that turn a written date into its parts, parted by single spaces, in lower case.
+
+    Digits that are a whole date are cut in three; a time of day with its zone, weekdays, fillers and ordinal endings go; a month's
+    name becomes ``m`` and its first three letters.
+    """
+    either = lambda names: "|".join(f"{n[:3]}(?:{n[3:]})?" if n[3:] else n for n in names)
+    alone = lambda p: rf"(?<![A-Za-z])(?:{p})(?![A-Za-z])"
+    minutes = r":[0-5]?[0-9](?::[0-5]?[0-9](?:[.,][0-9]+)?)?"
+    hour, half_hour = r"(?:[01]?[0-9]|2[0-3])", r"(?:0?[0-9]|1[0-2])"
+    clock = "|".join([
+        rf"{half_hour}(?:{minutes})?\s*(?i:[ap]\.?m\.?)", rf"{hour}{minutes}",
+        rf"{hour}\s*(?i:h|hours?)(?:\s*[0-5]?[0-9](?:\s*(?i:m|minutes?))?(?:\s*[0-5]?[0-9](?:\s*(?i:s|seconds?))?)?)?",
+    ])
+    zone = rf"(?:\s*(?:[Zz]|(?!(?i:{'|'.join(n[:3] for n in (*MONTHS, *WEEKDAYS))}))[A-Z]{{3,5}}))?(?:\s*[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?)?"
+    named = "|".join(f"({n[:3]})(?:{n[3:]})?" if n[3:] else f"({n})" for n in MONTHS).replace("(sep)(?:tember)?", "(sep)(?:t|tember)?")
+    return [
+        (r"^\s+|\s+$", ""),
+        (r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=[Tt\s]|$|(?:[01][0-9]|2[0-3])[0-5][0-9](?:[0-5][0-9])?$)", r"$1-$2-$3T"),
+        (rf"(?:(?<=[0-9])[Tt]+\s*|[\s,]+(?:(?i:at)\s+)?|^)(?:{clock}){zone}(?=$|[\s,])", " "),
+        (rf"(?<=[0-9])[Tt]+\s*(?:(?:[01][0-9]|2[0-3])(?:[0-5][0-9](?:[0-5][0-9](?:[.,][0-9]+)?)?)?{zone})?(?=$|[\s,])", " "),
+        (rf"(?i)(?<=[0-9])(?:st|nd|rd|th)(?![A-Za-z])|{alone('|'.join([either(WEEKDAYS), *FILLERS]))}", " "),
+        (rf"(?i){alone(named)}", " m" + "".join(f"${i}" for i in range(1, 13)) + " "),
+        (r"[\s,;./'-]+", " "),
+        (r"^ | $", ""),
+    ]
+
+
+def _resolver() -> list[tuple[str, str]]:
+    """Replacements that put the parts in the order of year, month and day: ``D``, the three joined by dashes.
+
+    The text begins with 1 where the day comes first, else with 0.  A number of more than two digits, or above 31, is the year; a
+    name is the month.
+    """
+    year, short, month, big, upto12 = "([0-9]{3,4})", "([0-9]{1,2})", "m([a-z]{3})", "(3[2-9]|[4-9][0-9])", "(0?[0-9]|1[0-2])"
+    shapes = [
+        (".", (year, month, short), "123"), (".", (year, short, month), "132"), (".", (month, year, short), "213"), (".", (month, short, year), "312"), (".", (short, month, year), "321"), (".", (short, year, month), "231"),
+        (".", (month, big, short), "213"), (".", (month, short, short), "312"), (".", (big, month, short), "123"), (".", (short, month, short), "321"), (".", (short, big, month), "231"), (".", (short, short, month), "132"),
+        ("1", (year, short, upto12), "132"), (".", (year, short, short), "123"), ("1", (big, short, upto12), "132"), (".", (big, short, short), "123"),
+        (".", ("(1[3-9]|2[0-9]|3[01])", short, "([0-9]{1,4})"), "321"), ("1", (short, upto12, "([0-9]{1,4})"), "321"), (".", (short, short, "([0-9]{1,4})"), "312"),
+    ]
+    # order: which part is the year, which the month, which the day
+    steps = [(f"^{flag} {' '.join(parts)}$", f"D${order[0]}-${order[1]}-${order[2]}") for flag, parts, order in shapes]
+    # two digits stand for a year from 1976 to 2075
+    return [*steps, (r"^D([0-9])-", "D0$1-"), (r"^D([0-6][0-9]|7[0-5])-", "D20$1-"), (r"^D([0-9]{2})-", "D19$1-")]
+
+
+_LEXER, _RESOLVER = _lexer(), _resolver()
 
 
 def parse_date(c: Column, dayfirst: Column | bool = False) -> Column:
     """The date of a cell, null when it holds none.
 
-    Three numbers (year first or last, two- or four-digit), eight digits, or a day, month name and
-    year in either order, with an optional weekday before and time of day behind.  Behind a year,
-    ``dayfirst`` puts the day first where the last number can be a month.  Before a year the day comes
-    first where the first number can be no month, or with ``dayfirst`` where the second can be one.
-    Digits alone need eight of them.  Words that only name a weekday or time have no date.
+    A date is three parts in any of the usual orders: numbers or a month's name, parted by blanks, commas, dots, slashes or dashes or
+    by nothing between digits and letters, with ordinal endings, weekday and fillers (``of``, ``at``) as they come, and a time of day
+    with zone before or behind; or eight digits, with four or six more for the time.  Without a month's name, ``dayfirst`` puts the day
+    before the month where the number can be a month, behind a year too; where the first number can be no month it is the day anyway.
+    Two digits of a year stand for 1976 to 2075.  A cell that lacks day, month or year has no date: nothing is taken from today.
+
+    Each step is a replacement in the text of the step before, so the expression is compiled as it stands and nothing is bound or
+    computed twice.
     """
-    t = F.regexp_replace(strip(F.when(~is_missing(c), c)), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    first = dayfirst if isinstance(dayfirst, Column) else F.lit(dayfirst)
-    return let(F.struct(t.alias("t"), first.alias("first")), lambda x: _parse_date(x["t"], x["first"]))
-
-
-def _century(y: Column) -> Column:
-    return y + F.when(y < 76, 2000).otherwise(1900)
-
-
-def _parse_date(t: Column, first: Column) -> Column:
-    def numbers(pattern: str) -> list[Column]:
-        return [_int(F.regexp_extract(t, pattern + _TAIL, i)) for i in (1, 2, 3)]
-
-    def year_first(y: Column, a: Column, b: Column) -> Column:
-        return F.when(first & (b <= 12), _date(y, b, a)).otherwise(_date(y, a, b))
-
-    def year_last(a: Column, b: Column, y: Column) -> Column:
-        return F.when((a > 12) | (first & (b <= 12)), _date(y, b, a)).otherwise(_date(y, a, b))
-
-    def named(pattern: str, y: int, m: int, d: int) -> Column:
-        at = F.position(F.lower(F.substring(F.regexp_extract(t, pattern + _TAIL, m), 1, 3)), F.lit(MONTHS))
-        month = F.when((at > 0) & (at % 3 == 1), F.floor((at + 2) / 3))
-        return _date(_int(F.regexp_extract(t, pattern + _TAIL, y)), month, _int(F.regexp_extract(t, pattern + _TAIL, d)))
-
-    ymd, dmy, short = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2})"
-    plain, word, word_first = r"^([0-9]{4})([0-9]{2})([0-9]{2})", r"^([0-9]{1,2})[- ]+([A-Za-z]{3,9})[-, ]+([0-9]{4})", r"^([A-Za-z]{3,9})[- ]+([0-9]{1,2})[-, ]+([0-9]{4})"
-    digits = lambda i: _int(F.regexp_extract(t, plain + "$", i))
-    a, b, c = numbers(short)
-    return (
-        F.when(t.rlike(ymd + _TAIL), year_first(*numbers(ymd)))
-        .when(t.rlike(dmy + _TAIL), year_last(*numbers(dmy)))
-        .when(t.rlike(plain + "$"), _date(digits(1), digits(2), digits(3)))
-        .when(t.rlike(word + _TAIL), named(word, 3, 2, 1))
-        .when(t.rlike(word_first + _TAIL), named(word_first, 3, 1, 2))
-        .when(t.rlike(short + _TAIL), F.when(a > 31, year_first(_century(a), b, c)).otherwise(year_last(a, b, _century(c))))
-    )
+    first = F.when(dayfirst, "1 ").otherwise("0 ") if isinstance(dayfirst, Column) else F.lit("1 " if dayfirst else "0 ")
+    t = c
+    for pattern, by in _LEXER:
+        t = F.regexp_replace(t, F.lit(pattern), F.lit(by))
+    t = F.concat(first, F.lower(t))
+    for pattern, by in _RESOLVER:
+        t = F.regexp_replace(t, F.lit(pattern), F.lit(by))
+    for i, name in enumerate(MONTHS):
+        t = F.replace(t, F.lit(f"-{name[:3]}-"), F.lit(f"-{i + 1}-"))
+    return F.regexp_extract(t, "^D((?!0+-)[0-9]+-[0-9]+-[0-9]+)$", 1).try_cast("date")
 
 
 def standardize_date(c: Column, dayfirst: Column | bool = False) -> Column:

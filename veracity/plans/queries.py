@@ -78,7 +78,8 @@ def s_date(c: str, first: str = "FALSE") -> str:
     mk = lambda y, m, d: f"try_strptime({y} || '-' || {m} || '-' || {d}, '%Y-%m-%d')::DATE"
     behind = f"CASE WHEN {first} AND {n(ymd, 3)} <= 12 THEN {mk(g(ymd, 1), g(ymd, 3), g(ymd, 2))} ELSE {mk(g(ymd, 1), g(ymd, 2), g(ymd, 3))} END"
     before = f"CASE WHEN {n(dmy, 1)} > 12 OR ({first} AND {n(dmy, 2)} <= 12) THEN {mk(g(dmy, 3), g(dmy, 2), g(dmy, 1))} ELSE {mk(g(dmy, 3), g(dmy, 1), g(dmy, 2))} END"
-    return f"CASE WHEN {s_missing(c)} THEN NULL WHEN regexp_matches({t}, '{ymd}') THEN {behind} WHEN regexp_matches({t}, '{dmy}') THEN {before} WHEN regexp_matches({t}, '{plain}') THEN {mk(g(plain, 1), g(plain, 2), g(plain, 3))} END"
+    digits = f"CASE WHEN {first} AND {n(plain, 3)} <= 12 THEN {mk(g(plain, 1), g(plain, 3), g(plain, 2))} ELSE {mk(g(plain, 1), g(plain, 2), g(plain, 3))} END"
+    return f"CASE WHEN {s_missing(c)} THEN NULL WHEN regexp_matches({t}, '{ymd}') THEN {behind} WHEN regexp_matches({t}, '{dmy}') THEN {before} WHEN regexp_matches({t}, '{plain}') THEN {digits} END"
 
 
 def s_time(c: str) -> str:

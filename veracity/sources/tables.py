@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -95,6 +96,19 @@ def renumber(df: DataFrame, out: str = ROW) -> DataFrame:
     return df.withColumn("_area", area).withColumn("_place", place).join(areas.hint("merge"), "_area").withColumn(out, F.col("_base") + F.col("_place")).drop("_area", "_place", "_base")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return folder or f"{tempfile.gettempdir()}/veracity-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, for results that are read several times.
 
