@@ -2,13 +2,17 @@
 
 import csv
 import io
+import json
+import os
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from veracity.sources import delimited
-from veracity.sources.tables import ROW, stable_keys, with_row_ids
+from veracity.operators import chunk, clean
+from veracity.sources import delimited, runs
+from veracity.sources.tables import ROW, file_sizes, stable_keys, with_row_ids
 
 
 def packed(spark, cores, f):
@@ -145,3 +149,105 @@ def test_no_records(spark, tmp_path):
 @pytest.mark.parametrize("line, inside, want", [(b"a,b", False, False), (b"a,b", True, True), (b'a,"b', False, True), (b'a,"b', True, False), (b'""', False, False), (b'"""', False, True), (b'a"b,c', False, False), (b'x"",y', True, True), (b'x",y', True, False), (b'x","y', True, True), (b'"a"b",c', False, False), (b"", True, True), (b'a"",b"', True, False)])
 def test_ends_inside(line, inside, want):
     assert delimited.ends_inside(line, inside) is want
+
+
+# --- outputs of a run --------------------------------------------------------------------------------------
+
+
+def routed(spark, n=1000):
+    return spark.range(0, n, 1, 6).select(F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 3 == 0, "errors").otherwise("cleaned").alias("route"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, 'a "b",\nc ').alias("note"), F.lit("x").alias("extra"))
+
+
+def whole(path, route):
+    """A route's parts one behind the other."""
+    return "".join(open(os.path.join(path, f), newline="").read() for f in runs.read_manifest(path)["routes"][route]["files"])
+
+
+def test_routes_have_one_header_each(spark, tmp_path):
+    path = str(tmp_path / "run")
+    manifest = runs.write_routed(routed(spark), path, "route", ["id", "note", "gone"], ["cleaned", "errors", "empty"])
+    assert {r: m["rows"] for r, m in manifest["routes"].items()} == {"cleaned": 600, "errors": 300, "empty": 0}
+    for route in ("cleaned", "errors", "empty"):
+        rows = list(csv.reader(io.StringIO(whole(path, route), newline="")))
+        assert rows[0] == ["id", "note", "gone"] and len(rows) - 1 == manifest["routes"][route]["rows"]
+        assert len(whole(path, route)) == manifest["routes"][route]["bytes"]
+        want = {(r.id, r.note or "", "") for r in routed(spark).where(F.col("route") == route).collect()}
+        assert {tuple(r) for r in rows[1:]} == want
+        assert {(r.id, r.note or "", r.gone or "") for r in runs.read_routed(spark, path, route).collect()} == want
+
+
+def test_a_run_that_fails_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "run")
+    runs.write_routed(routed(spark, 50), path, "route", ["id"], ["cleaned", "errors"])
+    before, files = whole(path, "cleaned"), sorted(os.listdir(path))
+    broken = routed(spark).withColumn("id", F.when(F.col("id") == "777", F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="no"):
+        runs.write_routed(broken, path, "route", ["id"], ["cleaned", "errors"])
+    with pytest.raises(Exception, match="no such route"):
+        runs.write_routed(routed(spark), path, "route", ["id"], ["cleaned"])
+    assert whole(path, "cleaned") == before and sorted(os.listdir(path)) == files
+    # a driver killed before its commit: parts are there, the manifest does not name them
+    writer = runs.RunWriter(path, {"cleaned": runs.csv_head(["id"])}, True)
+    with writer._open(*runs.store_of(path), f"run-{writer.run}/cleaned/part-00000-1") as out:
+        out.write(b"1\n")
+    assert whole(path, "cleaned") == before
+    runs.write_routed(routed(spark, 20), path, "route", ["id"], ["cleaned", "errors"])
+    assert len(whole(path, "cleaned").split()) - 1 == 12
+
+
+def test_append_keeps_columns_and_header(spark, tmp_path):
+    path = str(tmp_path / "t")
+    runs.append_rows(spark.createDataFrame([("1", "a")], "id string, v string"), path, ["id", "v"])
+    runs.append_rows(spark.createDataFrame([("x", "2")], "w string, id string"), path, ["w"])
+    runs.append_rows(spark.createDataFrame([], "id string"), path, ["id"])
+    assert whole(path, "rows").splitlines() == ["id,v", "1,a", "2,"]
+    assert sorted(tuple(r) for r in runs.read_routed(spark, path, "rows").collect()) == [("1", "a"), ("2", None)]
+
+
+def test_outputs_of_cleaning(spark, tmp_path):
+    rows = [(i, f"T{i}", "India", "9876543210" if i % 4 else "12", "2024-01-05" if i % 5 else "not a date", f"1{i % 10}:05:09", None) for i in range(40)]
+    out = clean.clean_table(spark.createDataFrame(rows, f"{ROW} long, Test_ID string, Country string, Phone_Number string, Transaction_Date string, Transaction_Time string, Notes string"), "STRICT")
+    path = str(tmp_path / "run")
+    runs.write_clean_run(out, path, "STRICT")
+    for name in ("cleaned", "errors", "warnings", "duplicates", "removed"):
+        got = list(csv.reader(io.StringIO(whole(path, name))))
+        want = getattr(out, name).drop(ROW)
+        assert got[0] == want.columns == ["Test_ID", "Country", "Phone_Number", "Transaction_Date", "Transaction_Time"]
+        assert sorted(map(tuple, got[1:])) == sorted(tuple(r) for r in want.collect()), name
+    audit = [json.loads(x) for x in whole(path, "audit_report").splitlines()]
+    assert len(audit) == out.audit.count() and {a["row"] for a in audit} == {r.row_no for r in out.audit.collect()}
+    assert json.loads(whole(path, "stats"))["total_processed"] == 40 and json.loads(whole(path, "removed_columns")) == {"removed_columns": ["Notes"]}
+
+
+# --- chunks ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("wide", [None, True])
+def test_archive_of_all_chunks(spark, tmp_path, wide):
+    df = spark.range(0, 1003, 1, 7).select(F.col("id").alias(ROW), F.concat(F.lit("v,"), "id").alias("v"), F.when(F.col("id") % 2 == 0, "é").alias("w"))
+    path = str(tmp_path / "all.zip")
+    members = {r.chunk_id: r for r in chunk.write_archive(df, path, 10, wide).collect()}
+    assert len(members) == 101 and members[101].n == 3 and os.listdir(tmp_path) == ["all.zip"]
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == [f"chunk_{i:03d}.csv" for i in range(1, 102)]
+        rows = [r for name in z.namelist() for r in list(csv.reader(io.StringIO(z.read(name).decode())))[1:]]
+        assert rows == [[f"v,{i}", "é" if i % 2 == 0 else ""] for i in range(1003)]
+        assert [z.getinfo(members[i].name).header_offset for i in (1, 50, 101)] == [members[i].offset for i in (1, 50, 101)]
+    chunk.write_archive(df.where("false"), path, 10, wide)
+    assert zipfile.ZipFile(path).namelist() == []
+
+
+def test_directory_entries_beyond_four_gigabytes():
+    entry = chunk._central(b"chunk_001.csv", 1, 2, 3, 5 << 32, True)
+    end = chunk._end(1, len(entry), 0, True)
+    assert zipfile.ZipFile(io.BytesIO(entry + end)).infolist()[0].header_offset == 5 << 32
+
+
+def test_chunk_files(spark, tmp_path):
+    df = spark.range(0, 25, 1, 4).select(F.col("id").alias(ROW), F.concat(F.lit("v"), "id").alias("v"))
+    path = str(tmp_path / "chunks")
+    made = sorted(tuple(r) for r in chunk.write_chunk_files(df, path, 10).select("chunk_id", "name", "n").collect())
+    assert made == [(1, "chunk_001.csv", 10), (2, "chunk_002.csv", 10), (3, "chunk_003.csv", 5)]
+    assert sorted(os.listdir(path)) == [m[1] for m in made]
+    assert open(os.path.join(path, "chunk_003.csv")).read().split() == ["v", *(f"v{i}" for i in range(20, 25))]
+    assert {r.path.rsplit("/", 1)[1]: r.size_kb for r in file_sizes(spark, path, 2).collect()} == {n: round(os.path.getsize(os.path.join(path, n)) / 1024, 2) for n in os.listdir(path)}
