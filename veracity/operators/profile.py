@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions.cells import EMPTY_WORDS, email_ok, is_missing, nullify, strip
 from veracity.functions.temporal import SEPARATORS, date_separator, date_vote, decide_date_format, parse_date, parse_time
-from veracity.sources.tables import ROW, cut
+from veracity.operators.quantiles import exact_quantiles
+from veracity.sources.tables import ROW, stored
 
 
 def unpivot(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -64,39 +65,28 @@ def column_types(df: DataFrame, cols: list[str], first_rows: int | None = None)
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    """The exact median of a column without sending its values to one task; null when it has none.
+    """The exact median of a column without sending its values to one task; null when it has none."""
+    return exact_quantiles(stored(df.select(F.col(f"`{col}`").cast("double").alias(col)), "median"), [col])[col][0]
 
-    Values are counted, the distinct ones dealt by range, and the range with the middle is found from
-    the ranges' sums (one number a partition on the driver); only that range is summed up in order.
+
+def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Least, largest, mean, median and spread of the numbers in each column; columns without a number have no row.
+
+    The numbers of all columns are written once; their medians take four passes over them, however many columns there are.
     """
-    counts = df.select(F.col(col).alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    dealt = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
-    parts = sorted((r["lo"], r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).collect())
-    total = sum(n for _, _, n in parts)
-
-    def at(place: int) -> float:
-        """The value at a place of the sorted column, from 0."""
-        for _, part, n in parts:
-            if place < n:
-                break
-            place -= n
-        inside = dealt.where(F.col("part") == part).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-        return inside.where(F.col("upto") > place).agg(F.min("v")).first()[0]
-
-    if not total:
-        return None
-    low = at((total - 1) // 2)
-    return low if total % 2 else (low + at(total // 2)) / 2
+    number = lambda c: F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")
+    t = stored(df.select(*[number(F.col(f"`{c}`")).alias(c) for c in cols]), "numbers")
+    stats = per_column(t, cols, min_value=F.min, max_value=F.max, mean_value=lambda c: F.round(F.avg(c), 4), std_value=lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 4), n=F.count).where("n > 0").drop("n")
+    middles = [(c, m[0]) for c, m in exact_quantiles(t, cols).items()]
+    # one row a column
+    return stats.join(F.broadcast(df.sparkSession.createDataFrame(middles, "column_name string, median_value double")), "column_name").select("column_name", "min_value", "max_value", "mean_value", "median_value", "std_value")
 
 
-def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Least, largest, mean, median and spread of the numbers in each column; columns without a number have no row."""
+def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """column_name, q1, median_value, q3 of the numbers in each column, all columns together; null without a number."""
     number = lambda c: F.regexp_replace(c, r"[^0-9.\-]", "").try_cast("double")
-    t = per_column(
-        df, cols, min_value=lambda c: F.min(number(c)), max_value=lambda c: F.max(number(c)), mean_value=lambda c: F.round(F.avg(number(c)), 4), std_value=lambda c: F.round(F.coalesce(F.stddev_samp(number(c)), F.lit(0.0)), 4), n=lambda c: F.count(number(c))
-    ).where("n > 0").drop("n")
-    middles = [(c, exact_median(df.select(number(F.col(f"`{c}`")).alias("v")), "v")) for c in cols]
-    return t.join(F.broadcast(df.sparkSession.createDataFrame(middles, "column_name string, median_value double")), "column_name").select("column_name", "min_value", "max_value", "mean_value", "median_value", "std_value")
+    found = exact_quantiles(stored(df.select(*[number(F.col(f"`{c}`")).alias(c) for c in cols]), "numbers"), cols, (0.25, 0.5, 0.75))
+    return df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], "column_name string, q1 double, median_value double, q3 double")
 
 
 def text_profile(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Registered queries of files: what is written, read back, split and packed must be the table it came from."""
+"""Registered queries of written forms and files, and of profiles of all columns together."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from veracity.functions import temporal as D
-from veracity.plans.queries import query
+from veracity.operators import chunk, frequent, profile
+from veracity.plans.dirty import HEADERS
+from veracity.plans.queries import _CTE, nullified, query
 from veracity.sources.delimited import read_table
-from veracity.sources.tables import scratch
+from veracity.sources.runs import read_routed, write_routed
+from veracity.sources.tables import scratch, with_row_ids
 
 _FORMS = ["d MMMM yyyy", "MMM d, yyyy", "EEEE, d MMM yyyy", "dd/MMM/yyyy", "yyyy MMM dd", "MM/dd/yyyy", "yyyyMMdd'T'HHmmss", "MM dd yyyy", "dd-MMM-yy", "yyyy/M/d h a", "yyyy, MMMM d", "d MMMM, yyyy 'at' HH:mm", "yyyyMMddHHmmss", "d'th of' MMMM yyyy", "HH:mm d MMM yyyy", "yyyy.MM.dd"]
 
@@ -29,3 +32,34 @@ def csv_quoted_lines(spark, sf_dir):
     rows = read_table(spark, path).rows
     # an empty text and no text are one in a CSV file
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def _each(sql: str, between: str = " UNION ALL ") -> str:
+    return between.join(sql.replace("{c}", h) for h in HEADERS)
+
+
+@query("top_values_all", f"{_CTE} " + _each("SELECT '{c}' AS column_name, row_number() OVER (ORDER BY n DESC, first_row)::INT AS rank, value, n, first_row FROM (SELECT {c} AS value, count(*) AS n, min(_row_id) AS first_row FROM d WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 10"))
+def top_values_all(spark, sf_dir):
+    return frequent.top_values(nullified(spark, sf_dir), HEADERS)
+
+
+@query("profile_quartiles", f"{_CTE} " + _each("SELECT '{c}' AS column_name, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median_value, quantile_cont(v, 0.75) AS q3 FROM (SELECT TRY_CAST(regexp_replace({c}, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS v FROM d)"))
+def profile_quartiles(spark, sf_dir):
+    return profile.quartiles(nullified(spark, sf_dir), HEADERS)
+
+
+@query("routed_run", "SELECT CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_quantity > 40 THEN 'large' ELSE 'rest' END AS route, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def routed_run(spark, sf_dir):
+    """All order lines through the routed writer in one pass, and read again by its manifest."""
+    path, columns, routes = scratch(spark, "run"), ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"], ["returned", "large", "rest"]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    write_routed(lines.withColumn("route", F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_quantity") > 40, "large").otherwise("rest")), path, "route", columns, routes)
+    parts = [read_routed(spark, path, r).select(F.lit(r).alias("route"), F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("l_quantity"), "l_returnflag") for r in routes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("chunk_archive", "SELECT (k // 1000 + 1)::BIGINT AS chunk_id, printf('chunk_%03d.csv', k // 1000 + 1) AS name, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS k FROM orders) GROUP BY ALL")
+def chunk_archive(spark, sf_dir):
+    """One ZIP archive of the orders in chunks of 1,000 rows: its members."""
+    orders = with_row_ids(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return chunk.write_archive(orders, scratch(spark, "chunks").removeprefix("file://") + ".zip").select("chunk_id", "name", "n")
