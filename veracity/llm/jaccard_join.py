@@ -9,8 +9,9 @@ that decides this and that the classes of linked documents depend on:
   another shares one of its first ``n - ceil(p n) + 1`` (its prefix), so only prefix columns propose
   pairs.  Rarity is that of an n-gram's rarest word, counted over all texts into ``BUCKETS`` counters;
   any order all documents agree on is right, this one keeps frequent passages out of prefixes.
-* The product of two prefixes bounds the whole entry: what lies behind a prefix adds ``n - prefix``
-  at most.  Pairs whose sizes differ too much, or whose bound is under ``need``, are discarded.
+* The product of what is held of two rows (the prefix, and at least ``HELD`` n-grams of it that has as many) bounds
+  the whole entry: what is not held adds ``n - held`` at most, so for small sets it is the entry itself.
+  Pairs whose sizes differ too much, or whose bound is under ``need``, are discarded.
 * Each column is first multiplied with one row, its least id (linear in the column).  Entries that
   pass are worked out on full sets, and connected components are taken.  What is left are columns
   whose other rows still lie in several components.  These are cut by size class (sizes of linked
@@ -21,7 +22,7 @@ that decides this and that the classes of linked documents depend on:
 So a group of equal or similar documents costs work in proportion to its size, and no link between
 different sets is lost: every pair that shares a prefix column and could join two components is
 decided on full sets.  Columns of m rows of which no two are alike still cost m * m comparisons
-inside tiles, of prefixes only, none of them a row.
+inside tiles, none of them a row.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ from veracity.llm.words import mix, word_hashes, words
 BUCKETS = 1 << 18
 #: rows of a tile, and prefix entries of one
 TILE, TILE_ENTRIES = 1024, 1 << 18
+#: n-grams of a set, the rarest first, that bound its overlaps (its prefix, if that is longer)
+HELD = 48
+#: rows up to which those of a column are paired with each other
+FEW = 12
 #: columns multiplied at a time
 COLUMNS = 4096
 
@@ -59,6 +64,10 @@ def prefix_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1
 
 
+def _prefix(n: Column, percent: int) -> Column:
+    return (n - F.ceil(percent * n / 100) + 1).cast("int")
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
 
@@ -118,18 +127,19 @@ def _incidence(width: int, percent: int, counts):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, digest, prefix = [], [], []
+                n, digest, held = [], [], []
                 for found, rare in ngram_sets(part.column(1).to_pylist(), width, order):
                     n.append(len(found))
                     digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    prefix.append(np.sort(found[np.lexsort((found, rare))[: prefix_size(len(found), percent)]]).view(np.int64) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "class", "prefix"])
+                    most = max(prefix_size(len(found), percent), min(len(found), HELD))
+                    held.append(found[np.lexsort((found, rare))[:most]].view(np.int64) if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(held, pa.list_(pa.int64()))], names=["id", "n", "class", "held"])
 
     return run
 
 
 def _passes(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
-    """Whether the product of two prefixes, and what can lie behind them, allows a link."""
+    """Whether the product of what is held of two rows, and what is not, allows a link."""
     shared = F.size(F.array_intersect(pa_, pb))
     return shared + F.greatest(na - F.size(pa_), nb - F.size(pb)) >= need(na, nb, percent)
 
@@ -171,73 +181,117 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _multiply(percent: int):
-    """Pairs (a, b) of one block's tiles that pass the bound; rows come sorted by block."""
-
-    def block(key: int, grade: int, rows: list) -> list[tuple[int, int]]:
-        # rows: id, n, component, size class, side (0: left tile, 1: right tile, 2: both), prefix
-        left, right = [r for r in rows if r[4] != 1], [r for r in rows if r[4] != 0]
-        if not left or not right:
-            return []
-        col = lambda rs, i: np.array([r[i] for r in rs], np.int64)
-        (ia, na, ca, ga), (ib, nb, cb, gb) = (tuple(col(rs, i) for i in range(4)) for rs in (left, right))
-        sizes = (100 * na[:, None] >= percent * nb[None]) & (100 * nb[None] >= percent * na[:, None])
-        open_ = sizes & (ca[:, None] != cb[None]) & (np.maximum(ga[:, None], gb[None]) == grade) & ((ia[:, None] < ib[None]) | (rows[0][4] != 2))
-        if not open_.any():
-            return []
-        use_a, use_b = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
-        shared = overlaps([left[i][5] for i in use_a], [right[i][5] for i in use_b])
-        la, lb = np.array([len(left[i][5]) for i in use_a]), np.array([len(right[i][5]) for i in use_b])
-        bound = shared + np.maximum((na[use_a] - la)[:, None], (nb[use_b] - lb)[None])
-        good = open_[np.ix_(use_a, use_b)] & (bound >= need(na[use_a][:, None], nb[use_b][None], percent))
-        out = []
-        for i, j in zip(*np.nonzero(good)):
-            a, b = left[use_a[i]], right[use_b[j]]
-            if np.intersect1d(a[5], b[5], assume_unique=True)[0] == key:  # the pair meets in every column it shares: once is enough
-                out.append((min(a[0], b[0]), max(a[0], b[0])))
-        return out
+_LAID = "key long, grade int, i int, j int, id long, n long, component long, own long, side int"
+
+
+def _blocks(batches):
+    """(key and size class, rows) of each block of two tiles; a row: id, n, component, own size class, side (0: left, 1: right, 2: both), last column.
+
+    Rows come sorted by block; a block holds two tiles at most.
+    """
+    now, rows = None, []
+    for batch in batches:
+        names = zip(*(batch.column(c).to_pylist() for c in range(4)))
+        facts = zip(*(batch.column(c).to_pylist() for c in range(4, 9)))
+        for name, fact, last in zip(names, facts, batch.column(9)):
+            if name != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = name, []
+            rows.append((*fact, last.as_py() if isinstance(last, pa.StringScalar) else last.values.to_numpy()))
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _open(grade: int, rows: list, percent: int):
+    """Left and right rows of a block, their sizes, and which pairs may link different components."""
+    left, right = [r for r in rows if r[4] != 1], [r for r in rows if r[4] != 0]
+    (ia, na, ca, ga), (ib, nb, cb, gb) = (tuple(np.array([r[i] for r in rs], np.int64) for i in range(4)) for rs in (left, right))
+    sizes = (100 * na[:, None] >= percent * nb[None]) & (100 * nb[None] >= percent * na[:, None])
+    open_ = sizes & (ca[:, None] != cb[None]) & (np.maximum(ga[:, None], gb[None]) == grade) & ((ia[:, None] < ib[None]) | (rows[0][4] != 2))
+    a, b = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    return [left[i] for i in a], [right[i] for i in b], na[a][:, None], nb[b][None], open_[np.ix_(a, b)]
+
+
+def _bounded(percent: int):
+    """Of each block the rows that have a pair within the bound whose first shared column is the block's."""
 
     def run(batches):
-        now, rows = None, []
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for name, rows in _blocks(batches):
+            left, right, na, nb, open_ = _open(name[1], rows, percent)
+            if not left:
+                continue
+            held = [np.array([len(r[5]) for r in rs]) for rs in (left, right)]
+            bound = overlaps([r[5] for r in left], [r[5] for r in right]) + np.maximum(na - held[0][:, None], nb - held[1][None])
+            wanted = {}
+            columns = [np.sort(r[5][: prefix_size(r[1], percent)]) for r in left], [np.sort(r[5][: prefix_size(r[1], percent)]) for r in right]
+            for i, j in zip(*np.nonzero(open_ & (bound >= need(na, nb, percent)))):
+                if left[i][0] in wanted and right[j][0] in wanted:
+                    continue
+                # a pair meets in every column it shares: once is enough
+                if np.intersect1d(columns[0][i], columns[1][j], assume_unique=True)[0] == name[0]:
+                    wanted[left[i][0]], wanted[right[j][0]] = left[i], right[j]
+            if wanted:
+                found = [(*name, *r[:5]) for r in wanted.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int32() if c in (1, 2, 3, 8) else pa.int64()) for c in range(9)], names=["key", "grade", "i", "j", "id", "n", "component", "own", "side"])
 
-        def emit(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], schema=out)
+    return run
 
-        for batch in batches:
-            found = []
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
-            facts = list(zip(*(batch.column(c).to_pylist() for c in range(4, 9))))
-            for k, f, prefix in zip(keys, facts, batch.column(9)):
-                if k != now:
-                    if len(rows) > 1:
-                        found += block(now[0], now[1], rows)
-                    now, rows = k, []
-                rows.append((*f, prefix.values.to_numpy()))
+
+def _linked(width: int, percent: int):
+    """Of each block links (a, b) that join the components of its rows, decided on full sets."""
+
+    def run(batches):
+        for name, rows in _blocks(batches):
+            left, right, na, nb, open_ = _open(name[1], rows, percent)
+            if not left:
+                continue
+            sets = {r[0]: None for r in (*left, *right)}
+            for r in (*left, *right):
+                if sets[r[0]] is None:
+                    sets[r[0]] = ngram_sets([r[5]], width)[0][0]
+            shared = overlaps([sets[r[0]] for r in left], [sets[r[0]] for r in right])
+            top, found = {}, []
+
+            def root(c):
+                while top.get(c, c) != c:
+                    c = top[c]
+                return c
+
+            for i, j in zip(*np.nonzero(open_ & (shared >= need(na, nb, percent)))):
+                x, y = root(left[i][2]), root(right[j][2])
+                if x != y:
+                    top[x] = y
+                    found.append(sorted((left[i][0], right[j][0])))
             if found:
-                yield emit(found)
-        if len(rows) > 1 and (found := block(now[0], now[1], rows)):
-            yield emit(found)
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _tiles(open_: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, id, n, component, prefix) of open columns laid out as blocks of two tiles, multiplied; pairs that pass."""
+def _tiles(open_: DataFrame, reps: DataFrame, plain: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (key, id, n, component) of open columns laid out as blocks of two tiles, multiplied; links that join components."""
     # a little wider than the sizes of linked sets can differ, so that rounding puts none two classes apart
     grade = F.floor(F.log(F.col("n").cast("double")) / max(float(np.log(100 / percent)) * (1 + 1e-6), 1e-3)).cast("int")
     rows = open_.withColumn("own", grade)
     # into the column of its own size class and, as the smaller set, of the class above
     rows = rows.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("grade"))
-    room = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_ENTRIES) / F.size("prefix"))))
+    room = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_ENTRIES) / _prefix(F.col("n"), percent))))
     rows = rows.withColumn("weight", 1.0 / room)
     tiles = rows.groupBy("key", "grade").agg(F.ceil(F.sum("weight")).cast("int").alias("tiles"), F.count_if(F.col("own") == F.col("grade")).alias("owners"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     tiles = tiles.where("owners > 0 and lo < hi").select("key", "grade", "tiles")
     rows = rows.join(tiles.hint("merge"), ["key", "grade"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j"), F.when(F.col("tile") == o, 2).when(F.col("tile") < o, 0).otherwise(1).alias("side")))
-    laid = rows.select("key", "grade", F.inline(pairs), "id", "n", "component", "own", "prefix")
-    laid = laid.select("key", "grade", "i", "j", "id", "n", "component", F.col("own").cast("long").alias("own"), "side", "prefix")
-    return laid.repartition("key", "grade", "i", "j").sortWithinPartitions("key", "grade", "i", "j").mapInArrow(_multiply(percent), "a long, b long")
+    laid = rows.select("key", "grade", F.inline(pairs), "id", "n", "component", F.col("own").cast("long").alias("own"))
+    block, facts = ["key", "grade", "i", "j"], ["id", "n", "component", "own", "side"]
+
+    def dealt(df: DataFrame, last: str) -> DataFrame:
+        return df.select(*block, *facts, last).repartition(*block).sortWithinPartitions(*block)
+
+    bounded = dealt(laid.join(reps.select("id", "held").hint("merge"), "id"), "held").mapInArrow(_bounded(percent), _LAID)
+    bounded = materialize(bounded, "bounded")
+    texts = plain.join(bounded.select("id").distinct().hint("merge"), "id").dropDuplicates(["id"])
+    return dealt(bounded.join(texts.hint("merge"), "id"), "text").mapInArrow(_linked(width, percent), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -255,21 +309,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = spark.sparkContext.broadcast(word_counts(plain))
-    base = materialize(plain.mapInArrow(_incidence(width, percent, counts), "id long, n long, class binary, prefix array<long>"), "incidence")
+    base = materialize(plain.mapInArrow(_incidence(width, percent, counts), "id long, n long, class binary, held array<long>"), "incidence")
     classes = base.where("id is not null and n > 0").groupBy("class").agg(F.min("id").alias("rep"))
-    reps = base.join(classes.select("class", F.col("rep").alias("id")).hint("merge"), ["class", "id"], "left_semi").where("n > 0").dropDuplicates(["class"]).select("id", "n", "prefix")
+    reps = base.join(classes.select("class", F.col("rep").alias("id")).hint("merge"), ["class", "id"], "left_semi").where("n > 0").dropDuplicates(["class"]).select("id", "n", "held")
     reps = materialize(reps, "incidence-rows")
-    slots = reps.select(F.explode("prefix").alias("key"), "id", "n")
-    columns = slots.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.min_by("n", "id").alias("hub_n"), F.count(F.lit(1)).alias("rows")).where("hub < top").select("key", "hub", "hub_n", "rows")
+    slots = reps.select(F.explode(F.slice("held", F.lit(1), _prefix(F.col("n"), percent))).alias("key"), "id", "n")
+    columns = slots.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = materialize(slots.join(columns.hint("merge"), "key"), "columns")
+    hubs = shared.groupBy("key").agg(F.min("id").alias("hub"))
 
     def rows_of(name: str) -> DataFrame:
-        return reps.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("prefix").alias(f"p{name}"))
+        return reps.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("held").alias(f"p{name}"))
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs whose prefixes share enough."""
+        met = pairs.distinct().hint("merge").join(rows_of("b"), "b").join(rows_of("a").hint("merge"), "a")
+        return met.where(_passes(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)).select("a", "b")
 
     # each column by the row of its least id
-    pairs = shared.where(F.col("id") != F.col("hub")).where(_like(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.hint("merge").join(rows_of("b"), "b").join(rows_of("a").hint("merge"), "a")
-    pairs = materialize(pairs.where(_passes(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)).select("a", "b"), "passed")
+    members = shared.join(hubs.hint("merge"), "key").where(F.col("id") != F.col("hub"))
+    hub_sizes = reps.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = members.select("hub", "id", "n").distinct().join(hub_sizes.hint("merge"), "hub").where(_like(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(passed(pairs), "passed")
     wanted = lambda p: plain.join(p.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge"), "id").dropDuplicates(["id"])
     texts = materialize(wanted(pairs), "texts")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -285,12 +346,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = materialize(_confirmed(rest, texts, width, percent), "links")
     links = links.unionByName(more)
     joined = components(links)
-    # columns whose rows besides the first still lie in several components, in tiles
-    others = shared.where("rows > 2").where(F.col("id") != F.col("hub")).join(joined.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large")).where("lo < hi").select("key")
-    open_ = materialize(others.join(mixed.hint("merge"), "key", "left_semi").join(reps.select("id", "prefix").hint("merge"), "id"), "open-columns")
-    last = materialize(_tiles(open_, percent).distinct(), "passed")
-    more = materialize(_confirmed(last, materialize(wanted(last), "texts"), width, percent), "links")
+    # columns whose rows besides the first still lie in several components: a few rows each with each, many in tiles
+    others = members.where("rows > 2").join(joined.hint("merge"), "id", "left").select("key", "rows", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = others.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_ = materialize(others.join(mixed.hint("merge"), "key", "left_semi"), "open-columns")
+    few, many = open_.where(F.col("rows") <= FEW), open_.where(F.col("rows") > FEW).drop("rows")
+    x, y = few.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    met = x.hint("merge").join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _like(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    last = materialize(passed(met), "passed")
+    more = _confirmed(last, materialize(wanted(last), "texts"), width, percent)
+    more = materialize(more.unionByName(_tiles(many, reps, plain, width, percent)), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     whole = classes.join(joined.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
