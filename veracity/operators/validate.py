@@ -123,7 +123,7 @@ def with_issues(df: DataFrame, as_of: str, extra: tuple[Rule, ...] = ()) -> Data
             message = rule.message(v)
             issue(rule.set_, rule.role, F.when(message.startswith("Future"), "INFO").otherwise("WARNING") if rule.severity == "INFO" else rule.severity, message)
     listed = [c for bad, c in found if bad] + [c for bad, c in found if not bad]
-    return C.stage(t, {"issues": F.array_compact(F.array(*listed))}).select(*df.columns, "issues")
+    return C.stage(t, {"issues": F.array_compact(F.array(*listed))}).select(*[F.col(f"`{c}`") for c in df.columns], "issues")
 
 
 def issue_log(checked: DataFrame) -> DataFrame:
@@ -171,19 +171,20 @@ RULES = ("phone", "date", "time", "mandatory", "integrity", "duplicates", "curre
 RULE_ROLE = {"phone": "phone_number", "date": "transaction_date", "time": "transaction_time", "currency": "currency", "payment_mode": "payment_mode", "email": "email", "country": "country"}
 
 
-def rule_summary(checked: DataFrame) -> DataFrame:
-    """rule, affected_rows, status for every rule, in one aggregation: FAILED, PASSED or SKIPPED, of the schema WARNING or PASSED.
+def hit(rule: str) -> Column:
+    """How many rows have an issue of the rule."""
+    return F.count_if(F.exists("issues", lambda i: i["rule"] == rule))
 
-    A rule without its column is skipped, currency and payment mode in a customer dataset too; there
-    duplicates count only if whole records are repeated.
-    """
-    headers = [c for c in checked.columns if c not in (ROW, "issues")]
+
+def copies() -> Column:
+    return F.count_if(F.exists("issues", lambda i: i["role"] == "duplicate_record"))
+
+
+def rule_statuses(counts: DataFrame, headers: list[str]) -> DataFrame:
+    """rule, affected_rows, status from one row of counts: a column for each rule, and ``copies``."""
     roles, kind = resolve_roles(headers), classify(headers)
     customer = kind == "Customer Dataset"
     missing = len(schema_warnings(roles, kind))
-    hit = lambda f: F.count_if(F.exists("issues", f))
-    broken = lambda r: lambda i: i["rule"] == r
-    counts = checked.agg(*[hit(broken(r)).alias(r) for r in RULES], hit(lambda i: i["role"] == "duplicate_record").alias("copies"))
     rows = []
     for r in RULES:
         off = r in RULE_ROLE and RULE_ROLE[r] not in roles or customer and r in ("currency", "payment_mode")
@@ -195,6 +196,16 @@ def rule_summary(checked: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def rule_summary(checked: DataFrame) -> DataFrame:
+    """rule, affected_rows, status for every rule, in one aggregation: FAILED, PASSED or SKIPPED, of the schema WARNING or PASSED.
+
+    A rule without its column is skipped, currency and payment mode in a customer dataset too; there
+    duplicates count only if whole records are repeated.
+    """
+    counts = checked.agg(*[hit(r).alias(r) for r in RULES], copies().alias("copies"))
+    return rule_statuses(counts, [c for c in checked.columns if c not in (ROW, "issues")])
+
+
 def row_classes(checked: DataFrame) -> DataFrame:
     """``checked`` with row_status: ERROR, WARNING or VALID."""
     bad = F.exists("issues", lambda i: i["severity"].isin("ERROR", "CRITICAL"))

@@ -31,6 +31,19 @@ def quality_scores(spark, sf_dir):
     return score.quality_scores(Q.checked(spark, sf_dir))
 
 
+_WORST = f"{Q._LOG}, s AS (SELECT _row_id, max(CASE WHEN severity IN ('ERROR', 'CRITICAL') THEN 2 WHEN severity IS NOT NULL THEN 1 ELSE 0 END) AS worst FROM d LEFT JOIN log ON row_no = _row_id + 1 GROUP BY 1)"
+
+
+@Q.query("validation_result", f"""SELECT * FROM (SELECT * EXCLUDE (phone_pass_rate, date_pass_rate, time_pass_rate) FROM ({_SCORES})), (SELECT count(*) AS total_records, count(*) FILTER (worst < 2) AS valid_records, count(*) FILTER (worst = 2) AS invalid_records, count(*) FILTER (worst = 1) AS warning_records FROM ({_WORST} SELECT * FROM s)),
+(SELECT string_agg(rule || ' ' || affected_rows || ' ' || status, '; ' ORDER BY rule) AS rules FROM ({Q.ORACLE_SQL["rule_summary"]}))""")
+def validation_result(spark, sf_dir):
+    """The result of validating the dirty orders as one row."""
+    found = score.validate_table(Q.nullified(spark, sf_dir), Q.AS_OF)
+    rules = "; ".join(f"{r} {n} {status}" for r, (n, status) in sorted(found.rules.items()))
+    kinds = {"completeness": "double", "validity": "double", "uniqueness": "double", "overall_score": "double", "quality_rating": "string", "success_rate": "double", "main_issue": "string"} | {k: "long" for k in ("total_records", "valid_records", "invalid_records", "warning_records")}
+    return spark.createDataFrame([(*(found.summary[k] for k in kinds), rules)], ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", rules string")
+
+
 _EXAMPLES = " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS rule, {r} AS value, min(_row_id) AS first_row FROM d JOIN log ON row_no = _row_id + 1 AND rule = '{x}' WHERE {r} IS NOT NULL GROUP BY 2 ORDER BY 3 LIMIT 5)" for r, x in score.RULE_OF.items() if r not in ("currency", "payment_mode"))
 
 
