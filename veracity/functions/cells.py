@@ -43,18 +43,22 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
 
 
+#: characters with the property White_Space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; only the ends of a cell are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def nullify(c: Column) -> Column:
     """Null for NA sentinels, blank cells and null words; otherwise the cell as it is."""
-    return F.when(c.isin(*NA_SENTINELS) | (strip(c) == "") | F.lower(strip(c)).isin(*NULL_WORDS), F.lit(None)).otherwise(c)
+    return F.when(c.isin(*NA_SENTINELS) | F.lower(strip(c)).isin("", *NULL_WORDS), F.lit(None)).otherwise(c)
 
 
 def is_missing(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "") | F.lower(strip(c)).isin(*NULL_WORDS)
+    return F.coalesce(F.lower(strip(c)).isin("", *NULL_WORDS), F.lit(True))
 
 
 def is_empty_row(*cols: Column) -> Column:

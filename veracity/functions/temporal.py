@@ -37,7 +37,6 @@ def _lexer() -> list[tuple[str, str]]:
     zone = rf"(?:\s*(?:[Zz]|(?!(?i:{'|'.join(n[:3] for n in (*MONTHS, *WEEKDAYS))}))[A-Z]{{3,5}}))?(?:\s*[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?)?"
     named = "|".join(f"({n[:3]})(?:{n[3:]})?" if n[3:] else f"({n})" for n in MONTHS).replace("(sep)(?:tember)?", "(sep)(?:t|tember)?")
     return [
-        (r"^\s+|\s+$", ""),
         (r"^([0-9]{4})([0-9]{2})([0-9]{2})(?=[Tt\s]|$|(?:[01][0-9]|2[0-3])[0-5][0-9](?:[0-5][0-9])?$)", r"$1-$2-$3T"),
         (rf"(?:(?<=[0-9])[Tt]+\s*|[\s,]+(?:(?i:at)\s+)?|^)(?:{clock}){zone}(?=$|[\s,])", " "),
         (rf"(?<=[0-9])[Tt]+\s*(?:(?:[01][0-9]|2[0-3])(?:[0-5][0-9](?:[0-5][0-9](?:[.,][0-9]+)?)?)?{zone})?(?=$|[\s,])", " "),
@@ -83,7 +82,7 @@ def parse_date(c: Column, dayfirst: Column | bool = False) -> Column:
     computed twice.
     """
     first = F.when(dayfirst, "1 ").otherwise("0 ") if isinstance(dayfirst, Column) else F.lit("1 " if dayfirst else "0 ")
-    t = c
+    t = strip(c)
     for pattern, by in _LEXER:
         t = F.regexp_replace(t, F.lit(pattern), F.lit(by))
     t = F.concat(first, F.lower(t))

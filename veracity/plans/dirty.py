@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veracity.sources.tables import spread
+
 HEADERS = ["transaction_id", "customer_id", "customer_name", "country", "phone_number", "transaction_date", "transaction_time", "amount", "currency", "payment_mode", "email"]
 
 DIRTY = """
@@ -31,7 +33,7 @@ FROM (SELECT o_orderkey AS k, c_custkey AS ck, c_name AS cn, CAST(year(o_orderda
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DIRTY, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(DIRTY, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet")), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 SQL = DIRTY.format(orders="orders", customer="customer")

@@ -96,6 +96,15 @@ def renumber(df: DataFrame, out: str = ROW) -> DataFrame:
     return df.withColumn("_area", area).withColumn("_place", place).join(areas.hint("merge"), "_area").withColumn(out, F.col("_base") + F.col("_place")).drop("_area", "_place", "_base")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that is read in fewer tasks than there are cores (one small file, say), dealt over all of them; any other as it is.
+
+    For scans in front of costly expressions: only inputs too small to keep the cores busy are shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
