@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions.cells import EMPTY_WORDS, email_ok, is_missing, nullify, strip
-from veracity.functions.temporal import SEPARATORS, date_separator, date_vote, decide_date_format, parse_date, parse_time
+from veracity.functions.temporal import ISO, SEPARATORS, date_separator, date_vote, decide_date_format, parse_date, parse_time
 from veracity.operators.quantiles import exact_quantiles
 from veracity.sources.tables import ROW, stored
 
@@ -104,8 +104,19 @@ def date_profile(df: DataFrame, col: str, as_of: str) -> DataFrame:
     return d.agg(F.date_format(F.min("d"), "yyyy-MM-dd").alias("min_date"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("max_date"), F.count_if(F.col("d") > F.lit(as_of).cast("date")).alias("future_dates"), F.count_if(F.year("d") < 2000).alias("ancient_dates"))
 
 
-def time_profile(df: DataFrame, col: str) -> DataFrame:
-    return df.select(parse_time(F.col(col)).alias("t")).agg(F.min("t").alias("min_time"), F.max("t").alias("max_time"), F.count("t").alias("valid_times"))
+def time_profile(df: DataFrame, col: str, as_of: str | None = None) -> DataFrame:
+    """Earliest and latest time of a column and how many cells hold one.
+
+    A timestamp keeps its date and a plain time of day is one of the day ``as_of`` (today), so the
+    earliest time is that of the earliest moment, not the smallest time of day.
+    """
+    c = strip(F.col(f"`{col}`"))
+    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    day = F.when(c.rlike(ISO), F.date_add(F.substring(c, 1, 10).try_cast("date"), F.when(F.substring(c, 12, 2) == "24", 1).otherwise(0))).otherwise(today)
+    moment = F.struct(day.alias("day"), F.col("t"))
+    t = df.select(F.col(f"`{col}`"), parse_time(F.col(f"`{col}`")).alias("t"))
+    found = t.where("t is not null").agg(F.min(moment)["t"].alias("min_time"), F.max(moment)["t"].alias("max_time"), F.count("t").alias("valid_times"))
+    return found
 
 
 def date_votes(df: DataFrame, col: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Registered queries of written forms and files, and of profiles of all columns together."""
+"""Registered queries of written forms, files and headers, and of profiles of all columns together."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from veracity.functions import temporal as D
-from veracity.operators import chunk, frequent, profile
+from veracity.operators import chunk, frequent, profile, schema
 from veracity.plans.dirty import HEADERS
 from veracity.plans.queries import _CTE, nullified, query
 from veracity.sources.delimited import read_table
@@ -63,3 +63,46 @@ def chunk_archive(spark, sf_dir):
     """One ZIP archive of the orders in chunks of 1,000 rows: its members."""
     orders = with_row_ids(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return chunk.write_archive(orders, scratch(spark, "chunks").removeprefix("file://") + ".zip").select("chunk_id", "name", "n")
+
+
+_MOMENT = """SELECT CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T' || lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':07Z'
+  WHEN 1 THEN lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') END AS cell, o_orderkey, o_orderdate FROM orders"""
+
+
+@query("profile_time_of_timestamps", f"""WITH m AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE ELSE DATE '1995-06-17' END AS day, CASE WHEN length(cell) = 5 THEN cell || ':00' ELSE substr(cell, 12, 8) END AS t FROM ({_MOMENT}) WHERE cell IS NOT NULL)
+SELECT right(min(day || ' ' || t), 8) AS min_time, right(max(day || ' ' || t), 8) AS max_time, count(*) AS valid_times FROM m""")
+def profile_time_of_timestamps(spark, sf_dir):
+    """Timestamps and plain times in one column: the ends are those of moments."""
+    k, two = F.col("o_orderkey"), lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0")
+    cell = F.when(k % 3 == 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), two(24), F.lit(":"), two(60), F.lit(":07Z"))).when(k % 3 == 1, F.concat(two(24), F.lit(":"), two(60)))
+    return profile.time_profile(spark.read.parquet(f"{sf_dir}/orders.parquet").select(cell.alias("cell")), "cell", "1995-06-17")
+
+
+@query("csv_table_info", "SELECT (SELECT count(*) FROM orders) AS row_count, count(*) AS column_count, string_agg(column_name, ',') AS column_names FROM (DESCRIBE orders)")
+def csv_table_info(spark, sf_dir):
+    """Rows, columns and headers of the orders as a CSV file says them."""
+    path = scratch(spark, "csv")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").write.option("header", True).csv(path)
+    found = read_table(spark, path)
+    return found.rows.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(found.headers)).cast("long").alias("column_count"), F.lit(",".join(found.headers)).alias("column_names"))
+
+
+_TABLES = ("customer", "supplier", "orders", "part", "lineitem")
+_FILLED = " UNION ALL ".join(f"SELECT table_name, substr(regexp_extract(name, '\\w_\\w+'), 3) AS header, filled FROM (UNPIVOT (SELECT '{t}' AS table_name, count(COLUMNS(*)) FROM {t}) ON COLUMNS(* EXCLUDE table_name) INTO NAME name VALUE filled)" for t in _TABLES)
+
+
+@query("headers_of_tables", f"SELECT table_name, header, CASE header WHEN 'name' THEN 'customer_name' WHEN 'totalprice' THEN 'amount' WHEN 'orderdate' THEN 'transaction_date' END AS role, filled FROM ({_FILLED})")
+def headers_of_tables(spark, sf_dir):
+    """The role of every column of the given tables by its header (without the table's letter), and how many cells it fills."""
+    parts = []
+    for name in _TABLES:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = df.toDF(*[c[2:] for c in df.columns])
+        roles = {h: r for r, h in schema.resolve_roles(df.columns).items()}
+        known = F.element_at(F.create_map(*[F.lit(x) for h, r in roles.items() for x in (h, r)]), F.col("column_name")) if roles else F.lit(None).cast("string")
+        counts = profile.per_column(df, df.columns, filled=F.count)
+        parts.append(counts.select(F.lit(name).alias("table_name"), F.col("column_name").alias("header"), known.alias("role"), "filled"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

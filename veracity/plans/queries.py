@@ -253,7 +253,7 @@ def profile_date(spark, sf_dir):
 
 @query("profile_time", f"{_CTE}, p AS (SELECT {s_time('transaction_time')} AS v FROM d) SELECT min(v) AS min_time, max(v) AS max_time, count(v) AS valid_times FROM p")
 def profile_time(spark, sf_dir):
-    return profile.time_profile(nullified(spark, sf_dir), "transaction_time")
+    return profile.time_profile(nullified(spark, sf_dir), "transaction_time", AS_OF)
 
 
 _VOTES = """p AS (SELECT regexp_extract(trim(transaction_date), '^([0-9]+)[-/.]([0-9]+)[-/.]([0-9]+)$', ['a', 'b', 'c']) AS g, regexp_extract(transaction_date, '[-/.]') AS mark FROM d WHERE regexp_matches(trim(transaction_date), '^[0-9]+[-/.][0-9]+[-/.][0-9]+$')),
