@@ -1,7 +1,7 @@
 """Katz back-off scoring of texts with a word bigram model.
 
 Counts come from the training documents as pre-aggregated group-bys; the model is three tables in
-the shared folder, each partitioned by its key: unigrams, histories with their back-off weights, and
+the shared folder, joined by their keys: unigrams, histories with their back-off weights, and
 bigrams.  Log-probabilities are worked out once per distinct bigram by recursion (a seen bigram by
 its discounted count, any other by the history's back-off weight and the unigram, an unseen word by
 the unigram's left-over mass) and met by the documents' own bigram counts in one equi-join.

@@ -14,9 +14,11 @@ States and transitions are made when first met and kept, each transition with it
 Texts are cut into chunks, and a chunk's map takes the state at its start to the state at its end and
 the tokens emitted.  A chunk that begins where a run of word marks begins starts in the start state if
 no token holds a mark behind other characters.  Any other chunk is first mapped from the state that the
-``AHEAD`` characters before it lead to; a parallel scan then compares each chunk's first state with the
-last state of the chunk before, chunks where they differ are mapped again from the right one, and so on
-until all agree: as a rule at once, and the result is that of one pass over the text in any case.
+``AHEAD`` characters before it lead to; each chunk's first state is then compared with the last state of
+the chunk before, chunks where they differ are mapped again from the right one, and so on until all
+agree.  This is speculation with repair and no prefix scan of whole maps: a map is known for the states
+that were tried, and a text on which every guess fails takes a round for each chunk.  The counts are
+those of one pass over the text in any case.
 """
 
 from __future__ import annotations
@@ -226,7 +228,7 @@ def count_tokens(docs: DataFrame, model_file: str, text_col: str = "text", out_c
 
     No begin, end or added special tokens; null and empty texts have 0.  Repeated rows and ids are
     counted each for itself; an empty table gives no rows.  Texts longer than ``chunk`` characters are
-    cut, and their chunk maps (two states and a number) are composed by a scan over the chunk number.
+    cut, and chunks whose guessed first state was wrong are mapped again (see above).
     A column that is already named ``out_col`` is replaced, other columns are kept whatever their
     names.  ``model_file`` must be readable on executors.
     """
