@@ -48,7 +48,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space; only the ends of a cell are looked at."""
+    """Trim all Unicode white space; only the ends of a cell are looked at, and ``c`` stands in the plan once."""
     return F.btrim(c, F.lit(WHITE))
 
 
@@ -89,7 +89,7 @@ def text_ok(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
 
 
 def normalize_numeric(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import is_missing, let, strip
+from veracity.functions.cells import let, strip
 
 _CLOCK = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:\.[0-9]+)?)?"
 TIME_ONLY = rf"(?i)^{_CLOCK}\s*(AM|PM)?$"
@@ -117,16 +117,17 @@ def parse_time(c: Column) -> Column:
 
     A half-day mark needs an hour up to 12; hour 24 of a timestamp is midnight.
     """
-    return let(strip(F.when(~is_missing(c), c)), _parse_time)
+    return let(strip(c), _parse_time)
 
 
 def _parse_time(t: Column) -> Column:
-    part = lambda i: _int(F.regexp_extract(t, TIME_ONLY, i))
-    h, m, s = part(1), part(2), F.coalesce(part(3), F.lit(0))
+    # a part that is not there is 0; a cell that does not match is sorted out at the end
+    number = lambda pattern, i: F.concat(F.lit("0"), F.regexp_extract(t, pattern, i)).cast("int")
+    h, m, s = (number(TIME_ONLY, i) for i in (1, 2, 3))
     half = F.upper(F.regexp_extract(t, TIME_ONLY, 4))
     hour = F.when(half == "", h).when(h <= 12, h % 12 + F.when(half == "PM", 12).otherwise(0))
     plain = F.when((hour <= 23) & (m <= 59) & (s <= 59), F.concat_ws(":", _pad(hour), _pad(m), _pad(s)))
-    iso = lambda i: _int(F.regexp_extract(t, ISO, i))
+    iso = lambda i: number(ISO, i)
     midnight = (iso(1) == 24) & (iso(2) == 0) & (iso(3) == 0)
     stamp = F.when(F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.when(midnight, "00:00:00").when((iso(1) <= 23) & (iso(2) <= 59) & (iso(3) <= 59), F.concat_ws(":", _pad(iso(1)), _pad(iso(2)), _pad(iso(3)))))
     return F.when(t.rlike(TIME_ONLY), plain).when(t.rlike(ISO), stamp)

@@ -16,7 +16,7 @@ from veracity.functions import cells as C
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
 from veracity.operators.dedupe import business_key, record_columns
-from veracity.operators.profile import date_order, empty_columns, exact_median, mode_values, rating
+from veracity.operators.profile import exact_median, has_value, mode_values, order_counts, order_of, rating
 from veracity.operators.schema import classify, mandatory, resolve_roles
 from veracity.sources.tables import ROW, cut
 
@@ -52,32 +52,31 @@ class CleanResult:
     date_confidence: float = 0.0
 
 
-def infer_date_order(df: DataFrame) -> tuple[bool | None, str, float]:
-    """(dayfirst, format, confidence) of the table's date column; undecided without one."""
-    roles = resolve_roles([c for c in df.columns if c != ROW])
-    return date_order(df, roles["transaction_date"]) if "transaction_date" in roles else (None, "unknown", 0.0)
-
-
-def imputation_values(df: DataFrame, mode: str) -> dict[str, str]:
-    """role -> value for SMART mode: the median of plainly numeric amounts, the most frequent value otherwise."""
-    roles = resolve_roles([c for c in df.columns if c != ROW])
-    cols = {h: r for r, h in roles.items() if r in IMPUTED}
-    if mode != "SMART" or not cols:
-        return {}
-    found = {cols[r["column_name"]]: r["value"] for r in mode_values(df, list(cols)).collect()}
-    if "amount" in roles:
-        amount = F.col(f"`{roles['amount']}`")
-        got = df.agg(F.count_if(amount.try_cast("double").isNotNull()).alias("k"), F.count(amount).alias("n")).first()
-        if got["k"] > 0.8 * got["n"]:
-            m = exact_median(df.select(amount.try_cast("double").alias("v")), "v")
-            found["amount"] = str(int(m)) if m == int(m) else str(m)
-    return found
-
-
 def analyse(df: DataFrame, mode: str = "SMART") -> Facts:
+    """What cleaning has to know of the whole table beforehand.
+
+    One aggregation finds the columns without a value, the order of day and month and whether amounts are
+    numbers; SMART mode takes one more for the most frequent values and those of ``exact_median``.
+    """
     headers = [c for c in df.columns if c != ROW]
-    empty = {r["column_name"] for r in empty_columns(df, headers).collect()} if headers else set()
-    return Facts(imputation_values(df, mode), tuple(h for h in headers if h in empty), *infer_date_order(df), tuple(record_columns(df)))
+    roles, keys = resolve_roles(headers), tuple(record_columns(df))
+    if not headers:
+        return Facts(keys=keys)
+    cell = lambda r: F.col(f"`{roles[r]}`")
+    aggs = {f"full_{i}": has_value(F.col(f"`{h}`")) for i, h in enumerate(headers)}
+    order = order_counts(cell("transaction_date")) if "transaction_date" in roles else {}
+    aggs |= {f"order_{k}": c for k, c in order.items()}
+    if "amount" in roles:
+        aggs |= {"numbers": F.count_if(cell("amount").try_cast("double").isNotNull()), "amounts": F.count(cell("amount"))}
+    got = df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+    values, imputed = {}, {h: r for r, h in roles.items() if r in IMPUTED}
+    if mode == "SMART" and imputed:
+        values = {imputed[r["column_name"]]: r["value"] for r in mode_values(df, list(imputed)).collect()}
+        if "amount" in roles and got["numbers"] > 0.8 * got["amounts"]:
+            m = exact_median(df.select(cell("amount").try_cast("double").alias("v")), "v")
+            values["amount"] = str(int(m)) if m == int(m) else str(m)
+    found = order_of({k: got[f"order_{k}"] for k in order}) if order else (None, "unknown", 0.0)
+    return Facts(values, tuple(h for i, h in enumerate(headers) if not got[f"full_{i}"]), *found, keys)
 
 
 def _entry(step: int, column: str, original: Column, cleaned: Column, action: Column | str, severity: str, when: Column) -> Column:

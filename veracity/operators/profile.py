@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions.cells import EMPTY_WORDS, email_ok, is_missing, nullify, strip
@@ -32,10 +32,14 @@ def drop_empty_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.na.drop("all", subset=cols or [c for c in df.columns if c != ROW])
 
 
+def has_value(c: Column) -> Column:
+    """Whether any cell of a column holds a value; an empty table's columns count as filled."""
+    return F.coalesce(F.max(~F.lower(strip(F.coalesce(c, F.lit("")))).isin(*EMPTY_WORDS)), F.lit(True))
+
+
 def empty_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """column_name of the columns without any value."""
-    full = lambda c: F.coalesce(F.max(~F.lower(strip(F.coalesce(c, F.lit("")))).isin(*EMPTY_WORDS)), F.lit(True))
-    return per_column(df, cols, full=full).where("not full").select("column_name")
+    return per_column(df, cols, full=has_value).where("not full").select("column_name")
 
 
 def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -124,14 +128,24 @@ def date_votes(df: DataFrame, col: str) -> DataFrame:
     return df.select(date_vote(F.col(col)).alias("vote")).where("vote is not null").groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
 
 
+def order_counts(v: Column) -> dict[str, Column]:
+    """Aggregates of a date column's votes and separators: input of ``order_of``."""
+    return {k: F.count_if(date_vote(v) == k) for k in ("yyyy", "dd", "mm", "ambiguous")} | {x: F.count_if(date_separator(v) == x) for x in SEPARATORS}
+
+
+def order_of(counts: dict[str, int]) -> tuple[bool | None, str, float]:
+    """(dayfirst, format, confidence) from ``order_counts``; dayfirst is null where they are undecided."""
+    used = {x: counts[x] for x in SEPARATORS}
+    votes = {k: n for k, n in counts.items() if k not in used}
+    if any(used.values()) and not any(votes.values()):
+        votes["ambiguous"] = 1  # three parts, none of them of digits only: undecided rather than unknown
+    return decide_date_format(votes, max(used, key=used.get))
+
+
 def date_order(df: DataFrame, col: str) -> tuple[bool | None, str, float]:
-    """(dayfirst, format, confidence) of a date column, from the votes of all its cells in one aggregation; dayfirst is null where they are undecided."""
-    v = F.col(f"`{col}`")
-    counts = df.agg(*[F.count_if(date_vote(v) == k).alias(k) for k in ("yyyy", "dd", "mm", "ambiguous")], *[F.count_if(date_separator(v) == x).alias(x) for x in SEPARATORS]).first().asDict()
-    used = {x: counts.pop(x) for x in SEPARATORS}
-    if any(used.values()) and not any(counts.values()):
-        counts["ambiguous"] = 1  # three parts, none of them of digits only: undecided rather than unknown
-    return decide_date_format(counts, max(used, key=used.get))
+    """(dayfirst, format, confidence) of a date column, from the votes of all its cells in one aggregation."""
+    counts = order_counts(F.col(f"`{col}`"))
+    return order_of(df.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict())
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
