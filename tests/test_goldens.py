@@ -150,9 +150,9 @@ def test_phones(spark):
 def test_phone_details(spark):
     rows = [("+91 98765 43210", "India"), ("+44 20 7946 0958 ext 12", "UK"), ("7911123456", "UK"), ("1", "Atlantis"), ("+48 512345678", "pl")]
     one = [r[0] for r in spark.createDataFrame(rows, "v string, c string").select(P.phone_details(F.col("v"), F.col("c"))).collect()]
-    assert tuple(one[0]) == (True, "IN", "+919876543210", "9876543210", "+91 9876543210", "MOBILE")
+    assert tuple(one[0]) == (True, "IN", "+919876543210", "9876543210", "+91 98765 43210", "MOBILE")
     assert (one[1].national, one[1].e164, one[1].type) == ("0207946095812", "+442079460958", "FIXED_LINE")
-    assert (one[2].is_valid, one[2].e164, one[3]) == (False, "", None) and (one[4].region, one[4].type) == ("PL", "UNKNOWN")
+    assert (one[2].is_valid, one[2].e164, one[3]) == (False, "", None) and (one[4].region, one[4].type) == ("PL", "MOBILE")
 
 
 def test_mixed_table(spark, tmp_path):

@@ -6,8 +6,6 @@ functions go through is interpreted; all else stays inside code generation.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +37,12 @@ def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
-    """The table's value for the key, null where it has none."""
-    return F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())]), key)
+    """The table's value for the key, null where it has none.
+
+    The table is one literal that the optimiser folds to a map: a literal for each entry would take
+    longer to build than most queries over small tables run.
+    """
+    return F.element_at(F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in table.items())), F.lit("\x1e"), F.lit("\x1f")), key)
 
 
 #: characters with the property White_Space

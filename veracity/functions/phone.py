@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veracity.functions.cells import lookup, strip
+from veracity.functions import numbering
+from veracity.functions.cells import let, lookup, strip
 
 # Names and codes of countries, and their region.
 COUNTRY_REGION = {
@@ -39,13 +40,27 @@ RULES = {
     "MT": ("356", "", "[2-9][0-9]{7}"), "CY": ("357", "", "[2-9][0-9]{7}"), "EE": ("372", "", "[3-9][0-9]{6,7}"), "LV": ("371", "", "[2-9][0-9]{7}"), "IS": ("354", "", "[4-8][0-9]{6}"),
     "MX": ("52", "", "[2-9][0-9]{9}"), "CL": ("56", "", "[2-9][0-9]{8}"), "CO": ("57", "", "[36][0-9]{9}"), "QA": ("974", "", "[3-7][0-9]{7}"), "KW": ("965", "", "[2569][0-9]{7}"),
     "BH": ("973", "", "[1367][0-9]{7}"), "OM": ("968", "", "[279][0-9]{7}"),
+    "AF": ("93", "0", "[2-7][0-9]{8}"), "AL": ("355", "0", "(?:6[6-9][0-9]{7}|[2-58][0-9]{7})"), "AD": ("376", "", "[3-9][0-9]{5}"), "AM": ("374", "0", "[1-9][0-9]{7}"),
+    "AO": ("244", "", "[29][0-9]{8}"), "AZ": ("994", "0", "[1-9][0-9]{8}"), "BA": ("387", "0", "[3-9][0-9]{7,8}"), "BF": ("226", "", "[025-7][0-9]{7}"),
+    "BI": ("257", "", "[267][0-9]{7}"), "BN": ("673", "", "[2-578][0-9]{6}"), "BO": ("591", "", "[2-467][0-9]{7}"), "BW": ("267", "", "(?:7[1-8][0-9]{6}|[2-6][0-9]{6})"),
+    "BZ": ("501", "", "[2-8][0-9]{6}"), "CD": ("243", "0", "[189][0-9]{8}"), "CF": ("236", "", "[27][0-9]{7}"), "CI": ("225", "", "[02][0-9]{9}"), "CM": ("237", "", "[26][0-9]{8}"),
+    "CR": ("506", "", "[24-8][0-9]{7}"), "CV": ("238", "", "[2-59][0-9]{6}"), "DJ": ("253", "", "[27][0-9]{7}"), "DZ": ("213", "0", "(?:[5-7][0-9]{8}|[1-4][0-9]{7})"),
+    "EC": ("593", "0", "(?:9[0-9]{8}|[2-7][0-9]{7})"), "ET": ("251", "0", "[1-9][0-9]{8}"), "FJ": ("679", "", "[2-9][0-9]{6}"), "FO": ("298", "", "[2-9][0-9]{5}"),
+    "GI": ("350", "", "[25][0-9]{7}"), "GL": ("299", "", "[2-9][0-9]{5}"), "GM": ("220", "", "[2-9][0-9]{6}"), "GQ": ("240", "", "[2358][0-9]{8}"), "GT": ("502", "", "[2-8][0-9]{7}"),
+    "GY": ("592", "", "[2-9][0-9]{6}"), "HN": ("504", "", "[237-9][0-9]{7}"), "HT": ("509", "", "[2-589][0-9]{7}"), "HU": ("36", "06", "[1-9][0-9]{7,8}"), "IQ": ("964", "0", "[1-7][0-9]{7,9}"),
+    "IR": ("98", "0", "[1-9][0-9]{9}"), "JO": ("962", "0", "(?:7[0-9]{8}|[2356][0-9]{7})"), "KG": ("996", "0", "[2-9][0-9]{8}"), "KH": ("855", "0", "[1-9][0-9]{7,8}"), "KZ": ("7", "8", "[67][0-9]{9}"),
+    "LA": ("856", "0", "[2-8][0-9]{7,9}"), "LI": ("423", "", "[2378][0-9]{6}"), "LS": ("266", "", "[2568][0-9]{7}"), "LY": ("218", "0", "[2-9][0-9]{7,8}"), "MD": ("373", "0", "[235-9][0-9]{7}"),
+    "ME": ("382", "0", "[2-9][0-9]{7}"), "MG": ("261", "0", "[23][0-9]{8}"), "MK": ("389", "0", "[2-578][0-9]{7}"), "ML": ("223", "", "[24-9][0-9]{7}"), "MO": ("853", "", "[268][0-9]{7}"),
+    "MR": ("222", "", "[2-4][0-9]{7}"), "MU": ("230", "", "(?:5[0-9]{7}|[2-9][0-9]{6})"), "MV": ("960", "", "[3-9][0-9]{6}"), "MZ": ("258", "", "(?:8[0-9]{8}|2[0-9]{7})"),
+    "NA": ("264", "0", "[68][0-9]{7,8}"), "NC": ("687", "", "[2-57-9][0-9]{5}"), "NE": ("227", "", "[0289][0-9]{7}"), "NI": ("505", "", "[1257-8][0-9]{7}"), "PA": ("507", "", "(?:6[0-9]{7}|[2-9][0-9]{6})"),
+    "PF": ("689", "", "[48][0-9]{7}"), "PG": ("675", "", "(?:[78][0-9]{7}|[2-9][0-9]{6})"), "PS": ("970", "0", "(?:5[0-9]{8}|[2489][0-9]{7})"), "RW": ("250", "0", "7[0-9]{8}"),
+    "SC": ("248", "", "[24][0-9]{6}"), "SD": ("249", "0", "[19][0-9]{8}"), "SL": ("232", "0", "[2-9][0-9]{7}"), "SN": ("221", "", "[37][0-9]{8}"), "SR": ("597", "", "[2-8][0-9]{5,6}"),
+    "SV": ("503", "", "[267][0-9]{7}"), "SY": ("963", "0", "[1-9][0-9]{7,8}"), "SZ": ("268", "", "[237][0-9]{7}"), "TD": ("235", "", "[2-9][0-9]{7}"), "TG": ("228", "", "[279][0-9]{7}"),
+    "TJ": ("992", "", "[3457-9][0-9]{8}"), "TN": ("216", "", "[2-57-9][0-9]{7}"), "UZ": ("998", "", "[3-9][0-9]{8}"), "VE": ("58", "0", "[24][0-9]{9}"), "XK": ("383", "0", "[2-49][0-9]{7}"),
+    "YE": ("967", "0", "[1-7][0-9]{6,8}"), "ZM": ("260", "0", "[279][0-9]{8}"),
 }
-# First digits of national numbers by kind; the first kind that fits counts.
-TYPES = {
-    "IN": {"TOLL_FREE": "1800", "MOBILE": "[6-9]"}, "US": {"TOLL_FREE": "8(?:00|33|44|55|66|77|88)", "PREMIUM_RATE": "900", "FIXED_LINE_OR_MOBILE": ""}, "CA": {"TOLL_FREE": "8(?:00|33|44|55|66|77|88)", "FIXED_LINE_OR_MOBILE": ""},
-    "SG": {"MOBILE": "[89]", "FIXED_LINE": "6"}, "GB": {"MOBILE": "7", "FIXED_LINE": "[12]", "TOLL_FREE": "80", "UAN": "3"}, "AU": {"MOBILE": "4", "FIXED_LINE": "[2378]"}, "AE": {"MOBILE": "5", "FIXED_LINE": "[2-4679]"},
-    "DE": {"MOBILE": "1[5-7]", "FIXED_LINE": "[2-9]"}, "FR": {"MOBILE": "[67]", "TOLL_FREE": "80[0-5]", "FIXED_LINE": "[1-5]", "VOIP": "9"}, "BR": {"MOBILE": "..9", "FIXED_LINE": "..[2-5]"},
-}
+# regions that use the numbers of another
+RULES |= {r: RULES["US"] for r in numbering.NANP} | {r: RULES["GB"] for r in ("GG", "IM", "JE")} | {"SJ": RULES["NO"], "AX": RULES["FI"], "VA": RULES["IT"]}
 #: numbers set aside for drama
 SET_ASIDE = "^7700900[0-9]{3}$"
 EXTENSION = r"(?i)[\s,;]*(?:extension|extn|ext|x|#|int)[.:=]?\s*([0-9]{1,7})$"
@@ -86,24 +101,25 @@ def national_number(phone: Column, region: Column) -> Column:
     return F.concat(lookup(region, TRUNKS), subscriber_number(phone, region), F.regexp_extract(strip(phone), EXTENSION, 1))
 
 
-def phone_details(phone: Column, country: Column) -> Column:
+def phone_details(phone: Column, country: Column, plan=numbering.PLAN) -> Column:
     """Struct of is_valid, region, e164, national, international and type; of a country that is not known, null.
 
-    The international form has a space behind the calling code only; the type is UNKNOWN outside ``TYPES``.
+    Type and grouping come from the numbering plan (``numbering.read_plan`` takes one from a table).  Of
+    numbers that it does not hold the type is UNKNOWN and the international form has a space behind the
+    calling code only.
     """
     region = country_region(country)
-    n = subscriber_number(phone, region)
-    code, kind = lookup(region, CODES), F.lit(None).cast("string")
-    for r, kinds in TYPES.items():
-        of = F.lit("UNKNOWN")
-        for name, begin in reversed(kinds.items()):
-            of = F.when(n.rlike(f"^{begin}"), name).otherwise(of)
-        kind = F.when(region == r, of).otherwise(kind)
-    text = lambda c: F.coalesce(F.when(n.isNotNull(), c), F.lit(""))
-    return F.when(region.isNotNull(), F.struct(
-        n.isNotNull().alias("is_valid"), region.alias("region"), text(F.concat(F.lit("+"), code, n)).alias("e164"), text(national_number(phone, region)).alias("national"),
-        text(F.concat(F.lit("+"), code, F.lit(" "), n)).alias("international"), F.coalesce(F.when(n.isNotNull(), kind), F.lit("UNKNOWN")).alias("type"),
-    ))
+
+    def described(x: Column) -> Column:
+        n, found, code = x["n"], x["found"], lookup(x["region"], CODES)
+        text = lambda c: F.coalesce(F.when(n.isNotNull(), c), F.lit(""))
+        return F.when(x["region"].isNotNull(), F.struct(
+            n.isNotNull().alias("is_valid"), x["region"].alias("region"), text(F.concat(F.lit("+"), code, n)).alias("e164"), text(x["national"]).alias("national"),
+            text(F.concat(F.lit("+"), code, F.lit(" "), numbering.grouped(n, found))).alias("international"), F.coalesce(F.get(found, F.lit(2)), F.lit("UNKNOWN")).alias("type"),
+        ))
+
+    number = F.struct(region.alias("region"), subscriber_number(phone, region).alias("n"), national_number(phone, region).alias("national"))
+    return let(let(number, lambda x: F.struct(x["region"].alias("region"), x["n"].alias("n"), x["national"].alias("national"), numbering.find(x["n"], x["region"], plan).alias("found"))), described)
 
 
 def phone_ok(phone: Column, country: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veracity.functions import cells as C
+from veracity.functions import numbering as N
 from veracity.functions import phone as P
 from veracity.functions import temporal as D
 from veracity.operators import chunk, dedupe, profile, schema, validate
