@@ -4,8 +4,8 @@ Texts are cut into words (runs that begin with the word mark), and each distinct
 once: its substrings up to the longest piece are exploded and equi-joined to the piece table, the
 matches are the edges of the word's lattice, edges are grouped by word, and a Viterbi pass over them
 runs as Spark's higher-order ``aggregate``.  The piece table is a model's vocabulary, of fixed size.
-As distinct words come out of a group-by on the word, exploding, joining and grouping again by the
-word need no further exchange.
+Distinct words and their pieces are written once; words are dealt by themselves before they are
+exploded, so that matching and grouping need no further exchange.
 
 The path is the one with the highest sum of piece scores, SentencePiece's unigram rule; among equal
 sums the one whose last piece starts first.  A character that is no piece costs the lowest score
@@ -17,9 +17,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.llm.storage import materialize
 from veracity.sources.tables import stable_keys
 
 MARK = "▁"
@@ -66,41 +67,96 @@ def distinct_words(docs: DataFrame, text_col: str = "text", most: int = 1 << 19)
     return docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, model: tuple) -> DataFrame:
-    """``words`` (distinct in ``word``; ``n`` goes along) with ids, the best path's piece ids."""
-    table, longest, unknown, by_byte = model
-    size = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.struct(i.alias("from"), k.alias("len")))))
-    cut = words.select("word", "n", F.explode(spans).alias("s")).select("word", "n", F.col("s.from").alias("from"), F.col("s.len").alias("len"), F.expr("substring(word, s.from, s.len)").alias("piece"))
+def _edges(cut: DataFrame, model: tuple) -> tuple[DataFrame, Column]:
+    """The spans that are pieces, or single characters, and the edge each is; ``c`` is a character that is no piece."""
+    table, _, unknown, _ = model
     pieces = F.broadcast(table.where("piece is not null").select("piece", "id", "score"))
-    edges = cut.join(pieces, "piece", "left").where("id is not null or len = 1")
-    edge = F.struct((F.col("from") + F.col("len")).alias("to"), F.col("from"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    lattice = edges.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.struct((F.col("from") + F.col("len")).alias("to"), F.col("from"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"), F.when(F.col("id").isNull(), F.col("piece")).alias("c"))
+    return cut.join(pieces, "piece", "left").where("id is not null or len = 1"), edge
+
+
+def _short_paths(words: DataFrame, model: tuple) -> DataFrame:
+    """(word, path) of words whose lattice is folded at once."""
+    longest, size = model[1], F.length("word")
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)), lambda k: F.struct(i.alias("from"), k.alias("len")))))
+    cut = words.select("word", F.explode(spans).alias("s")).select("word", F.col("s.from").alias("from"), F.col("s.len").alias("len"), F.expr("substring(word, s.from, s.len)").alias("piece"))
+    edges, edge = _edges(cut, model)
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     # state: best sum and best edge of every place up to the last, place 1 being the word's start
-    zero = "named_struct('sum', array(0D), 'from', array(0), 'id', array(0))"
+    zero = "named_struct('sum', array(0D), 'edge', array(cast(null as struct<`from`:int,id:int,c:string>)))"
     step = """
     (st, e) -> if(size(st.sum) = e.to,
         if(element_at(st.sum, e.`from`) + e.score > element_at(st.sum, -1),
            named_struct('sum', concat(slice(st.sum, 1, e.to - 1), array(element_at(st.sum, e.`from`) + e.score)),
-                        'from', concat(slice(st.`from`, 1, e.to - 1), array(e.`from`)), 'id', concat(slice(st.id, 1, e.to - 1), array(e.id))),
+                        'edge', concat(slice(st.edge, 1, e.to - 1), array(named_struct('from', e.`from`, 'id', e.id, 'c', e.c)))),
            st),
         named_struct('sum', concat(st.sum, array(element_at(st.sum, e.`from`) + e.score)),
-                     'from', concat(st.`from`, array(e.`from`)), 'id', concat(st.id, array(e.id))))
+                     'edge', concat(st.edge, array(named_struct('from', e.`from`, 'id', e.id, 'c', e.c)))))
     """
-    best = lattice.select("word", "n", F.expr(f"aggregate(edges, {zero}, {step})").alias("best"))
+    best = lattice.select("word", F.expr(f"aggregate(edges, {zero}, {step}, st -> st.edge)").alias("best"))
     # the path backwards from the word's end: a place is kept if the path stands on it
     back = """
-    aggregate(reverse(sequence(2, size(best.sum))), named_struct('at', size(best.sum), 'path', cast(array() as array<struct<`from`:int,id:int>>)),
-        (st, i) -> if(i = st.at, named_struct('at', element_at(best.`from`, i),
-            'path', concat(array(named_struct('from', element_at(best.`from`, i), 'id', element_at(best.id, i))), st.path)), st),
+    aggregate(reverse(sequence(2, size(best))), named_struct('at', size(best), 'path', cast(array() as array<struct<`from`:int,id:int,c:string>>)),
+        (st, i) -> if(i = st.at, named_struct('at', element_at(best, i).`from`, 'path', concat(array(element_at(best, i)), st.path)), st),
         st -> st.path)
     """
-    path = best.select("word", "n", F.expr(back).alias("path"))
-    ids = F.array(*[F.lit(i) for i in by_byte])
+    return best.select("word", F.expr(back).alias("path"))
+
+
+def _long_paths(words: DataFrame, model: tuple, block: int) -> DataFrame:
+    """(word, path) of long words, in time linear in their length.
+
+    A word's places are cut into blocks, each of which owns the edges that end in it and is matched in
+    a row of its own, so a row holds no more spans than a block has.  The fold over the blocks carries
+    the sums that a piece can still reach back to, and the best edges as one array a block.
+    """
+    longest = model[1]
+    keyed = words.select(F.sha2("word", 256).alias("key"), "word")
+    parts = keyed.select("key", F.length("word").alias("size"), "word", F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / block).cast("int"))).alias("block"))
+    begin = F.greatest(F.col("block") * block - longest + 1, F.lit(0))
+    parts = parts.select("key", "block", begin.alias("before"), F.substring(F.col("word"), begin + 1, F.lit(block + longest)).alias("text"), F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("own"))
+    # ``end`` counts the characters of the word up to a span's end
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.col("own")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("block") * block + i)), lambda k: F.struct((F.col("block") * block + i).alias("end"), k.alias("len")))))
+    cut = parts.repartition("key", "block").select("key", "block", "before", "text", F.explode(spans).alias("s"))
+    cut = cut.select("key", "block", (F.col("s.end") - F.col("s.len") + 1).alias("from"), F.col("s.len").alias("len"), F.expr("substring(text, s.end - s.len - before + 1, s.len)").alias("piece"))
+    edges, edge = _edges(cut, model)
+    lattice = edges.groupBy("key", "block").agg(F.array_sort(F.collect_list(edge)).alias("edges")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "edges"))).alias("blocks"))
+    none = "cast(array() as array<struct<`from`:int,id:int,c:string>>)"
+    # ``b.block * block + 1`` places are behind when block b begins; the last of them have their sums in ``st.sum``
+    value = f"element_at(x.sum, e.`from` - (b.block * {block} + 1 - size(st.sum))) + e.score"
+    taken = "array(named_struct('from', e.`from`, 'id', e.id, 'c', e.c))"
+    inner = f"""
+    aggregate(b.edges, named_struct('sum', st.sum, 'edge', {none}),
+        (x, e) -> if(size(x.edge) = e.to - (b.block * {block} + 1),
+            if({value} > element_at(x.sum, -1),
+               named_struct('sum', concat(slice(x.sum, 1, size(x.sum) - 1), array({value})), 'edge', concat(slice(x.edge, 1, size(x.edge) - 1), {taken})), x),
+            named_struct('sum', concat(x.sum, array({value})), 'edge', concat(x.edge, {taken}))),
+        x -> named_struct('sum', slice(x.sum, -least({longest}, size(x.sum)), {longest}), 'out', concat(st.out, array(x.edge))))
+    """
+    best = lattice.select("key", F.expr(f"aggregate(blocks, named_struct('sum', array(0D), 'out', cast(array() as array<array<struct<`from`:int,id:int,c:string>>>)), (st, b) -> {inner}, st -> st.out)").alias("best"))
+    back = f"""
+    aggregate(reverse(sequence(1, size(best))), named_struct('at', (size(best) - 1) * {block} + 1 + size(element_at(best, -1)), 'paths', cast(array() as array<array<struct<`from`:int,id:int,c:string>>>)),
+        (st, k) -> aggregate(reverse(sequence(1, size(element_at(best, k)))), named_struct('at', st.at, 'path', {none}),
+            (x, i) -> if((k - 1) * {block} + 1 + i = x.at, named_struct('at', element_at(element_at(best, k), i).`from`, 'path', concat(array(element_at(element_at(best, k), i)), x.path)), x),
+            x -> named_struct('at', x.at, 'paths', concat(array(x.path), st.paths))),
+        st -> flatten(st.paths))
+    """
+    return keyed.join(best.select("key", F.expr(back).alias("path")), "key").select("word", "path")
+
+
+def encode_words(words: DataFrame, model: tuple, block: int = 128) -> DataFrame:
+    """(word, ids) of ``words`` (distinct in ``word``): the best path's piece ids.
+
+    Words of more than ``block`` characters are folded in blocks of that many; a word's lattice is one
+    row in either case, so memory grows with the longest word, linearly.
+    """
+    words = words.select("word")
+    path = _short_paths(words.where(F.length("word") <= block).repartition("word"), model).unionByName(_long_paths(words.where(F.length("word") > block), model, block))
+    ids = F.array(*[F.lit(i) for i in model[3]])
     as_bytes = lambda c: F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.element_at(ids, F.conv(h, 16, 10).cast("int") + 1))
-    whole = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(as_bytes(F.substring(F.col("word"), x["from"], F.lit(1))))))
+    whole = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(as_bytes(x["c"]))))
     plain = F.transform("path", lambda x: x["id"])
-    return path.select("word", "n", F.when(F.exists("path", lambda x: x["id"] < 0), whole).otherwise(plain).alias("ids"))
+    return path.select("word", F.when(F.exists("path", lambda x: x["id"] < 0), whole).otherwise(plain).alias("ids"))
 
 
 def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 4096) -> DataFrame:
@@ -112,12 +168,12 @@ def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
     """
     marked = F.concat(F.lit(MARK), F.replace(F.col(text_col), F.lit(" "), F.lit(MARK)))
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.posexplode(F.split(marked, WORD)).alias("word_no", "word"))
-    words = distinct_words(docs, text_col)
-    hot = words.orderBy(F.desc("n"), "word").limit(hot_words)
-    rare = encode_words(words.join(F.broadcast(hot.select("word")), "word", "left_anti"), model).select("word", "ids")
-    tried = rows.join(F.broadcast(encode_words(hot, model).select("word", F.col("ids").alias("_hot"))), "word", "left")
+    words = materialize(distinct_words(docs, text_col), "words")
+    coded = materialize(encode_words(words, model), "coded-words")
+    hot = words.orderBy(F.desc("n"), "word").limit(hot_words).select("word")
+    tried = rows.join(F.broadcast(hot.join(coded, "word").select("word", F.col("ids").alias("_hot"))), "word", "left")
     found = tried.where("_hot is not null").select(id_col, "word_no", F.col("_hot").alias("ids"))
-    return found.unionByName(tried.where("_hot is null").join(rare.hint("merge"), "word").select(id_col, "word_no", "ids"))
+    return found.unionByName(tried.where("_hot is null").join(coded.hint("merge"), "word").select(id_col, "word_no", "ids"))
 
 
 def encode_documents(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
