@@ -144,14 +144,17 @@ def _long_paths(words: DataFrame, model: tuple, block: int) -> DataFrame:
     return keyed.join(best.select("key", F.expr(back).alias("path")), "key").select("word", "path")
 
 
-def encode_words(words: DataFrame, model: tuple, block: int = 128) -> DataFrame:
+def encode_words(words: DataFrame, model: tuple, block: int = 128, per_task: int = 1 << 15) -> DataFrame:
     """(word, ids) of ``words`` (distinct in ``word``): the best path's piece ids.
 
     Words of more than ``block`` characters are folded in blocks of that many; a word's lattice is one
-    row in either case, so memory grows with the longest word, linearly.
+    row in either case, so memory grows with the longest word, linearly.  Words are dealt to tasks of
+    about ``per_task`` (more where that made over 20,000 tasks): their edges take many times their own
+    room, by which Spark would size the tasks, and are sorted in memory if there are few.
     """
     words = words.select("word")
-    path = _short_paths(words.where(F.length("word") <= block).repartition("word"), model).unionByName(_long_paths(words.where(F.length("word") > block), model, block))
+    tasks = min(max(words.count() // per_task, 1), 20_000)
+    path = _short_paths(words.where(F.length("word") <= block).repartition(tasks, "word"), model).unionByName(_long_paths(words.where(F.length("word") > block), model, block))
     ids = F.array(*[F.lit(i) for i in model[3]])
     as_bytes = lambda c: F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.element_at(ids, F.conv(h, 16, 10).cast("int") + 1))
     whole = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(as_bytes(x["c"]))))
