@@ -86,3 +86,36 @@ def test_edge_rows(spark):
     got = fit_and_score(df, F.lit(False)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(False, 1, 1, 1, 12), (False, 2, 1, 1, 12), (False, 3, 4, 4, 12), (False, 3, 4, 4, 12), (True, 0, 2, 2, 12)]
     assert fit_and_score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_words_of_many_texts():
+    """Arrow's words of a column are those of ``words``, text by text."""
+    import random
+
+    import pyarrow as pa
+
+    from veracity.llm.words import word_codes, word_hashes
+
+    draw = random.Random(3)
+    texts = [None, "", " ", "\x1c", *("".join(draw.choice("aBÄ \t\n\x0b\x0c\r\x1c\x85\xa0\u2003世") for _ in range(draw.randrange(30))) for _ in range(500))]
+    n, codes, known = word_codes(pa.array(texts))
+    assert list(n) == [len(words(t)) for t in texts]
+    assert list(known[codes]) == list(word_hashes([w for t in texts for w in words(t)])) and len(set(known)) == len(known)
+
+
+def test_tables_and_shuffles_are_removed(spark, tmp_path):
+    """Of op5's tables only those that the result reads stay, and they hold no bigram that stands once."""
+    import os
+
+    from veracity.llm import storage
+
+    seen, kept = [], storage.new_path
+    try:
+        storage.new_path = lambda _, name: seen.append(f"{tmp_path}/{name}-{len(seen)}") or seen[-1]
+        df = spark.createDataFrame([(1, "a b a b"), (2, "a b c"), (3, "x y z")], "doc_id long, text string")
+        fit_and_score(df, F.lit(False)).collect()
+    finally:
+        storage.new_path = kept
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in seen if os.path.exists(p)}
+    assert not left & {"katz-counts", "katz-words", "katz-histories"} and "katz-bigrams" in left
+    assert spark.read.parquet(*[p for p in seen if "katz-bigrams" in p]).count() == 1

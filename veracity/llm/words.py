@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -20,6 +22,20 @@ def word_hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of many texts at a time: their number in each, each word's place in the distinct words, and those words' hashes.
+
+    Arrow's white space are the six bytes of ``words``; it lowers A-Z alone.
+    """
+    whole = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    split = pc.ascii_split_whitespace(whole)
+    # an empty text is split into one empty word
+    some = pc.greater(pc.binary_length(whole), 0).to_numpy(zero_copy_only=False)
+    n = np.where(some, pc.list_value_length(split).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    coded = split.filter(pa.array(some)).flatten().dictionary_encode()
+    return n, coded.indices.to_numpy(zero_copy_only=False), word_hashes(coded.dictionary.cast(pa.binary()).to_pylist())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising permutation of 64-bit values."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
