@@ -72,3 +72,27 @@ def test_words_of_100_000_characters(spark, model):
     got = L.decode(L.encode_documents(df, model), model).collect()
     assert {r.doc_id: list(r.ids) for r in got} == want
     assert {r.doc_id: r.decoded for r in got} == dict(df.collect())
+
+
+def test_slices_leave_no_document_out(spark, model, tmp_path):
+    """Repeated and null ids, null and empty texts: a row each in the digests, and only those stay on disk."""
+    import hashlib
+    import os
+
+    from veracity.llm import storage
+
+    texts = [(1, "the cat"), (1, "the cat sat"), (None, "a  b"), (2, None), (3, ""), (4, "世界 the"), *((i, f"word{i} the") for i in range(5, 40))]
+    seen, kept = [], storage.new_path
+    try:
+        storage.new_path = lambda _, name: seen.append(f"{tmp_path}/{name}-{len(seen)}") or seen[-1]
+        got = L.document_digests(spark.createDataFrame(texts, "doc_id long, text string"), model, slices=3).collect()
+    finally:
+        storage.new_path = kept
+    pieces = known(model)
+    want = []
+    for i, t in texts:
+        ids = [x for w in re.split(L.WORD, "▁" + t.replace(" ", "▁")) for x in plain(w, pieces, model)] if t else []
+        want.append((str(i), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), t))
+    assert sorted((str(r.doc_id), r.n_pieces, r.ids_sha256) for r in got) == sorted(x[:3] for x in want)
+    assert all(r.decoded_equal for r in got if r.doc_id not in (2, 3)) and len(got) == len(texts)
+    assert all(("digests" in p) == os.path.exists(p) for p in seen)

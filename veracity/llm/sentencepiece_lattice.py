@@ -15,12 +15,13 @@ less ten and becomes its bytes.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm.storage import materialize
+from veracity.llm.storage import discard, materialize
 from veracity.sources.tables import stable_keys
 
 MARK = "▁"
@@ -162,30 +163,38 @@ def encode_words(words: DataFrame, model: tuple, block: int = 128, per_task: int
     return path.select("word", F.when(F.exists("path", lambda x: x["id"] < 0), whole).otherwise(plain).alias("ids"))
 
 
-def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 4096) -> DataFrame:
+def word_table(docs: DataFrame, model: tuple, text_col: str = "text", hot_words: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(word, ids) of every distinct word of ``docs``, and of its ``hot_words`` most frequent ones, both written once."""
+    words = materialize(distinct_words(docs, text_col), "words", free=True)
+    coded = materialize(encode_words(words, model), "coded-words", free=True)
+    hot = materialize(words.orderBy(F.desc("n"), "word").limit(hot_words).select("word").join(coded, "word"), "hot-words", free=True)
+    discard(words)
+    return coded, hot
+
+
+def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 4096, table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, word_no, ids): the piece ids of every word of every text, in order of word_no.
 
     A text's encoding is its words' ids one after the other.  Null and empty texts have no rows;
     texts that repeat an id have rows each; other columns are not read.  The ``hot_words`` most
     frequent words are joined by broadcast, so that none of them gathers its occurrences in a task.
+    ``table``: the ``word_table`` of these texts, or of more, where it is already there.
     """
     marked = F.concat(F.lit(MARK), F.replace(F.col(text_col), F.lit(" "), F.lit(MARK)))
     rows = docs.where(F.length(text_col) > 0).select(F.col(id_col), F.posexplode(F.split(marked, WORD)).alias("word_no", "word"))
-    words = materialize(distinct_words(docs, text_col), "words")
-    coded = materialize(encode_words(words, model), "coded-words")
-    hot = words.orderBy(F.desc("n"), "word").limit(hot_words).select("word")
-    tried = rows.join(F.broadcast(hot.join(coded, "word").select("word", F.col("ids").alias("_hot"))), "word", "left")
+    coded, hot = table or word_table(docs, model, text_col, hot_words)
+    tried = rows.join(F.broadcast(hot.select("word", F.col("ids").alias("_hot"))), "word", "left")
     found = tried.where("_hot is not null").select(id_col, "word_no", F.col("_hot").alias("ids"))
     return found.unionByName(tried.where("_hot is null").join(coded.hint("merge"), "word").select(id_col, "word_no", "ids"))
 
 
-def encode_documents(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, text_sha256, ids): one row per row of ``docs``, with the piece ids of its text in order.
 
     A null or empty text has no ids; texts that repeat an id stay apart.
     """
     rows = stable_keys(docs, "_text").select("_text", F.col(id_col), F.col(text_col))
-    coded = encode(rows, model, "_text", text_col).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("word_no", "ids"))).alias("_words"))
+    coded = encode(rows, model, "_text", text_col, table=table).groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("word_no", "ids"))).alias("_words"))
     coded = coded.select("_text", F.flatten(F.transform("_words", lambda w: w["ids"])).alias("ids"))
     texts = rows.select("_text", id_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("text_sha256"))
     none = F.array().cast("array<int>")
@@ -208,12 +217,27 @@ def decode_words(coded: DataFrame, model: tuple) -> DataFrame:
     return coded.join(parts.select("word", text.alias("decoded")), "word")
 
 
+def document_digests(docs: DataFrame, model: tuple, slices: int = 8) -> DataFrame:
+    """docs: (doc_id, text) -> (doc_id, n_pieces, ids_sha256, decoded_equal), through ``encode_documents`` and ``decode``.
+
+    The words of all texts are encoded once; texts meet their words in ``slices`` by their id, and only
+    the digests of a slice are kept, so the shuffle files of one slice lie on disk at a time.
+    """
+    table = word_table(docs, model)
+    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
+    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
+
+    def part(i: int) -> DataFrame:
+        coded = decode(encode_documents(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i), model, table=table), model)
+        return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("decoded_equal"))
+
+    done = [materialize(part(i), "digests", free=True) for i in range(slices)]
+    discard(*table)
+    return reduce(DataFrame.unionByName, done)
+
+
 def op8_sentencepiece(spark, sf_dir):
     """Every document: the number of its pieces, a digest of their ids in order, and whether they decode to its text (null for a null text)."""
     import public_tokenizers
 
-    model = piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    coded = decode(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
-    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256)
-    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("decoded_equal"))
+    return document_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), piece_table(spark, public_tokenizers.path("piece_bpe_32k.model")))
