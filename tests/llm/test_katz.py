@@ -118,4 +118,4 @@ def test_tables_and_shuffles_are_removed(spark, tmp_path):
         storage.new_path = kept
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in seen if os.path.exists(p)}
     assert not left & {"katz-counts", "katz-words", "katz-histories"} and "katz-bigrams" in left
-    assert spark.read.parquet(*[p for p in seen if "katz-bigrams" in p]).count() == 1
+    assert spark.read.parquet(*[p for p in seen if "katz-bigrams" in p]).count() == 2  # START a, a b

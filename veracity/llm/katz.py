@@ -77,12 +77,12 @@ def training_bigrams(docs: DataFrame, of: int, k: int) -> DataFrame:
 
     def cut(batches):
         for part, known, ends, w in _takes(batches):
-            held = np.repeat(part.column("held").to_numpy(zero_copy_only=False).astype(bool), np.diff(ends, prepend=0))
-            mine = (mix(known) % np.uint64(of) == k)[w]
-            keys = (_histories(w, ends, len(known) - 2) * len(known) + w)[mine]
-            keys, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-            e = np.bincount(at[held[mine]], minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(known[keys // len(known)].view(np.int64)), pa.array(known[keys % len(known)].view(np.int64)), pa.array((n - e).astype(np.int64)), pa.array(e.astype(np.int64))], names=["h", "w", "c", "e"])
+            held = np.repeat(part.column("held").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(ends, prepend=0))
+            mine, bits = (mix(known) % np.uint64(of) == k)[w], len(known).bit_length()
+            keys, n = np.unique(((_histories(w, ends, len(known) - 2)[mine] << bits | w[mine]) << 1) | held[mine], return_counts=True)
+            e, pairs = np.where(keys & 1, n, 0), keys >> 1
+            hashes = known.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[pairs >> bits]), pa.array(hashes[pairs & ((1 << bits) - 1)]), pa.array(n - e), pa.array(e)], names=["h", "w", "c", "e"])
 
     return docs.select("held", "text").mapInArrow(cut, "h long, w long, c long, e long")
 
@@ -212,8 +212,8 @@ def fit_and_score(docs: DataFrame, held: Column, id_col: str = "doc_id", text_co
     often_met = bigrams.where("c + e > 1").select(F.xxhash64("h", "w").alias("f"), "c")
     again = materialize(often_met, "katz-bigrams")
     discard(*counted, words_, *found)
-    top = model.orderBy(F.desc("cw"), "w").limit(FREQUENT).select("w", "known", "base", "hist").toPandas().sort_values("w")
-    frequent = (top["w"].to_numpy(np.int64), *(top[c].to_numpy(np.float64) for c in ("known", "base", "hist")))
+    top = model.orderBy(F.desc("cw"), "w").limit(FREQUENT).select("w", "known", "base", "hist").toArrow().sort_by("w")
+    frequent = tuple(top.column(c).to_numpy() for c in ("w", "known", "base", "hist"))
 
     def scored(i: int) -> DataFrame:
         """(row, h, w, n, score): the sum over a text's seen bigrams, with h and w null, and its unseen bigrams."""
